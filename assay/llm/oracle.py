@@ -17,5 +17,39 @@ FROM squeezed
 """
 
 
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, w, least(13, len(w)) AS n
+  FROM (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+        FROM benchmark)
+  WHERE len(w) > 0
+), iw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i)
+), lens AS (
+  SELECT DISTINCT n FROM iw
+), dw AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS phrase
+  FROM (SELECT d.doc_id, d.w, lens.n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)
+), m AS (
+  SELECT DISTINCT doc_id, p, n, item_id FROM dw JOIN iw USING (n, phrase)
+), hit AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": EXACT_DEDUP}
+    return {"op9_benchmark_decontamination": DECONTAMINATION, "op10_exact_dedup": EXACT_DEDUP}
