@@ -109,3 +109,13 @@ class TwoAgeCache(dict):
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of the value written as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, broadcast_ids: int = 4_000_000) -> DataFrame:
+    """``docs`` less the rows whose id is in ``dropped``.
+
+    The ids (8 bytes each) are broadcast up to a counted limit, joined beyond it.
+    """
+    ids = stored(dropped.select(id_col).distinct(), "dropped")
+    few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
