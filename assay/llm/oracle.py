@@ -51,5 +51,23 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+URL_FILTER = r"""
+WITH rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), tails AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM tails
+), best AS (
+  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": DECONTAMINATION, "op10_exact_dedup": EXACT_DEDUP}
+    return {"op6_url_filter": URL_FILTER, "op9_benchmark_decontamination": DECONTAMINATION, "op10_exact_dedup": EXACT_DEDUP}
