@@ -14,7 +14,9 @@ linked when 100 * |A and B| >= 85 * |A or B|. Method:
    different; full sets decide the rest;
 4. buckets whose members are not yet in one component are examined once more:
    members outside the smallest member's component meet all others, in blocks,
-   on sketches of 1024 samples; full sets decide again. Pairs that are already
+   on sketches of 1024 samples. First each of them offers its best partner in
+   another component to the full sets, which connects most; then all pairs that
+   still lie in different components are offered. Pairs that are already
    connected are passed over, which loses no component.
 
 A pair at the threshold is missed by all 30 bands with a probability below
@@ -167,10 +169,11 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def compare_blocks(key: tuple, both: pa.Table, limit: int, percent: int) -> pa.Table:
+def compare_blocks(key: tuple, both: pa.Table, limit: int, percent: int, best_only: bool) -> pa.Table:
     """Pairs of a left and a right block of one bucket that may be links.
 
-    A pair that shares several bands is returned in the first of them only.
+    ``best_only``: each left member's nearest sketch only. Otherwise a pair that
+    shares several bands is returned in the first of them.
     """
     bucket = key[0].as_py()
 
@@ -187,7 +190,13 @@ def compare_blocks(key: tuple, both: pa.Table, limit: int, percent: int) -> pa.T
         differ = np.bitwise_count(sketches[s, None, :] ^ sketches2[None, :, :]).sum(axis=2, dtype=np.int32)
         small, large = np.minimum(n[s, None], n2[None]), np.maximum(n[s, None], n2[None])
         once = ~outside2[None].astype(bool) | (ids[s, None] < ids2[None])
-        i, j = np.nonzero((differ <= limit) & (small * 100 >= large * percent) & (comp[s, None] != comp2[None]) & once)
+        may = (differ <= limit) & (small * 100 >= large * percent) & (comp[s, None] != comp2[None])
+        if best_only:
+            j = np.where(may, differ, np.iinfo(np.int32).max).argmin(axis=1)
+            i = np.flatnonzero(may[np.arange(len(j)), j])
+            found.append((ids[i + at], ids2[j[i]]))
+            continue
+        i, j = np.nonzero(may & once)
         first = (bands[i + at] == bands2[j]).argmax(axis=1) if len(i) else i
         own = bands[i + at, first] == bucket
         found.append((ids[i + at][own], ids2[j][own]))
@@ -195,19 +204,23 @@ def compare_blocks(key: tuple, both: pa.Table, limit: int, percent: int) -> pa.T
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def mixed_pairs(docs: DataFrame, heads: DataFrame, members: DataFrame, labels: DataFrame, percent: int, width: int) -> DataFrame:
-    """Possible links between different components within a bucket."""
+def mixed_buckets(heads: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that still span components, with their component.
+
+    ``lefts`` and ``rights`` say into how many blocks the bucket is cut.
+    """
     inside = members.join(heads.where("size > 2"), "key")
     inside = inside.join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     anchors = labels.select(F.col("id").alias("head"), F.col("label").alias("anchor"))
     inside = inside.join(anchors, "head", "left").withColumn("anchor", F.coalesce("anchor", "head"))
     inside = stored(inside.select("key", "id", "comp", (F.col("comp") != F.col("anchor")).alias("outside")), "near-inside")
-    # Members were all held against the head: what is left needs two besides it.
-    sizes = inside.groupBy("key").agg(F.count_if("outside").alias("u"), F.count("*").alias("size"))
-    sizes = sizes.where("u > 1 or (u = 1 and size > 2)")
+    sizes = inside.groupBy("key").agg(F.count_if("outside").alias("u"), F.count("*").alias("size")).where("u > 0")
     blocks = sizes.select("key", F.ceil(F.col("u") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
-    rows = stored(inside.join(blocks, "key"), "near-mixed")
-    fine = stored(signatures(only(docs, rows.select("id").distinct()), FINE, width).dropDuplicates(["id"]), "near-fine")
+    return stored(inside.join(blocks, "key"), "near-mixed")
+
+
+def mixed_pairs(rows: DataFrame, fine: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Possible links between different components within a bucket."""
     rows = rows.join(fine.select("id", "n", "bands", "sketch"), "id")
     place = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -216,7 +229,7 @@ def mixed_pairs(docs: DataFrame, heads: DataFrame, members: DataFrame, labels: D
     right = rows.select("key", each("lefts").alias("l"), place("rights", 2).alias("r"), F.lit(1).alias("side"), *columns)
     limit = xor_limit(FINE, percent)
     groups = left.union(right).groupBy("key", "l", "r")
-    return groups.applyInArrow(lambda key, both: compare_blocks(key, both, limit, percent), "a long, b long")
+    return groups.applyInArrow(lambda key, both: compare_blocks(key, both, limit, percent, best_only), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3) -> DataFrame:
@@ -233,15 +246,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members.join(heads.select("key"), "key", "left_semi"), "near-members")
 
     links = stored(verified(stored(star_pairs(classes, heads, members, percent), "near-stars"), docs, percent, width), "near-links")
-    first = components(links)
-    more = stored(mixed_pairs(docs, heads, members, first, percent, width), "near-more")
-    if not more.isEmpty():
-        extra = stored(verified(more, docs, percent, width), "near-extra")
-        if not extra.isEmpty():
-            first = components(links.union(extra))
+    labels, fine = components(links), None
+    for best_only in (True, False):
+        rows = mixed_buckets(heads, members, labels)
+        if fine is None:
+            fine = stored(signatures(only(docs, rows.select("id").distinct()), FINE, width).dropDuplicates(["id"]), "near-fine")
+        more = stored(mixed_pairs(rows, fine, percent, best_only), "near-more")
+        if more.isEmpty():
+            break
+        links = links.union(stored(verified(more, docs, percent, width), "near-links"))
+        labels = components(links)
 
     whole = every.select("id", "n", "print").join(reps, "print", "left")
-    whole = whole.join(first.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    whole = whole.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.coalesce("label", "rep", "id")
     return whole.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept")
