@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lang_id, licenses, near_dedup, quality, token_files, url_filter
+from . import bpe, decontaminate, exact_dedup, lang_id, licenses, lm_score, near_dedup, quality, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.decontaminate(docs, items).drop("items")
@@ -75,4 +79,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_token_files, op6_url_filter, op7_language_id, op9_benchmark_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_token_files, op6_url_filter, op7_language_id, op8_lm_scoring, op9_benchmark_decontamination, op10_exact_dedup)}
