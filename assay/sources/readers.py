@@ -15,6 +15,8 @@ from ..functions.columns import first_present, nullable, to_int
 
 #: Names of the artifacts of a run.
 ARTIFACTS = ("bulk_plan.json", "bulk_summary.json", "audit_summary.json", "candidates.jsonl", "audit_candidates.jsonl", "failure_vectors.jsonl", "preference_pairs.jsonl", "preference_summary.json")
+#: Fields of a generated sequence.
+SEQUENCE = ("g", "W", "A", "X", "L")
 #: Keys that may wrap the rows of a JSON file.
 WRAPPERS = ("validation_results", "results", "rows", "items")
 
@@ -71,16 +73,25 @@ def get(path: str, kind: str = "string") -> Column:
 
 
 def csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All columns as text, headers lower-cased, with file and _ord."""
-    rows = spark.read.csv(paths, header=True, multiLine=True, escape='"')
+    """All columns as text, with file and _ord; all files share the first one's header.
+
+    Names are lower-cased but for the sequence fields, which become seq_g, seq_W,
+    seq_A, seq_X and seq_L: ``A`` and ``a`` may both occur.
+    """
+    import csv as text_csv
+
+    first = spark.read.text(paths).first()
+    header = next(text_csv.reader([first.value])) if first else []
+    names = ["seq_" + c if c in SEQUENCE else c.lower() for c in (h.strip() for h in header)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True, multiLine=True, escape='"')
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    names = [F.col(f"`{c}`").alias(c.strip().lower()) for c in rows.columns]
-    return rows.select(*names, F.col("_metadata.file_path").alias("file"), order.alias("_ord"))
+    return rows.select(*(F.col(f"`{n}`") for n in names), F.col("_metadata.file_path").alias("file"), order.alias("_ord"))
 
 
 def alias(df: DataFrame, *names: str) -> Column:
     """First non-empty value over the aliases that exist."""
-    found = [F.col(f"`{n.lower()}`") for n in names if n.lower() in df.columns]
+    found = [F.col(f"`{n}`") for n in names if n in df.columns]
     return nullable(first_present(*found)) if found else F.lit(None).cast("string")
 
 
@@ -140,13 +151,13 @@ def sampling_csv(spark: SparkSession, paths: str | list[str], source_format: str
     rows = csv(spark, paths)
     a = lambda *names: alias(rows, *names)
     given = F.array_compact(F.array(*(a(c).try_cast("double") for c in ("a", "b", "c", "alpha", "beta", "gamma"))))
-    values = F.when(F.size(given) == 6, given).otherwise(numbers(F.coalesce(a("l", "lattice"), F.lit(""))))
+    values = F.when(F.size(given) == 6, given).otherwise(numbers(F.coalesce(a("seq_L", "lattice"), F.lit(""))))
     matrix = lattice(values)
     return rows.select(
         "_ord", "file",
         F.coalesce(a("candidate_id", "id"), F.format_string("row_%06d", F.col("_ord.row"))).alias("candidate_id"),
-        a("formula", "composition").alias("composition"), to_int(a("spacegroup", "space_group", "g")).alias("space_group"),
-        F.struct(*(a(c.lower()).alias(c) for c in ("g", "W", "A", "X", "L"))).alias("raw_sequence_fields"),
+        a("formula", "composition").alias("composition"), to_int(a("spacegroup", "space_group", "seq_g")).alias("space_group"),
+        F.struct(*(a("seq_" + c).alias(c) for c in SEQUENCE)).alias("raw_sequence_fields"),
         matrix.alias("lattice_matrix"), a("structure_ref", "cif_path").alias("structure_ref"), a("cif", "cif_text").alias("cif_text"),
         a("source_checkpoint").alias("source_checkpoint"), a("temperature").try_cast("double").alias("temperature"), to_int(a("top_k")).alias("top_k"),
         F.lit(source_format).alias("source_format"),
