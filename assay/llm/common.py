@@ -17,13 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
     Only where the setting is absent (tests on one machine) a temporary folder
-    is created and the setting filled in.
+    is made the context's checkpoint folder and used from then on.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="assay-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="assay-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -101,8 +101,10 @@ class GramTable:
 
 
 class Scorer:
-    def __init__(self, symbol: np.ndarray, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: float):
-        self.symbol, self.floor = symbol, floor
+    """``model``: symbols, (grams, logs, back-offs) of each order, and the floor."""
+
+    def __init__(self, model: tuple):
+        self.symbol, orders, self.floor = model
         self.tables = [None, *(GramTable(*o) for o in orders)]
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
@@ -136,6 +138,16 @@ class Scorer:
         return out
 
 
+_held: list = [None, None]
+
+
+def scorer_of(shared) -> Scorer:
+    """One scorer for each Python worker and model; the tables are built there."""
+    if _held[0] is not shared.value:
+        _held[:] = shared.value, Scorer(shared.value)
+    return _held[1]
+
+
 def symbols(sample: DataFrame) -> np.ndarray:
     """Symbol of each code point: the sample's characters by frequency."""
 
@@ -173,8 +185,8 @@ def discounts(table: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))
 
 
-def train(sample: DataFrame) -> Scorer:
-    """Kneser-Ney tables of a bounded sample (text), by joins sharded by gram."""
+def train(sample: DataFrame) -> tuple:
+    """Kneser-Ney model of a bounded sample (text), by joins sharded by gram."""
     symbol = symbols(sample)
     orders = {ORDER: stored(gram_counts(sample, symbol), "kn-counts")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct left neighbours
@@ -202,18 +214,18 @@ def train(sample: DataFrame) -> Scorer:
     arrays = []
     for k, table in enumerate(tables, 1):
         full = table.join(backs[k + 1], "gram", "left") if k < ORDER else table.withColumn("back", F.lit(None).cast("double"))
-        got = full.select("gram", F.ln("p").alias("p"), F.coalesce(F.ln("back"), F.lit(0.0)).alias("back")).toPandas()
-        arrays.append((got["gram"].to_numpy(np.int64), got["p"].to_numpy(np.float32), got["back"].to_numpy(np.float32)))
-    return Scorer(symbol, arrays, float(floor))
+        got = full.select("gram", F.ln("p").cast("float").alias("p"), F.coalesce(F.ln("back"), F.lit(0.0)).cast("float").alias("back")).toArrow()
+        arrays.append(tuple(got.column(c).to_numpy() for c in ("gram", "p", "back")))
+    return symbol, arrays, float(floor)
 
 
-def perplexities(docs: DataFrame, scorer: Scorer) -> DataFrame:
+def perplexities(docs: DataFrame, model: tuple) -> DataFrame:
     """(id, lang, chars, perplexity) of each row of (id, lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = shared.value.surprise(batch.column(2).to_pylist())
+            got = scorer_of(shared).surprise(batch.column(2).to_pylist())
             values = [float(np.exp(s / n)) if n else None for s, n in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in got], pa.int64()), pa.array(values, pa.float64())], names=["id", "lang", "chars", "perplexity"])
 

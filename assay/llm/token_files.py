@@ -135,13 +135,30 @@ class TokenFile:
         return self.ids[start:end]
 
 
+class Pieces(dict):
+    """Stretch of text after a blank -> ids; notes the stretches it lacks."""
+
+    def __init__(self, old: dict[str, bytes]):
+        super().__init__()
+        self.old, self.lacks = old, []
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            self.lacks.append(part)
+            return b""
+        self[part] = found
+        return found
+
+
 class ChunkedEncoder:
     """The tokenizers library, asked once for each distinct stretch of text.
 
     A blank that follows no other blank begins a new piece in the library's
     splitting rule, whatever stands before it, so such stretches are encoded
-    alone and remembered. Texts with two blanks in a row or with a special
-    token are encoded whole.
+    once and remembered. New stretches go to the library joined, and tokens are
+    told apart by their lengths. Texts with two blanks in a row or with a
+    special token are encoded whole.
     """
 
     def __init__(self, spec: str, limit: int = 250_000):
@@ -149,34 +166,53 @@ class ChunkedEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        strings = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(strings.values()) + 1, np.int64)
+        self.sizes[list(strings.values())] = [len(s) for s in strings]  # a letter for each byte
+        self.pieces = Pieces({})
         self.limit = limit
 
     def library(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in got]
 
+    def learn(self, parts: list[str]) -> None:
+        """Ids of new stretches: those that begin with text are joined."""
+        plain = [p for p in parts if p and not p[0].isspace()]
+        alone = [p for p in parts if not p or p[0].isspace()]
+        self.pieces.update(zip(alone, self.library([" " + p for p in alone]), strict=True))
+        bunches = [plain[at : at + 400] for at in range(0, len(plain), 400)]
+        for bunch, raw in zip(bunches, self.library(["".join([" " + p for p in b]) for b in bunches]), strict=True):
+            ends = np.cumsum(self.sizes[np.frombuffer(raw, np.uint32)])
+            cuts = np.searchsorted(ends, np.cumsum([1 + len(p.encode("utf-8")) for p in bunch])) + 1
+            at = 0
+            for part, cut in zip(bunch, cuts.tolist(), strict=True):
+                self.pieces[part] = raw[4 * at : 4 * cut]
+                at = cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = []
-        for text in texts:
-            if "  " in text or any(s in text for s in self.special):
-                chunked.append(None)
-            else:
-                parts = text.split(" ")
-                chunked.append([parts[0], *[" " + p for p in parts[1:]]])
-        if len(self.known) > self.limit:
-            self.old, self.known = self.known, {}
-        known, old, new = self.known, self.old, []
-        for chunk in {c for chunks in chunked if chunks for c in chunks}:
-            if chunk not in known:
-                if chunk in old:
-                    known[chunk] = old[chunk]
-                else:
-                    new.append(chunk)
-        known.update(zip(new, self.library(new), strict=True))
-        whole = iter(self.library([t for t, c in zip(texts, chunked, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in chunked]
+        if len(self.pieces) > self.limit:
+            self.pieces = Pieces(dict(self.pieces))
+        known = self.pieces
+        split = [None if "  " in t or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        heads = iter(self.library([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)]))
+        known.lacks = []
+        rests = [b"" if parts is None else b"".join(map(known.__getitem__, parts[1:])) for parts in split]
+        if known.lacks:
+            new = set(known.lacks)
+            self.learn(list(new))
+            rests = [r if parts is None or new.isdisjoint(parts) else b"".join(map(known.__getitem__, parts[1:])) for r, parts in zip(rests, split, strict=True)]
+        return [next(heads) + rest for rest in rests]
+
+
+_held: list = [None, None]
+
+
+def encoder_of(shared) -> ChunkedEncoder:
+    """One encoder, with what it remembers, for each Python worker and vocabulary."""
+    if _held[0] is not shared.value:
+        _held[:] = shared.value, ChunkedEncoder(shared.value)
+    return _held[1]
 
 
 def put_file(folder: str, name: str, raw: bytes) -> None:
@@ -217,7 +253,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, id
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = ChunkedEncoder(spec.value)
+        encoder = encoder_of(spec)
         doc_ids, ends, ids, files = [], [], bytearray(), 0
 
         def flush() -> pa.RecordBatch:
