@@ -14,7 +14,7 @@ linked when 100 * |A and B| >= 85 * |A or B|. Method:
    different; full sets decide the rest;
 4. buckets whose members are not yet in one component are examined once more:
    members outside the smallest member's component meet all others, in blocks,
-   on sketches of 1024 samples. First each of them offers its best partner in
+   on sketches of 2048 samples. First each of them offers its best partner in
    another component to the full sets, which connects most; then all pairs that
    still lie in different components are offered. Pairs that are already
    connected are passed over, which loses no component.
@@ -45,7 +45,7 @@ from .components import components
 
 BANDS, ROWS = 30, 6
 #: (samples, sketch bits) of the first and of the precise pass.
-COARSE, FINE = (BANDS * ROWS, 512), (1024, 4096)
+COARSE, FINE = (BANDS * ROWS, 512), (2048, 8192)
 #: Members of a block of a mixed bucket.
 BLOCK = 512
 #: Ids are broadcast up to this many (8 bytes each); beyond, they are joined.
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
                 keep.append(100 * both >= percent * (len(own) + len(known) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
     texts = only(docs, ids)
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
