@@ -12,6 +12,11 @@ with fewer words is one window. Method:
    window's anchors: what both point to is a candidate start;
 5. compare the candidate's words with the window's and mark the words inside.
 
+A document is known by a hash of its id and text, so that a null id and ids that
+rows share work; the anchors met are a set of bits, so that a row that occurs
+twice counts none twice. Step 5 compares each row's own words, so two documents
+of one hash cannot give a wrong hit.
+
 Only anchors are indexed, never the frequent words of a window. Grouping is by
 (window, document, start), so no word or passage gathers in one task. Lists of
 words and candidates that come from the benchmark are broadcast up to a counted
@@ -19,7 +24,7 @@ limit and shuffled beyond it.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words is ignored; repeated windows count once and repeated rows are
-judged one by one; empty tables give no hits or an empty table; other columns
+judged one by one, those with a null id too; empty tables give no hits or an empty table; other columns
 are ignored.
 """
 
@@ -57,13 +62,13 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, width: int) ->
 
 
 def window_anchors(windows: DataFrame, frequencies: DataFrame, lists: int) -> DataFrame:
-    """The ``lists`` rarest words of each window that can occur: (phrase, word, offset)."""
+    """The ``lists`` (63 at most) rarest words of each window that can occur: (phrase, word, offset, bit)."""
     places = windows.select("phrase", F.posexplode("tokens").alias("offset", "word"))
     rated = places.join(frequencies, "word", "left")
     by = Window.partitionBy("phrase")
     rated = rated.withColumn("rank", F.row_number().over(by.orderBy(F.coalesce("frequency", F.lit(0)), "word", "offset")))
     rated = rated.withColumn("least", F.min(F.coalesce("frequency", F.lit(0))).over(by))
-    return rated.where((F.col("rank") <= lists) & (F.col("least") > 0)).select("phrase", "word", "offset")
+    return rated.where((F.col("rank") <= lists) & (F.col("least") > 0)).select("phrase", "word", "offset", F.expr("shiftleft(1L, rank - 1)").alias("bit"))
 
 
 def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -79,9 +84,9 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def candidate_starts(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(phrase, id, start) to which all anchors of a window point."""
-    shifted = index.join(counted(anchors), "word").select("phrase", "id", (F.col("position") - F.col("offset")).alias("start"))
-    need = anchors.groupBy("phrase").agg(F.count("*").alias("need"))
-    met = shifted.where("start >= 0").groupBy("phrase", "id", "start").agg(F.count("*").alias("met"))
+    shifted = index.join(counted(anchors), "word").select("phrase", "id", "bit", (F.col("position") - F.col("offset")).alias("start"))
+    need = anchors.groupBy("phrase").agg(F.bit_or("bit").alias("need"))
+    met = shifted.where("start >= 0").groupBy("phrase", "id", "start").agg(F.bit_or("bit").alias("met"))
     return met.join(counted(need), "phrase").where("met = need").select("phrase", "id", "start")
 
 
@@ -118,22 +123,22 @@ def decontaminate(
     A document is contaminated if a word is hit and at least one word in
     ``share`` is.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     windows = stored(item_windows(items, item_col, item_text_col, width), "windows")
     vocabulary = windows.select(F.explode("tokens").alias("word")).distinct()
     counts = stored(frequencies(docs, vocabulary), "frequencies")
     anchors = stored(window_anchors(windows, counts, 2), "anchors")
-    index = stored(postings(docs, anchors.select("word").distinct()), "postings")
+    index = stored(postings(docs.select(F.col("key").alias("id"), "text"), anchors.select("word").distinct()), "postings")
     starts = candidate_starts(index, anchors).join(counted(windows.select("phrase", "n", "items")), "phrase")
-    found = stored(starts.groupBy("id").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found")), "candidates")
+    found = stored(starts.groupBy(F.col("id").alias("key")).agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found")), "candidates")
 
-    ids = counted(found.select("id"))
-    maybe = docs.join(ids, "id", "left_semi").join(found, "id").select("id", words("text").alias("w"), "found")
+    ids = counted(found.select("key"))
+    maybe = docs.join(ids, "key", "left_semi").join(found, "key").select("id", words("text").alias("w"), "found")
     exact = F.filter("found", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["phrase"])
     maybe = maybe.withColumn("found", exact)
     places = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
     hit = judged(maybe, F.size(places), F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
-    rest = docs.join(ids, "id", "left_anti").select("id", words("text").alias("w"))
+    rest = docs.join(ids, "key", "left_anti").select("id", words("text").alias("w"))
     clean = judged(rest, F.lit(0), F.array().cast("array<string>"))
     out = hit.unionByName(clean).withColumnRenamed("id", id_col)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

@@ -12,6 +12,7 @@ judged alike, and of equal texts one id stays.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assay.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from assay.llm.common import stored, without
@@ -35,9 +36,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, judged.where("contaminated"), "doc_id")
+    """Drop contaminated documents.
+
+    Whole rows are judged, so that one with a null id, or whose id another row
+    shares, leaves by its own text.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    judged = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), "row")
+    return judged.where("not contaminated").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

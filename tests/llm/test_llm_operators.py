@@ -209,6 +209,22 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
     assert decontaminate.decontaminate(empty, no_items).count() == 0
 
 
+def test_decontamination_of_repeated_rows_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"passage{k}" for k in range(15))
+    rows = [(1, f"so {passage} it"), (1, f"so {passage} it"), (None, f"null {passage}"), (2, "single"), (2, "single"), (3, "clean words"), (None, "clean too"), (3, f"shares an id {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, passage), (2, "single")], "item_id bigint, text string")
+    got = decontaminate.decontaminate(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [
+        (0, 2, 0, 0, False), (0, 16, 15, 1, True), (1, 17, 15, 1, True), (1, 17, 15, 1, True), (2, 1, 1, 1, True), (2, 1, 1, 1, True), (3, 2, 0, 0, False), (3, 18, 15, 1, True),
+    ]
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.benchmark_free(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["clean too", "clean words"]
+
+
 def test_proximity_finds_words_that_moved(spark):
     docs = spark.createDataFrame([(1, "a zebra sat near the old quail"), (2, "a zebra sat quail")], "id bigint, text string")
     anchors = spark.createDataFrame([("p", "zebra", 0), ("p", "quail", 3)], "phrase string, word string, offset int")
