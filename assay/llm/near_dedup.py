@@ -1,14 +1,16 @@
 """Near-duplicate components by MinHash bands and odd sketches.
 
-A document's set holds the distinct 3-word shingles of its whole text (A-Z
-lower-cased); fewer words form one shingle, no words none. Two documents are
-linked when 100 * |A and B| >= 85 * |A or B|. Method:
+A document's set holds the distinct shingles (of 3 words, unless ``width`` says
+otherwise) of its whole text (A-Z lower-cased); fewer words form one shingle,
+no words none. Two documents are linked when 100 * |A and B| >= 85 * |A or B|
+(or another ``percent``). Method:
 
 1. documents with the same set collapse into a class, so exact copies never
    meet one another again;
 2. each class has MinHash samples, folded into an odd sketch: sample i toggles
    bit h(i, value), so the population count of two sketches' XOR estimates how
-   many samples differ; 30 bands of six samples give the buckets;
+   many samples differ; bands of six samples give the buckets, as many as the
+   threshold needs (30 at 85 %, 46 at 80 %);
 3. every member of a bucket is held against the bucket's smallest member
    (a row for each member, never all pairs). The sketches drop what is far too
    different; full sets decide the rest;
@@ -19,8 +21,7 @@ linked when 100 * |A and B| >= 85 * |A or B|. Method:
    still lie in different components are offered. Pairs that are already
    connected are passed over, which loses no component.
 
-A pair at the threshold is missed by all 30 bands with a probability below
-1e-6, and by a sketch (five standard deviations) below 1e-6.
+A pair at the threshold is missed by all bands with a probability below 1e-6, and by a sketch (five standard deviations) below 1e-6.
 
 Defined results: a null or empty text has an empty set, size 0, and is linked
 with nothing; repeated rows are returned as often as they occur; an empty
@@ -43,9 +44,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, stored, words_of
 from .components import components
 
-BANDS, ROWS = 30, 6
-#: (samples, sketch bits) of the first and of the precise pass.
-COARSE, FINE = (BANDS * ROWS, 512), (2048, 8192)
+#: Samples of a band, and how likely all bands may miss a pair at the threshold.
+ROWS, MISS = 6, 1e-6
+#: Sketch bits of the first pass; samples and sketch bits of the precise pass.
+COARSE_BITS, FINE = 512, (2048, 8192)
 #: Members of a block of a mixed bucket.
 BLOCK = 512
 #: Ids are broadcast up to this many (8 bytes each); beyond, they are joined.
@@ -55,6 +57,20 @@ SIGNATURE = "id long, n long, print binary, bands array<long>, sketch binary"
 _hashes = WordHashes()
 
 
+def bands_for(percent: int) -> int:
+    """How many bands find a pair at the threshold but for a chance of MISS."""
+    same = (percent / 100) ** ROWS
+    bands = 1 if same >= 1 else math.ceil(math.log(MISS) / math.log1p(-same)) if same > 0 else FINE[0]
+    if bands * ROWS > FINE[0]:
+        raise ValueError(f"a threshold of {percent} % needs more than {FINE[0]} samples")
+    return bands
+
+
+def coarse(percent: int) -> tuple[int, int]:
+    """(samples, sketch bits) of the first pass."""
+    return bands_for(percent) * ROWS, COARSE_BITS
+
+
 def shingle_set(raw: bytes | None, width: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     h = _hashes.of(words_of(raw))
@@ -86,11 +102,11 @@ def odd_sketch(least: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(slots.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def band_keys(least: np.ndarray) -> list[int]:
+def band_keys(least: np.ndarray, bands: int) -> list[int]:
     import xxhash
 
-    raw = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-    return [xxhash.xxh3_64_intdigest(raw[b].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
+    raw = least[: bands * ROWS].reshape(bands, ROWS)
+    return [xxhash.xxh3_64_intdigest(raw[b].tobytes(), seed=b) - (1 << 63) for b in range(bands)]
 
 
 def xor_limit(size: tuple[int, int], percent: int, sigmas: float = 5.0) -> int:
@@ -102,7 +118,7 @@ def xor_limit(size: tuple[int, int], percent: int, sigmas: float = 5.0) -> int:
     return math.ceil(mean + 2 * math.sqrt(mean))
 
 
-def signatures(docs: DataFrame, size: tuple[int, int], width: int) -> DataFrame:
+def signatures(docs: DataFrame, size: tuple[int, int], width: int, bands: int) -> DataFrame:
     """Set size, fingerprint, bands and sketch of each row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +128,10 @@ def signatures(docs: DataFrame, size: tuple[int, int], width: int) -> DataFrame:
                 shingles = shingle_set(raw, width)
                 least = min_samples(shingles, size[0])
                 some = len(shingles) > 0
-                rows.append((len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), band_keys(least) if some else [], odd_sketch(least, size[1])))
-            n, prints, bands, sketches = zip(*rows, strict=True) if rows else ((), (), (), ())
+                rows.append((len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), band_keys(least, bands) if some else [], odd_sketch(least, size[1])))
+            n, prints, keys, sketches = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
             ], names=["id", "n", "print", "bands", "sketch"])
 
     return docs.select("id", "text").mapInArrow(run, SIGNATURE)
@@ -142,7 +158,7 @@ def star_pairs(classes: DataFrame, heads: DataFrame, members: DataFrame, percent
     left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb")
-    limit = xor_limit(COARSE, percent)
+    limit = xor_limit(coarse(percent), percent)
     return rows.mapInArrow(lambda batches: popcount_pairs(batches, limit, percent), "a long, b long")
 
 
@@ -235,7 +251,7 @@ def mixed_pairs(rows: DataFrame, fine: DataFrame, percent: int, best_only: bool)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3) -> DataFrame:
     """Return (id_col, n_shingles, component_id, kept), a row for each row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    every = stored(signatures(docs, COARSE, width), "near-signatures")
+    every = stored(signatures(docs, coarse(percent), width, bands_for(percent)), "near-signatures")
     reps = stored(every.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")), "near-classes")
     classes = every.where("n > 0").join(reps.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi")
     classes = stored(classes.dropDuplicates(["id"]), "near-representatives")
@@ -250,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for best_only in (True, False):
         rows = mixed_buckets(heads, members, labels)
         if fine is None:
-            fine = stored(signatures(only(docs, rows.select("id").distinct()), FINE, width).dropDuplicates(["id"]), "near-fine")
+            fine = stored(signatures(only(docs, rows.select("id").distinct()), FINE, width, bands_for(percent)).dropDuplicates(["id"]), "near-fine")
         more = stored(mixed_pairs(rows, fine, percent, best_only), "near-more")
         if more.isEmpty():
             break

@@ -31,8 +31,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the smallest id stays."""
-    return without(docs, near_dedup.near_duplicates(docs).where("not kept"), "doc_id")
+    """Of each component of near duplicates (0.8 of all 5-word shingles), the smallest id stays."""
+    return without(docs, near_dedup.near_duplicates(docs, percent=80, width=5).where("not kept"), "doc_id")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,6 +143,29 @@ def test_near_dedup_matches_brute_force(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_near_stage_matches_brute_force_at_80_percent(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    rows = []
+    for k in range(12):  # a copy with a tail, one with a passage replaced, and one beyond the threshold
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        new = [f"n{r.randrange(10**6)}" for _ in range(70)]
+        rows += [base, base + new[: 38 + k], base[:80] + new[:15] + base[95:], base + new[::-1]]
+    five = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in rows]
+    likeness = {(a, b): len(five[a] & five[b]) / len(five[a] | five[b]) for a in range(len(rows)) for b in range(a)}
+    assert sum(0.8 <= x < 0.85 for x in likeness.values()) >= 20
+    label = list(range(len(rows)))
+    for _ in rows:
+        for (a, b), x in likeness.items():
+            if x >= 0.8:
+                label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert left == {i for i, x in enumerate(label) if x == i} and 12 < len(left) < len(rows)
+    assert [near_dedup.bands_for(p) for p in (100, 85, 80)] == [1, 30, 46]
+
+
 def test_near_dedup_of_a_group_that_its_first_member_does_not_hold(spark):
     """A chain of edits: members near one another, many not near the smallest id."""
     r = random.Random(5)
