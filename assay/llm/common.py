@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,18 +13,23 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that Python gets while a table is written.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is made the context's checkpoint folder and used from then on.
+    Only where the setting is absent and all tasks run in this process (tests),
+    a temporary folder is made the context's checkpoint folder and used from
+    then on; on a cluster a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="assay-"))
         folder = context.getCheckpointDir()
     return folder
@@ -32,16 +39,43 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark hands Python batches of at most BATCH_BYTES, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     The lineage ends here: a lost executor costs a re-read, not a recomputation.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """A column's type, as schema strings write it."""
+    return df.schema[column].dataType.simpleString()
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "id", broadcast_ids: int = 4_000_000) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids``.
+
+    The ids (8 bytes each) are broadcast up to a counted limit, joined beyond it.
+    """
+    few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
+
+
 def lower_ascii(text: Column | str) -> Column:
     """Lower-case A-Z only; every other character stays."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -24,8 +24,10 @@ no words none. Two documents are linked when 100 * |A and B| >= 85 * |A or B|
 A pair at the threshold is missed by all bands with a probability below 1e-6, and by a sketch (five standard deviations) below 1e-6.
 
 Defined results: a null or empty text has an empty set, size 0, and is linked
-with nothing; repeated rows are returned as often as they occur; an empty
-table gives an empty table; ids are taken as unique, rows that share an id
+with nothing; repeated rows are returned as often as they occur; a row with a
+null id is never dropped and drops nothing (its component is that of its exact
+copies that have an id, else null); an empty table gives an empty table; ids
+may be of any type that compares and are taken as unique, rows that share an id
 share a component; other columns are ignored.
 """
 
@@ -41,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, stored, words_of
+from .common import WordHashes, kind_of, mix64, only_ids, stored, words_of
 from .components import components
 
 #: Samples of a band, and how likely all bands may miss a pair at the threshold.
@@ -50,11 +52,11 @@ ROWS, MISS = 6, 1e-6
 COARSE_BITS, FINE = 512, (2048, 8192)
 #: Members of a block of a mixed bucket.
 BLOCK = 512
-#: Ids are broadcast up to this many (8 bytes each); beyond, they are joined.
-BROADCAST_IDS = 4_000_000
-SIGNATURE = "id long, n long, print binary, bands array<long>, sketch binary"
+#: Members of a bucket whose full sets are held against its smallest member in one task.
+SALTED = 256
+SIGNATURE = "id {}, n long, print binary, bands array<long>, sketch binary"
 
-_hashes = WordHashes()
+_hashes = WordHashes(100_000)
 
 
 def bands_for(percent: int) -> int:
@@ -134,13 +136,11 @@ def signatures(docs: DataFrame, size: tuple[int, int], width: int, bands: int) -
                 batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
             ], names=["id", "n", "print", "bands", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("id", "text").mapInArrow(run, SIGNATURE.format(kind_of(docs, "id")))
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``; the ids are broadcast if few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def pair_kind(df: DataFrame) -> str:
+    return "a {0}, b {0}".format(kind_of(df, df.columns[0]))
 
 
 def popcount_pairs(batches: Iterator[pa.RecordBatch], limit: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -159,11 +159,15 @@ def star_pairs(classes: DataFrame, heads: DataFrame, members: DataFrame, percent
     right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb")
     limit = xor_limit(coarse(percent), percent)
-    return rows.mapInArrow(lambda batches: popcount_pairs(batches, limit, percent), "a long, b long")
+    return rows.mapInArrow(lambda batches: popcount_pairs(batches, limit, percent), pair_kind(pairs))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+    """The pairs whose full sets reach the threshold.
+
+    The pairs of a b that has many are salted, so its text goes once to each of
+    several tasks instead of all its partners to one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -171,7 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
             keep = []
             b = batch.column(1).to_pylist()
             for k, (ra, rb) in enumerate(zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True)):
-                if b[k] != last:  # rows come sorted by b
+                if b[k] != last:  # rows of a b come together
                     last, known = b[k], shingle_set(rb.as_py(), width)
                 own = shingle_set(ra.as_py(), width)
                 both = len(np.intersect1d(own, known, assume_unique=True))
@@ -179,10 +183,13 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
-    texts = only(docs, ids)
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    texts = only_ids(docs, ids)
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    rows = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    spread = salts.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    spread = spread.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "tb")
+    return rows.join(spread, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, pair_kind(pairs))
 
 
 def compare_blocks(key: tuple, both: pa.Table, limit: int, percent: int, best_only: bool) -> pa.Table:
@@ -196,7 +203,7 @@ def compare_blocks(key: tuple, both: pa.Table, limit: int, percent: int, best_on
     def parts(t: pa.Table):
         sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
         bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(t.num_rows, -1)
-        return *(t.column(c).to_numpy() for c in ("id", "n", "comp", "outside")), sketches, bands
+        return *(np.asarray(t.column(c)) for c in ("id", "n", "comp", "outside")), sketches, bands
 
     ids, n, comp, _, sketches, bands = parts(both.filter(pc.field("side") == 0))
     ids2, n2, comp2, outside2, sketches2, bands2 = parts(both.filter(pc.field("side") == 1))
@@ -216,8 +223,9 @@ def compare_blocks(key: tuple, both: pa.Table, limit: int, percent: int, best_on
         first = (bands[i + at] == bands2[j]).argmax(axis=1) if len(i) else i
         own = bands[i + at, first] == bucket
         found.append((ids[i + at][own], ids2[j][own]))
-    a, b = (np.concatenate([f[k] for f in found]) if found else np.array([], np.int64) for k in (0, 1))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    kind = both.schema.field("id").type
+    a, b = (pa.array(np.concatenate([f[k] for f in found]) if found else [], kind) for k in (0, 1))
+    return pa.table({"a": a, "b": b})
 
 
 def mixed_buckets(heads: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -245,12 +253,12 @@ def mixed_pairs(rows: DataFrame, fine: DataFrame, percent: int, best_only: bool)
     right = rows.select("key", each("lefts").alias("l"), place("rights", 2).alias("r"), F.lit(1).alias("side"), *columns)
     limit = xor_limit(FINE, percent)
     groups = left.union(right).groupBy("key", "l", "r")
-    return groups.applyInArrow(lambda key, both: compare_blocks(key, both, limit, percent, best_only), "a long, b long").distinct()
+    return groups.applyInArrow(lambda key, both: compare_blocks(key, both, limit, percent, best_only), pair_kind(rows.select("id"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3) -> DataFrame:
     """Return (id_col, n_shingles, component_id, kept), a row for each row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     every = stored(signatures(docs, coarse(percent), width, bands_for(percent)), "near-signatures")
     reps = stored(every.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")), "near-classes")
     classes = every.where("n > 0").join(reps.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi")
@@ -266,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for best_only in (True, False):
         rows = mixed_buckets(heads, members, labels)
         if fine is None:
-            fine = stored(signatures(only(docs, rows.select("id").distinct()), FINE, width, bands_for(percent)).dropDuplicates(["id"]), "near-fine")
+            fine = stored(signatures(only_ids(docs, rows.select("id").distinct()), FINE, width, bands_for(percent)).dropDuplicates(["id"]), "near-fine")
         more = stored(mixed_pairs(rows, fine, percent, best_only), "near-more")
         if more.isEmpty():
             break
@@ -277,5 +285,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = whole.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.coalesce("label", "rep", "id")
     return whole.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )

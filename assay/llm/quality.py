@@ -1,23 +1,36 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
-Method: an interpolated modified Kneser-Ney model over character 5-grams is
-trained on documents labelled as good. Counts, continuation counts, discounts,
-back-off weights and the interpolation of each order with the next lower one
-are Spark aggregations and joins, sharded by gram. The finished tables are
-looked up batch by batch and give each document's perplexity over its whole
-text. A document is rejected when its perplexity leaves the band between two
-quantiles of the trusted documents' perplexities in its language.
-
-Bounds: at most about ``max_trusted`` trusted documents train the model (a hash
-of the id picks them when there are more), so its tables do not grow with the
-corpus and may be broadcast. Quantiles are taken over all trusted documents,
-perplexities over all documents.
+Method: an interpolated modified Kneser-Ney model over character 4-grams is
+trained on documents known to be good.
+
+1. A hash of the id splits the trusted documents: one half trains, the other
+   half, which the model has not seen, sets the thresholds.
+2. Counts, continuation counts, discounts, back-off weights and the
+   interpolation of each order with the next lower one are aggregations and
+   joins sharded by gram; no table of the model is collected.
+3. The distinct grams of all documents are joined with the sharded tables,
+   lowest order first, which gives each gram its log probability.
+4. These are summed over each whole text. Up to ``broadcast_grams`` distinct
+   grams (12 bytes each) the looked-up values are broadcast; beyond it,
+   documents are dealt to blocks by a hash of their id and each block gets the
+   values of its own grams by a join.
+5. A document is rejected when the logarithm of its perplexity, less what
+   chance adds to a text of its length, is beyond the quantile of the
+   thresholding half in its language.
+
+Only the upper edge is used: a text that the model predicts unusually well is a
+copy or a fixed phrase, which is for deduplication to judge.
+
+Grams hold whole code points (digits count as one digit, white space as one
+blank), so no script loses characters. Nothing is sampled: all trusted
+documents are used and all documents are scored.
 
 Defined results: a null or empty text has no perplexity (null) and is rejected;
-a document whose language is null or has too few trusted documents is held
-against the quantiles of all languages; without any trusted document all texts
-are kept; repeated rows are judged one by one; an empty table gives an empty
-table; other columns are ignored.
+a document whose language is null or has too few thresholding documents is held
+against the quantile of all languages; without any trusted document all texts
+are kept; repeated rows are judged one by one, rows with a null id too; ids may
+be of any type; an empty table gives an empty table; other columns are ignored
+unless they are asked for with ``carry``.
 """
 
 from __future__ import annotations
@@ -26,152 +39,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored
-
-ORDER, BITS = 5, 12
-MASKS = [(1 << BITS * k) - 1 for k in range(ORDER + 1)]
-#: Symbols: 0 unknown, 1 before the text, then characters by frequency.
-UNKNOWN, START, FIRST = 0, 1, 2
-ALPHABET = (1 << BITS) - FIRST
-#: Characters that are scored at once.
-CHUNK = 1 << 20
-
-
-def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, digits as 0 and white space as one blank; lengths."""
-    raws = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
-    points = np.frombuffer(b"".join(raws), np.uint32).copy()
+from .common import kind_of, only_ids, stored
+
+ORDER = 4
+#: Bytes of a code point in a gram, and the symbol before a text, beyond all code points.
+WIDE, START = 3, 0x110000
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Characters that are scored at once, and bytes of text in a block.
+CHUNK, BLOCK_BYTES = 1 << 20, 12 << 20
+PAD = np.full(ORDER - 1, START, np.uint32).tobytes()
+
+
+def chunks(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in lists of about CHUNK characters."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points with START before each text, where each character is, the
+    64-bit key of the gram that ends there, and the texts' lengths."""
+    raws = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+    lengths = np.array([len(r) // 4 for r in raws], np.int64)
+    points = np.frombuffer(b"".join(x for r in raws for x in (PAD, r)), np.uint32).copy()
     points[(points >= 0x30) & (points <= 0x39)] = 0x30
     points[(points >= 0x09) & (points <= 0x0D)] = 0x20
-    return points, np.array([len(r) // 4 for r in raws], np.int64)
+    ends = np.flatnonzero(points != START)
+    keys = points[: len(points) - ORDER + 1].astype(np.uint64)
+    for k in range(1, ORDER):
+        keys *= FACTOR
+        keys += points[k : len(points) - ORDER + 1 + k]
+    return points, ends, keys[ends - ORDER + 1].view(np.int64), lengths
 
 
-def gram_codes(texts: list[str | None], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-gram that ends at each character: newest symbol in the low bits."""
-    points, lengths = code_points(texts)
-    ids = symbol[np.minimum(points, len(symbol) - 1)].astype(np.int64)
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(ids)) - starts
-    codes = ids.copy()
-    for k in range(1, ORDER):
-        older = np.full(len(ids), START, np.int64)
-        older[k:] = ids[:-k] if len(ids) > k else ids[:0]
-        older[place < k] = START
-        codes |= older << (BITS * k)
-    return codes, lengths
-
-
-class GramTable:
-    """Gram -> (log probability, back-off weight): open addressing in numpy."""
-
-    def __init__(self, codes: np.ndarray, logs: np.ndarray, backs: np.ndarray):
-        size = 1 << max(4, int(3 * len(codes)).bit_length())
-        self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.keys = np.full(size, -1, np.int64)
-        self.values = np.zeros((size, 2), np.float32)
-        slots, rest = self.slot(codes), np.arange(len(codes))
-        while len(rest):
-            free = self.keys[slots] == -1
-            where, first = np.unique(slots[free], return_index=True)
-            put = rest[free][first]
-            self.keys[where] = codes[put]
-            self.values[where] = np.stack([logs[put], backs[put]], 1)
-            left = ~np.isin(rest, put)
-            rest, slots = rest[left], (slots[left] + 1) & (size - 1)
-
-    def slot(self, codes: np.ndarray) -> np.ndarray:
-        return (mix64(codes.astype(np.uint64)) >> self.shift).astype(np.int64)
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Slot of each code, -1 if it is absent."""
-        slots = self.slot(codes)
-        held = self.keys[slots]
-        found = np.where(held == codes, slots, -1)
-        rest = np.flatnonzero((held != codes) & (held != -1))
-        while len(rest):
-            slots[rest] = (slots[rest] + 1) & (len(self.keys) - 1)
-            held = self.keys[slots[rest]]
-            hit = held == codes[rest]
-            found[rest[hit]] = slots[rest[hit]]
-            rest = rest[~hit & (held != -1)]
-        return found
-
-
-class Scorer:
-    """``model``: symbols, (grams, logs, back-offs) of each order, and the floor."""
-
-    def __init__(self, model: tuple):
-        self.symbol, orders, self.floor = model
-        self.tables = [None, *(GramTable(*o) for o in orders)]
-
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log probability of the newest symbol of each gram."""
-        out = np.zeros(len(codes), np.float64)
-        rest = np.arange(len(codes))
-        for k in range(ORDER, 0, -1):
-            slots = self.tables[k].find(codes[rest] & MASKS[k])
-            hit = slots >= 0
-            out[rest[hit]] += self.tables[k].values[slots[hit], 0]
-            rest = rest[~hit]
-            if k > 1 and len(rest):
-                slots = self.tables[k - 1].find((codes[rest] >> BITS) & MASKS[k - 1])
-                out[rest] += np.where(slots >= 0, self.tables[k - 1].values[slots, 1], 0)
-        out[rest] += self.floor
-        return out
-
-    def surprise(self, texts: list[str | None]) -> list[tuple[float, int]]:
-        """Sum of negative logs and number of characters of each text."""
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < CHUNK):
-                size += len(texts[end] or "")
-                end += 1
-            codes, lengths = gram_codes(texts[at:end], self.symbol)
-            sums = np.concatenate([[0], np.cumsum(-self.logs(codes))])
-            ends = np.cumsum(lengths)
-            out += zip((sums[ends] - sums[ends - lengths]).tolist(), lengths.tolist(), strict=True)
-            at = end
-        return out
-
-
-_held: list = [None, None]
-
-
-def scorer_of(shared) -> Scorer:
-    """One scorer for each Python worker and model; the tables are built there."""
-    if _held[0] is not shared.value:
-        _held[:] = shared.value, Scorer(shared.value)
-    return _held[1]
-
-
-def symbols(sample: DataFrame) -> np.ndarray:
-    """Symbol of each code point: the sample's characters by frequency."""
+def distinct_windows(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Keys, grams (ORDER code points of WIDE bytes, oldest first) and counts."""
+    points, ends, keys, _ = windows(texts)
+    coded = pc.dictionary_encode(pa.array(keys))
+    at = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    wide = points[ends[first][:, None] + np.arange(1 - ORDER, 1)].astype(">u4").view(np.uint8)
+    raw = np.ascontiguousarray(wide.reshape(len(first), ORDER, 4)[:, :, 4 - WIDE :])
+    offsets = np.arange(0, ORDER * WIDE * (len(first) + 1), ORDER * WIDE, dtype=np.int32)
+    grams = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return coded.dictionary.to_numpy(), grams, np.bincount(at, minlength=len(first))
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(gram, key, n): occurrences of each gram in (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, n = np.unique(code_points(batch.column(0).to_pylist())[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(points, pa.int64()), pa.array(n, pa.int64())], names=["point", "n"])
+            for part in chunks(batch.column(0).to_pylist()):
+                keys, grams, n = distinct_windows(part)
+                yield pa.RecordBatch.from_arrays([grams, pa.array(keys), pa.array(n, pa.int64())], names=["gram", "key", "n"])
 
-    counts = sample.select("text").mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "point").limit(ALPHABET).collect()
-    table = np.zeros(0x110001, np.uint16)
-    table[[r.point for r in rows]] = np.arange(FIRST, FIRST + len(rows))
-    return table
+    rows = texts.select("text").mapInArrow(run, "gram binary, key long, n long")
+    return rows.groupBy("gram").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
 
 
-def gram_counts(sample: DataFrame, symbol: np.ndarray) -> DataFrame:
-    shared = sample.sparkSession.sparkContext.broadcast(symbol)
+def older(gram: Column | str, k: int) -> Column:
+    """All but the newest symbol of a gram of k."""
+    return F.substring(gram, 1, WIDE * (k - 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, n = np.unique(gram_codes(batch.column(0).to_pylist(), shared.value)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
 
-    return sample.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def newer(gram: Column | str, k: int) -> Column:
+    """All but the oldest symbol of a gram of k."""
+    return F.substring(gram, WIDE + 1, WIDE * (k - 1))
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -185,79 +131,150 @@ def discounts(table: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))
 
 
-def train(sample: DataFrame) -> tuple:
-    """Kneser-Ney model of a bounded sample (text), by joins sharded by gram."""
-    symbol = symbols(sample)
-    orders = {ORDER: stored(gram_counts(sample, symbol), "kn-counts")}
+class Model:
+    """Sharded tables of each order k: ``grams`` (gram, p) and ``contexts``
+    (context, back); ``floor`` is the probability of an unknown character."""
+
+    def __init__(self, grams: dict[int, DataFrame], contexts: dict[int, DataFrame], floor: float):
+        self.grams, self.contexts, self.floor = grams, contexts, floor
+
+
+def train(texts: DataFrame) -> Model:
+    """Kneser-Ney model of (text), by joins sharded by gram."""
+    orders = {ORDER: stored(gram_counts(texts).select("gram", "n"), "kn-counts")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct left neighbours
-        lower = orders[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(MASKS[k])).alias("gram")).agg(F.count("*").alias("n"))
+        lower = orders[k + 1].groupBy(newer("gram", k + 1).alias("gram")).agg(F.count("*").alias("n"))
         orders[k] = stored(lower, "kn-counts")
-    types = max(1, orders[1].count())
-    tables, below, floor = [], None, -np.log(types + 1)
+    types = orders[1].count()
+    grams: dict[int, DataFrame] = {}
     backs: dict[int, DataFrame] = {}
+    floor = 1.0 / (types + 1)
     for k in range(1, ORDER + 1):
         d1, d2, d3 = discounts(orders[k])
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = orders[k].withColumns({"context": F.shiftright("gram", BITS), "suffix": F.col("gram").bitwiseAND(F.lit(MASKS[k - 1]))})
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("freed"))
-        contexts = stored(contexts.withColumn("back", F.col("freed") / F.col("total")), "kn-contexts")
-        rows = rows.join(contexts, "context")
-        if below is None:
-            lower = F.lit(1.0 / (types + 1))
-            floor += float(np.log(contexts.first().back)) if orders[1].count() else 0.0
+        rows = orders[k].withColumn("context", older("gram", k))
+        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("freed"))
+        sums = stored(sums.select("context", "total", (F.col("freed") / F.col("total")).alias("back")), "kn-contexts")
+        rows = rows.join(sums, "context")
+        if k == 1:
+            rows = rows.withColumn("lower", F.lit(floor))
+            floor *= sums.first().back if types else 1.0
         else:
-            rows = rows.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-            lower = F.col("lower")
-        below = stored(rows.select("gram", ((F.col("n") - discount) / F.col("total") + F.col("back") * lower).alias("p")), "kn-order")
-        tables.append(below)
-        backs[k] = contexts.select(F.col("context").alias("gram"), "back")
-    arrays = []
-    for k, table in enumerate(tables, 1):
-        full = table.join(backs[k + 1], "gram", "left") if k < ORDER else table.withColumn("back", F.lit(None).cast("double"))
-        got = full.select("gram", F.ln("p").cast("float").alias("p"), F.coalesce(F.ln("back"), F.lit(0.0)).cast("float").alias("back")).toArrow()
-        arrays.append(tuple(got.column(c).to_numpy() for c in ("gram", "p", "back")))
-    return symbol, arrays, float(floor)
-
-
-def perplexities(docs: DataFrame, model: tuple) -> DataFrame:
-    """(id, lang, chars, perplexity) of each row of (id, lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+            lower = grams[k - 1].select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            rows = rows.withColumn("suffix", newer("gram", k)).join(lower, "suffix")
+        p = (F.col("n") - discount) / F.col("total") + F.col("back") * F.col("lower")
+        grams[k] = stored(rows.select("gram", p.alias("p")), "kn-order")
+        backs[k] = sums.select("context", "back")
+    return Model(grams, backs, floor)
+
+
+def gram_chances(need: DataFrame, model: Model) -> DataFrame:
+    """(gram, p): probability of the newest symbol of each distinct gram of ``need``."""
+    wanted = {ORDER: need.select("gram")}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = wanted[k + 1].select(newer("gram", k + 1).alias("gram")).distinct()
+    known = wanted[1].join(model.grams[1], "gram", "left").select("gram", F.coalesce("p", F.lit(model.floor)).alias("p"))
+    for k in range(2, ORDER + 1):
+        known = stored(known, "kn-known") if k == ORDER else known
+        rows = wanted[k].join(model.grams[k], "gram", "left").withColumns({"suffix": newer("gram", k), "context": older("gram", k)})
+        rows = rows.join(known.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        rows = rows.join(model.contexts[k], "context", "left")
+        known = rows.select("gram", F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.col("lower")).alias("p"))
+    return known
+
+
+def surprise(texts: list[str | None], keys: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of negative logs and number of characters of each text."""
+    sums, lengths = [], []
+    for part in chunks(texts):
+        _, _, own, n = windows(part)
+        at = pc.index_in(pa.array(own), value_set=keys).to_numpy()
+        running = np.concatenate([[0.0], np.cumsum(-logs[at])])
+        ends = np.cumsum(n)
+        sums.append(running[ends] - running[ends - n])
+        lengths.append(n)
+    return (np.concatenate(sums), np.concatenate(lengths)) if sums else (np.zeros(0), np.zeros(0, np.int64))
+
+
+def scored(part: pa.RecordBatch | pa.Table, keys: pa.Array, logs: np.ndarray) -> list[pa.Array]:
+    """The columns before the text, the lengths and the perplexities."""
+    sums, n = surprise(part.column("text").to_pylist(), keys, logs)
+    values = np.exp(sums / np.maximum(n, 1))
+    kept = [part.column(c) for c in ("id", "lang", "row")]
+    return [*kept, pa.array(n, pa.int64()), pa.array(values, pa.float64(), mask=n == 0)]
+
+
+def block_grams(dealt: DataFrame) -> DataFrame:
+    """(block, key, gram): the distinct grams of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = scorer_of(shared).surprise(batch.column(2).to_pylist())
-            values = [float(np.exp(s / n)) if n else None for s, n in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in got], pa.int64()), pa.array(values, pa.float64())], names=["id", "lang", "chars", "perplexity"])
+            blocks, texts = batch.column("block").to_numpy(), batch.column("text")
+            for block in np.unique(blocks):
+                for part in chunks(texts.filter(pa.array(blocks == block)).to_pylist()):
+                    keys, grams, _ = distinct_windows(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int64()), pa.array(keys), grams], names=["block", "key", "gram"])
+
+    return dealt.mapInArrow(run, "block long, key long, gram binary").groupBy("block", "key").agg(F.first("gram").alias("gram"))
+
+
+def perplexities(docs: DataFrame, model: Model, broadcast_grams: int) -> DataFrame:
+    """(id, lang, row, chars, perplexity) of each row of (id, lang, row, text)."""
+    names = ["id", "lang", "row", "chars", "perplexity"]
+    schema = f"id {kind_of(docs, 'id')}, lang string, row {kind_of(docs, 'row')}, chars long, perplexity double"
+    need = stored(gram_counts(docs.select("text")), "quality-grams")
+    chances = stored(gram_chances(need, model), "quality-chances")
+    if need.limit(broadcast_grams + 1).count() <= broadcast_grams:
+        got = need.join(chances, "gram").select("key", F.ln("p").alias("log")).toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("log").to_numpy()))
 
-    return docs.select("id", "lang", "text").mapInArrow(run, "id long, lang string, chars long, perplexity double")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, logs = shared.value
+            keys = pa.array(keys)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(scored(batch, keys, logs), names=names)
+
+        return docs.select("id", "lang", "row", "text").mapInArrow(run, schema)
+
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("id"), F.lit(1 + size // BLOCK_BYTES)).cast("long")
+    dealt = docs.select("id", "lang", "row", "text", block.alias("block")).repartition("block")
+    values = block_grams(dealt).join(chances, "gram").select(F.col("block").alias("b"), "key", F.ln("p").alias("log"))
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, logs = right.column("key").combine_chunks(), right.column("log").to_numpy()
+        return pa.table(scored(left, keys, logs), names=names)
+
+    return dealt.groupBy("block").cogroup(values.groupBy("b")).applyInArrow(look_up, schema)
 
 
 def classify(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    max_trusted: int = 20_000, low: float = 0.0005, high: float = 0.9995, least: int = 50, slack: float = 4.0,
+    high: float = 0.995, least: int = 20, slack: float = 2.0, broadcast_grams: int = 2_000_000, carry: list[str] | None = None,
 ) -> DataFrame:
-    """Return (id_col, perplexity, lower, upper, kept), a row for each row.
-
-    ``trusted`` has the ids of good documents. ``low`` and ``high`` are the
-    quantiles of their perplexities; a language with fewer than ``least``
-    trusted documents takes those of all languages. The logarithm of a text of
-    n characters may leave the band by slack / sqrt(n): the perplexity of a few
-    words says little.
+    """Return (id_col, perplexity, upper, kept), a row for each row.
+
+    ``trusted`` has the ids of good documents. The log perplexity of a text of
+    n characters counts less slack / sqrt(n), as the perplexity of a few words
+    says little; ``upper`` is the largest perplexity at which a document of its
+    length and language is kept, from the quantile ``high`` of those of the
+    thresholding half. A language with fewer than ``least`` of them takes the
+    quantile of all languages. ``carry`` names columns to return in a struct
+    ``row``.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    trusted = trusted.select(F.col(id_col).cast("long").alias("id")).distinct()
-    n = trusted.count()
-    share = min(1.0, max_trusted / max(n, 1))
-    chosen = trusted.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = docs.join(F.broadcast(chosen), "id", "left_semi").where("text is not null")
-    scores = stored(perplexities(docs, train(sample)), "quality-scores")
-    good = scores.where("perplexity is not null").join(trusted, "id", "left_semi")
-    edges = F.percentile_approx("perplexity", F.lit([low, high]), F.lit(20_000))
-    each = good.where("lang is not null").groupBy("lang").agg(edges.alias("own"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    out = scores.join(F.broadcast(each), "lang", "left").crossJoin(F.broadcast(good.agg(edges.alias("all"))))
-    edge = F.coalesce("own", "all")
-    out = out.withColumns({"lower": edge[0], "upper": edge[1]})
-    spare = F.exp(slack / F.sqrt("chars"))
-    inside = (F.col("perplexity") <= F.col("upper") * spare) & (F.col("perplexity") >= F.col("lower") / spare)
-    inside = F.coalesce(inside, F.col("perplexity").isNotNull())
-    return out.select(F.col("id").alias(id_col), "perplexity", "lower", "upper", inside.alias("kept"))
+    row = F.struct(*carry) if carry else F.lit(None).cast("string")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    trusted = stored(trusted.select(F.col(id_col).cast(kind_of(docs, "id")).alias("id")).where("id is not null").distinct(), "trusted")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    sample = only_ids(docs, trusted.where(half)).where("text != ''")
+    scores = stored(perplexities(docs, train(sample), broadcast_grams), "quality-scores")
+    reach = F.ln("perplexity") - F.try_divide(F.lit(slack), F.sqrt("chars"))
+    good = scores.where("perplexity is not null").join(trusted.where(~half), "id", "left_semi")
+    edge = F.percentile_approx(reach, F.lit(high), F.lit(20_000)).alias("edge")
+    each = good.where("lang is not null").groupBy("lang").agg(edge, F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    whole = good.agg(edge).first().edge
+    out = scores.join(each, "lang", "left").withColumn("edge", F.coalesce("edge", F.lit(whole).cast("double")))
+    spare = F.exp(F.col("edge") + F.try_divide(F.lit(slack), F.sqrt("chars")))
+    kept = F.coalesce(reach <= F.col("edge"), F.col("perplexity").isNotNull())
+    rest = ["row"] if carry else []
+    return out.select(F.col("id").alias(id_col), "perplexity", F.when(F.col("chars") > 0, spare).alias("upper"), kept.alias("kept"), *rest)
