@@ -6,7 +6,9 @@ reads back. All but the last return the columns of ``documents``.
 
 Defined results: an empty table passes through every stage; null and empty
 texts have no perplexity and leave at the quality stage; repeated rows are
-judged alike, and of equal texts one id stays.
+judged alike, and of equal texts one id stays. A row with a null id is judged
+by its own text where quality and contamination are concerned; deduplication,
+which names what it drops by id, leaves it. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,9 +22,15 @@ from assay.llm.queries import table, tokenizer
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality classifier rejects."""
+    """Drop what the quality classifier rejects.
+
+    A row is known by its id and a hash of its text, so that one with a null id,
+    or whose id another row shares, leaves by its own text.
+    """
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return without(docs, quality.classify(docs, trusted).where("not kept"), "doc_id")
+    marked = docs.select("doc_id", "text", "lang", F.struct("doc_id", F.xxhash64("text").alias("text")).alias("judged"))
+    bad = quality.classify(marked, trusted, carry=["judged"]).where("not kept").select("row.judged")
+    return without(docs.withColumn(JUDGED, F.struct("doc_id", F.xxhash64("text").alias("text"))), bad.withColumnRenamed("judged", JUDGED), JUDGED).drop(JUDGED)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +59,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizer("word_bpe_49k.json")))
 
 
+#: Column that no table of documents has.
+JUDGED = "judged row"
+
 STAGES = [
     ("quality classifier", good_quality),
     ("exact dedup", exact_copies),
