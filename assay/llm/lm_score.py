@@ -6,34 +6,42 @@ all others fall into hash classes, within which they follow their smoothed
 counts. Classes lie in groups of alike frequency, and P(class | history) is
 P(group | history) times P(class | group, history). Both are softmaxes over
 hashed features of the two tokens before: the bigram, the skip and the trigram
-feature, and a bias. They are trained
-by rounds of distributed gradient updates: each task runs minibatches over its
-share of all training texts, and the weights of all tasks are averaged, weighted
-by tokens. Texts are scored in numpy batches.
-
-Counts of all training tokens are needed for every text. Documents are dealt to
-blocks by a hash of their id; each block sends its distinct tokens once to the
-count table and gets their counts back, so neither a vocabulary nor a key that
-many rows share gathers in one task. A token of a training text has a count of
-1 at least, so counts of 1 are sent back only for words of held-out texts.
-
-Defined results: a null or empty text consists of the end token; without any
-training token every count is 0 and the model is uniform over classes; repeated
-rows are scored one by one; an empty table gives an empty table; other columns
-are ignored.
+feature, and a bias.
+
+1. Documents are dealt to blocks and tokenised once: a block's row holds its
+   vocabulary (64-bit hashes) and its texts as indices into it.
+2. Counts of all training tokens are summed by hash over the blocks.
+3. Weights are trained by rounds of distributed gradient updates: each task
+   runs minibatches over its share of all training texts, and the weights of
+   all tasks are averaged, weighted by tokens.
+4. Each block gets the counts of its own words by a join (those of the
+   ``FREQUENT`` most frequent words are broadcast, so no word that occurs in
+   every block gathers in one task) and is scored in numpy batches.
+
+Size: counts grow with the corpus and are never collected. Hash slots of each
+feature kind grow with the square root of the training tokens, between
+SLOTS_FROM and SLOTS_TO (28 MB of weights), beyond which contexts share slots.
+A task trains on at least twice as many tokens as there are weights, so what
+the rounds send grows with the corpus and not with its square.
+
+Words are told apart by their 64-bit hash. Defined results: a null or empty text
+consists of the end token; without any training token every count is 0 and the
+model is uniform over classes; repeated rows are scored one by one, rows with a
+null id too (they are learned from); ids may be of any type; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAgeCache, crc32_mod, mix64, stored, words_of
+from .common import crc32_mod, kind_of, mix64, stored
 
 #: No word contains white space, so these stand for no word.
 END, BEGIN = b"\n", b"\t"
@@ -43,63 +51,91 @@ CLASSES = OWN + HASHED
 WITHIN = 8
 GROUPS = CLASSES // WITHIN
 WIDTH = GROUPS + CLASSES
-#: Hash slots of each of the three feature kinds; the bias is the last row.
-SLOTS = 1 << 11
-ROWS = 3 * SLOTS + 1
+#: Hash slots of each of the three feature kinds; the bias is a last row.
+SLOTS_FROM, SLOTS_TO = 1 << 10, 1 << 14
 ROUNDS, MINIBATCH, RATE = 3, 8192, 0.05
 ALPHA = 0.1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 #: Rows of the weight matrix that are summed in one task.
 SHARD = 128
+#: Words whose counts are broadcast (16 bytes each).
+FREQUENT = 1 << 16
+TOKENS = "block long, ids array<{}>, away array<boolean>, lengths binary, vocabulary binary, tokens binary"
 
 
 def hash_of(word: bytes) -> int:
-    """XXH64 with Spark's seed, so that SQL's xxhash64 agrees."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, 42)
+    return xxhash.xxh64_intdigest(word)
 
 
-class Hashes(TwoAgeCache):
-    def __init__(self):
-        super().__init__(hash_of, 200_000)
+def slots_for(tokens: int) -> int:
+    """A power of two near half the square root of the training tokens."""
+    return int(np.clip(1 << max(0, int(np.log2(max(1.0, tokens**0.5 / 2)))), SLOTS_FROM, SLOTS_TO))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+class Block:
+    """Texts of a block: each text's length, and all tokens as places in a vocabulary of hashes."""
 
-def class_column(word: str, own: list[bytes]) -> Column:
-    """Hash class of a token, null for a token that is its own class."""
-    hashed = F.pmod(F.xxhash64(word), F.lit(HASHED)).cast("int")
-    return F.when(~F.col(word).isin([F.lit(w) for w in own]), hashed) if own else hashed
+    def __init__(self, lengths: np.ndarray, vocabulary: np.ndarray, tokens: np.ndarray):
+        self.lengths, self.vocabulary, self.tokens = lengths, vocabulary, tokens
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Block:
+        """Tokens of texts: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then END."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat, full = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        text = np.repeat(np.arange(len(full)), full)[real]
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        raw = coded.dictionary.cast(pa.binary()).to_pylist()
+        vocabulary = np.fromiter(map(hash_of, [*raw, END]), np.uint64, len(raw) + 1)
+        lengths = np.bincount(text, minlength=len(full))
+        tokens = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), np.cumsum(lengths), len(raw))
+        return cls(lengths + 1, vocabulary, tokens)
+
+    @classmethod
+    def load(cls, batch: pa.RecordBatch | pa.Table, k: int) -> Block:
+        raw = [batch.column(c)[k].as_py() for c in ("lengths", "vocabulary", "tokens")]
+        return cls(np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.uint64), np.frombuffer(raw[2], np.uint32))
+
+    def of_texts(self, chosen: np.ndarray) -> Block:
+        return Block(self.lengths[chosen], self.vocabulary, self.tokens[np.repeat(chosen, self.lengths)])
+
+    def minibatches(self, classes: Classes, slots: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(tokens, feature rows, class labels) of MINIBATCH tokens at a time."""
+        labels, none = classes.of(self.vocabulary), np.uint64(hash_of(BEGIN))
+        place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        for low in range(0, len(self.tokens), MINIBATCH):
+            here = slice(low, low + MINIBATCH)
+            own = self.vocabulary[self.tokens[max(0, low - 2) : low + MINIBATCH]]
+            own = np.concatenate([np.full(max(0, 2 - low), none), own])  # two tokens of history first
+            one, two = own[1:-1].copy(), own[:-2].copy()
+            one[place[here] < 1], two[place[here] < 2] = none, none
+            yield here, feature_rows(one, two, slots), labels[self.tokens[here]]
 
 
 class Classes:
     """Token hash -> class."""
 
-    def __init__(self, own: list[bytes]):
-        pairs = sorted((hash_of(w), i) for i, w in enumerate(own))
-        self.hashes = np.array([h for h, _ in pairs], np.uint64)
-        self.numbers = np.array([i for _, i in pairs], np.int64)
+    def __init__(self, own: np.ndarray):
+        self.order = np.argsort(own)
+        self.hashes = own[self.order]
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = OWN + (hashes % np.uint64(HASHED)).astype(np.int64)
+        out = OWN + (hashes & np.uint64(HASHED - 1)).astype(np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
-            out[hit] = self.numbers[at[hit]]
+            out[hit] = self.order[at[hit]]
         return out
 
 
-def feature_rows(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Weight rows (n x 3) of each token's history; ``begins``: place in its text."""
-    none = np.uint64(hash_of(BEGIN))
-    one, two = np.full(len(hashes), none), np.full(len(hashes), none)
-    one[1:], two[2:] = hashes[:-1], hashes[:-2]
-    one[begins < 1], two[begins < 2] = none, none
-    slots = np.uint64(SLOTS)
-    three = mix64(one * np.uint64(0x9E3779B97F4A7C15) + two)
-    return np.stack([mix64(one) % slots, mix64(two) % slots + slots, three % slots + np.uint64(2 * SLOTS)], 1).astype(np.int64)
+def feature_rows(one: np.ndarray, two: np.ndarray, slots: int) -> np.ndarray:
+    """Weight rows (n x 3) of histories: the token before and the one before that."""
+    size = np.uint64(slots)
+    both = mix64(one * np.uint64(0x9E3779B97F4A7C15) + two)
+    return np.stack([mix64(one) % size, mix64(two) % size + size, both % size + np.uint64(2) * size], 1).astype(np.int64)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -110,14 +146,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Views of a (ROWS x WIDTH) matrix: group weights, class weights by (row, group)."""
+    """Views of a (3 * slots + 1 x WIDTH) matrix: group weights, class weights by (row, group)."""
 
     def __init__(self, matrix: np.ndarray):
+        self.slots = len(matrix) // 3
         self.groups = np.ascontiguousarray(matrix[:, :GROUPS])
-        self.classes = np.ascontiguousarray(matrix[:, GROUPS:]).reshape(ROWS * GROUPS, WITHIN)
+        self.classes = np.ascontiguousarray(matrix[:, GROUPS:]).reshape(-1, WITHIN)
 
     def matrix(self) -> np.ndarray:
-        return np.hstack([self.groups, self.classes.reshape(ROWS, CLASSES)])
+        return np.hstack([self.groups, self.classes.reshape(-1, CLASSES)])
 
     def chances(self, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Softmax over the groups, and over the classes of each token's ``group``."""
@@ -138,66 +175,75 @@ class Weights:
         return top[at, group] * inner[at, within]
 
 
+def summed(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``keys`` (sorted) and the sums of their rows."""
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(values, first, axis=0)
+
+
 class Trainer:
     """Minibatch gradient steps, scaled by each row's summed squared gradients."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = Weights(weights)
+    def __init__(self, matrix: np.ndarray):
+        self.weights = Weights(matrix)
         self.squares = [np.full(len(t), 1e-8, np.float32) for t in (self.weights.groups, self.weights.classes)]
         self.tokens = 0
 
     def step(self, rows: np.ndarray, labels: np.ndarray) -> None:
+        """Tokens are sorted by group, then stably by slot: short keys sort by radix,
+        and one order serves the group rows and the class rows of a feature kind."""
         group, within = np.divmod(labels, WITHIN)
-        gradients = self.weights.chances(rows, group)
-        places = rows, rows * GROUPS + group[:, None]
-        biases = np.full(len(rows), ROWS - 1), (ROWS - 1) * GROUPS + group
+        top, inner = self.weights.chances(rows, group)
         at = np.arange(len(labels))
-        for k, (gradient, right) in enumerate(zip(gradients, (group, within), strict=True)):
-            gradient[at, right] -= 1
-            for where in (*places[k].T, biases[k]):
-                self.move(k, where, gradient)
+        top[at, group] -= 1
+        inner[at, within] -= 1
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        slots = self.weights.slots
+        self.move(0, np.array([3 * slots]), top.sum(axis=0, keepdims=True))
+        keys, sums = summed(inner[order], group[order])
+        self.move(1, 3 * slots * GROUPS + keys, sums)
+        for k in range(3):
+            own = order[np.argsort((rows[order, k] - k * slots).astype(np.uint16), kind="stable")]
+            row = rows[own, k]
+            self.move(0, *summed(top[own], row))
+            self.move(1, *summed(inner[own], row * GROUPS + group[own]))
         self.tokens += len(labels)
 
-    def move(self, k: int, where: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(where, kind="stable")
-        where = where[order]
-        first = np.flatnonzero(np.diff(where, prepend=-1))
-        at, sums = where[first], np.add.reduceat(gradient[order], first, axis=0)
-        squares = self.squares[k]
+    def move(self, k: int, at: np.ndarray, sums: np.ndarray) -> None:
+        squares, table = self.squares[k], (self.weights.groups, self.weights.classes)[k]
         squares[at] += (sums * sums).mean(axis=1)
-        table = (self.weights.groups, self.weights.classes)[k]
         table[at] -= RATE * sums / np.sqrt(squares[at])[:, None]
 
 
-def tokens_of(raws: list[bytes | None], hashes: Hashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, their hashes, lengths, and each token's place in its text."""
-    lists = [[*words_of(raw), END] for raw in raws]
-    lengths = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate([hashes.of(x) for x in lists]) if lists else np.zeros(0, np.uint64)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return lists, flat, lengths, place
+def tokenised(docs: DataFrame) -> DataFrame:
+    """A row of TOKENS for each block of (id, text, held_out)."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(1 + size // BLOCK_BYTES)).cast("long")
 
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        column = texts.column("text").combine_chunks()
+        block = Block.of(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks))
+        ids, away = ([texts.column(c).to_pylist()] for c in ("id", "held_out"))
+        parts = ([x.tobytes()] for x in (block.lengths.astype(np.int64), block.vocabulary, block.tokens))
+        kinds = pa.list_(texts.schema.field("id").type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()
+        columns = [pa.array([key[0].as_py()], pa.int64()), *(pa.array(x, kind) for x, kind in zip((ids, away, *parts), kinds, strict=True))]
+        return pa.table(columns, names=["block", "ids", "away", "lengths", "vocabulary", "tokens"])
 
-def token_counts(training: DataFrame) -> DataFrame:
-    """(word, n) of all training tokens."""
+    return docs.withColumn("block", block).groupBy("block").applyInArrow(run, TOKENS.format(kind_of(docs, "id")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return rows
+def token_counts(blocks: DataFrame) -> DataFrame:
+    """(hash, n) of all training tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(words_of(raw))
-                counts[END] += 1
-                if len(counts) > 400_000:
-                    yield flush()
-        yield flush()
+            for k in range(batch.num_rows):
+                block = Block.load(batch, k).of_texts(~np.array(batch.column("away")[k].as_py(), bool))
+                n = np.bincount(block.tokens, minlength=len(block.vocabulary))
+                seen = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(block.vocabulary[seen].view(np.int64)), pa.array(n[seen], pa.int64())], names=["hash", "n"])
 
-    return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return blocks.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def averaged(updates: DataFrame, tasks: int) -> DataFrame:
@@ -218,69 +264,65 @@ def averaged(updates: DataFrame, tasks: int) -> DataFrame:
     return updates.groupBy("shard").applyInArrow(add, schema)
 
 
-def train(training: DataFrame, own: list[bytes]) -> np.ndarray:
-    """Weights (ROWS x WIDTH) after ROUNDS rounds over disjoint thirds of all texts."""
-    context = training.sparkSession.sparkContext
-    weights = np.zeros((ROWS, WIDTH), np.float32)
-    classes = context.broadcast(own)
-    tasks = max(1, training.rdd.getNumPartitions())
+def train(blocks: DataFrame, own: np.ndarray, tokens: int) -> np.ndarray:
+    """Weights after ROUNDS rounds over disjoint shares of all training texts."""
+    context = blocks.sparkSession.sparkContext
+    slots = slots_for(tokens)
+    rows = 3 * slots + 1
+    weights = np.zeros((rows, WIDTH), np.float32)
+    tasks = max(1, min(blocks.rdd.getNumPartitions(), tokens // ROUNDS // (2 * weights.size)))
     bunches = max(1, round(tasks**0.5))
-    for k in range(ROUNDS):
+    shares = blocks.coalesce(tasks)
+    for round_ in range(ROUNDS):
         start = context.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=start, round_=round_) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            hashes, known, trainer = Hashes(), Classes(classes.value), Trainer(start.value)
+            classes, trainer = Classes(own), Trainer(start.value)
             for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    _, flat, _, place = tokens_of(batch.column(0).slice(at, 64).cast(pa.binary()).to_pylist(), hashes)
-                    rows, labels = feature_rows(flat, place), known.of(flat)
-                    for low in range(0, len(flat), MINIBATCH):
-                        trainer.step(rows[low : low + MINIBATCH], labels[low : low + MINIBATCH])
+                for k in range(batch.num_rows):
+                    learn = ~np.array(batch.column("away")[k].as_py(), bool)
+                    learn &= np.arange(len(learn)) % ROUNDS == round_
+                    for _, features, labels in Block.load(batch, k).of_texts(learn).minibatches(classes, slots):
+                        trainer.step(features, labels)
             if trainer.tokens:
-                own_weights = trainer.weights.matrix()
-                parts = [(own_weights[low : low + SHARD] * np.float32(trainer.tokens)).tobytes() for low in range(0, ROWS, SHARD)]
-                bunch = TaskContext.get().partitionId() % bunches
-                n = len(parts)
+                held = trainer.weights.matrix() * np.float32(trainer.tokens)
+                parts = [held[low : low + SHARD].tobytes() for low in range(0, rows, SHARD)]
+                bunch, n = TaskContext.get().partitionId() % bunches, len(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([bunch] * n, pa.int32()), pa.array(parts, pa.binary()), pa.array([trainer.tokens] * n, pa.int64())], names=["shard", "bunch", "part", "tokens"])
 
-        fold = training.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k)
-        updates = fold.select("text").mapInArrow(run, "shard int, bunch int, part binary, tokens long")
+        updates = shares.mapInArrow(run, "shard int, bunch int, part binary, tokens long")
+        weights = weights.copy()
         for row in averaged(updates, tasks).collect():
             part = np.frombuffer(row.part, np.float32).reshape(-1, WIDTH) / np.float32(row.tokens)
             weights[row.shard * SHARD : row.shard * SHARD + len(part)] = part
-        weights = weights.copy()
+        start.unpersist()
     return weights
 
 
-def distinct_tokens(blocks: DataFrame) -> DataFrame:
-    """(block, word, away): each block's distinct tokens; away: in a held-out text.
-
-    It reads all columns of ``blocks``, so that Spark deals the texts out once.
-    """
+def rare_words(blocks: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(block, hash, away): each block's words that are not ``frequent``; away: in a held-out text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, bool], set[bytes]] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, away = Block.load(batch, k), np.array(batch.column("away")[k].as_py(), bool)
+                rare = ~np.isin(block.vocabulary, frequent)
+                out = np.bincount(block.of_texts(away).tokens, minlength=len(block.vocabulary)) > 0
+                number = pa.array(np.full(int(rare.sum()), batch.column("block")[k].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([number, pa.array(block.vocabulary[rare].view(np.int64)), pa.array(out[rare])], names=["block", "hash", "away"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (block, away), words in seen.items():
-                if not away:
-                    words = words - seen.get((block, True), set())
-                n = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(list(words), pa.binary()), pa.array([away] * n, pa.bool_())], names=["block", "word", "away"])
-            seen.clear()
+    return blocks.mapInArrow(run, "block long, hash long, away boolean")
 
-        for batch in batches:
-            columns = batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for block, away, raw in zip(*columns, strict=True):
-                words = seen.setdefault((block, away), {END})
-                words.update(words_of(raw))
-                if sum(map(len, seen.values())) > 600_000:
-                    yield from flush()
-        yield from flush()
 
-    return blocks.mapInArrow(run, "block long, word binary, away boolean")
+def counts_of(vocabulary: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Count of each word, 0 where ``hashes`` lacks it."""
+    if not len(hashes):
+        return np.zeros(len(vocabulary))
+    order = np.argsort(hashes)
+    at = order[np.minimum(np.searchsorted(hashes, vocabulary, sorter=order), len(hashes) - 1)]
+    return np.where(hashes[at] == vocabulary, n[at], 0).astype(np.float64)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0) -> DataFrame:
@@ -291,51 +333,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """
     context = docs.sparkSession.sparkContext
     away = F.coalesce(crc32_mod(id_col, folds) == held, F.lit(False))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), away.alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    counts = stored(token_counts(training), "lm-counts")
-    own = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), away.alias("held_out"))
+    blocks = stored(tokenised(docs), "lm-tokens")
+    counts = stored(token_counts(blocks), "lm-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    top = counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
+    frequent = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    own = frequent[0][np.lexsort((frequent[0].view(np.int64), -frequent[1]))][:OWN]
     inner = np.zeros((CLASSES, 2))
-    for r in counts.groupBy(class_column("word", own).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        if r.c is not None:
-            inner[OWN + r.c] = r.n, r.v
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = 1 + size // BLOCK_BYTES
-    shared = context.broadcast((train(training, own), own, inner, totals.n, totals.v))
-    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    others = counts.where(~F.col("hash").isin(own.view(np.int64).tolist())) if len(own) else counts
+    for r in others.groupBy(F.col("hash").bitwiseAND(F.lit(HASHED - 1)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        inner[OWN + r.c] = r.n, r.v
+    shared = context.broadcast((train(blocks, own, totals.n), own, inner, totals.n, totals.v, frequent))
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = f"id {kind_of(docs, 'id')}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        weights, own, inner, n, v = shared.value
-        model, known, hashes = Weights(weights), Classes(own), Hashes()
-        counts = Counter(dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True)))
-        out = []
-        for at in range(0, left.num_rows, 32):
-            part = left.slice(at, 32)
-            lists, flat, lengths, place = tokens_of(part.column("text").cast(pa.binary()).to_pylist(), hashes)
-            least = [0.0 if away else 1.0 for away in part.column("held_out").to_pylist()]
-            c = np.concatenate([np.maximum(np.fromiter(map(counts.__getitem__, x), np.float64, len(x)), low) for x, low in zip(lists, least, strict=True)])
-            base = np.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
-            labels, rows = known.of(flat), feature_rows(flat, place)
-            logs = np.empty(len(flat))
-            for low in range(0, len(flat), MINIBATCH):
-                s = slice(low, low + MINIBATCH)
-                logs[s] = model.chance(rows[s], labels[s])
-            logs = np.log10(np.maximum(logs, 1e-30))
-            within = (c + ALPHA) / (inner[labels, 0] + ALPHA * (inner[labels, 1] + 1))
-            logs += np.where(labels < OWN, 0.0, np.log10(within))
-            ends = np.cumsum(lengths)
-            for k, (low, high) in enumerate(zip(ends - lengths, ends, strict=True)):
-                mine = slice(low, high)
-                out.append((int(high - low), int((c[mine] > 0).sum()), float(base[mine].sum()), float(logs[mine].sum())))
-        n_tokens, n_known, base, own_score = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({
-            "id": left.column("id").cast(pa.int64()), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([n] * len(out), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(own_score, pa.float64()),
-        })
-
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("long"))
-    dealt = placed.repartition("block")
-    dictionary = distinct_tokens(dealt).join(counts, "word").where("n > 1 or away").select(F.col("block").alias("b"), "word", "n")
-    scored = dealt.groupBy("block").cogroup(dictionary.groupBy("b")).applyInArrow(run, schema)
+        matrix, own, inner, total, types, frequent = shared.value
+        model, classes, parts = Weights(matrix), Classes(own), []
+        for k in range(left.num_rows):
+            block, away = Block.load(left, k), np.array(left.column("away")[k].as_py(), bool)
+            counts = counts_of(block.vocabulary, *frequent) + counts_of(block.vocabulary, right.column("hash").to_numpy().view(np.uint64), right.column("n").to_numpy())
+            # A word of a training text has been counted; counts of 1 are not sent for those.
+            c = np.where(np.repeat(away, block.lengths), counts[block.tokens], np.maximum(counts, 1)[block.tokens])
+            labels = classes.of(block.vocabulary)[block.tokens]
+            logs = np.log10((c + ALPHA) / (inner[labels, 0] + ALPHA * (inner[labels, 1] + 1)))
+            logs[labels < OWN] = 0
+            for here, features, own_labels in block.minibatches(classes, model.slots):
+                logs[here] += np.log10(np.maximum(model.chance(features, own_labels), 1e-30))
+            base = np.log10((c + ALPHA) / (total + ALPHA * (types + 1)))
+            first = np.cumsum(block.lengths) - block.lengths
+            sums = (np.add.reduceat(x, first) if len(first) else x for x in ((c > 0).astype(np.int64), base, logs))
+            known, base, logs = sums
+            n = len(first)
+            parts.append(pa.table([left.column("ids")[k].values, pa.array(away), pa.array(block.lengths), pa.array(known), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(logs)], names=names))
+        return pa.concat_tables(parts)
+
+    values = rare_words(blocks, frequent[0]).join(counts, "hash").where("n > 1 or away").select(F.col("block").alias("b"), "hash", "n")
+    scored = blocks.groupBy("block").cogroup(values.groupBy("b")).applyInArrow(run, schema)
     return scored.withColumnRenamed("id", id_col)

@@ -347,6 +347,56 @@ def test_language_model_counts_and_gains(spark, docs, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_language_model_score_matches_a_plain_softmax(spark):
+    """Scores of ids of type text, null ids, nulls, repeated rows and a very long text, token by token."""
+    import numpy as np
+
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(120)]
+    some = [" ".join(r.choices(words, range(120, 0, -1), k=r.randint(1, 60))) for _ in range(50)]
+    rows = [(f"k{i}", t) for i, t in enumerate([*some, None, "", "Unseen W1 w2", " ".join(r.choices(words, k=30_000))])]
+    rows += [rows[0], (None, "w1 w2 unheard"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    away = lambda i: i is not None and zlib.crc32(i.encode()) % 10 == 0
+    split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    counts = collections.Counter(w for i, t in rows if not away(i) for w in split(t))
+    total = sum(counts.values())
+    top = sorted(counts, key=lambda w: (-counts[w], np.uint64(lm_score.hash_of(w)).view(np.int64)))[: lm_score.OWN]
+    own = np.array([lm_score.hash_of(w) for w in top], np.uint64)
+    docs = table.select(F.col("doc_id").alias("id"), "text", F.coalesce(F.crc32(F.col("doc_id").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out"))
+    weights = lm_score.train(lm_score.tokenised(docs), own, total).astype(float)
+    slots, groups, within = lm_score.slots_for(total), lm_score.GROUPS, lm_score.WITHIN
+    label = lambda w: top.index(w) if w in top else lm_score.OWN + lm_score.hash_of(w) % lm_score.HASHED
+    mix = lambda x: int(lm_score.mix64(np.array([x], np.uint64))[0])
+    log_share = lambda z, k: (z[k] - math.log(sum(math.exp(x) for x in z))) / math.log(10)
+
+    def log_chance(word, one, two):
+        a, b = lm_score.hash_of(one), lm_score.hash_of(two)
+        at = [mix(a) % slots, slots + mix(b) % slots, 2 * slots + mix((a * 0x9E3779B97F4A7C15 + b) % 2**64) % slots, 3 * slots]
+        z, k = weights[at].sum(axis=0), label(word)
+        g = k // within
+        out = log_share(z[:groups], g) + log_share(z[groups + g * within : groups + (g + 1) * within], k % within)
+        if k >= lm_score.OWN:
+            mates = [n for w, n in counts.items() if label(w) == k]
+            out += math.log10((counts[word] + 0.1) / (sum(mates) + 0.1 * (len(mates) + 1)))
+        return out
+
+    got = lm_score.score(table).collect()
+    assert len(got) == len(rows) and sum(x.held_out for x in got) == sum(away(i) for i, _ in rows) > 0
+    texts_of = collections.defaultdict(list)
+    for i, t in rows:
+        texts_of[i].append(split(t))
+    for x in got:
+        options = [w for w in texts_of[x.doc_id] if len(w) == x.n_tokens]
+        assert options and x.held_out == away(x.doc_id)
+        w = options[0]
+        if len(w) < 1000:
+            padded = [b"\t", b"\t", *w]
+            assert abs(x.score - sum(log_chance(w[k], padded[k + 1], padded[k]) for k in range(len(w)))) < 1e-3 * len(w)
+        base = sum(math.log10((counts[t] + 0.1) / (total + 0.1 * (len(counts) + 1))) for t in w)
+        assert (x.n_known, x.train_tokens) == (sum(counts[t] > 0 for t in w), total) and abs(x.base_score - base) < 1e-9 * abs(base)
+
+
 def test_quality_keeps_the_good_and_drops_junk(spark, docs, empty):
     rows = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/labels.parquet")
