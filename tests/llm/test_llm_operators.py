@@ -496,6 +496,82 @@ def test_license_scan_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "id bigint, path string, text string")).count() == 0
 
 
+def test_license_headers_that_are_not_template_text(spark):
+    cases = {
+        "// SPDX-License-Identifier: MIT\nint main": "MIT", "# spdx-license-identifier: apache-2.0": "Apache-2.0", "SPDX-License-Identifier: WTFPL": None,
+        "Copyright (c) 2020 Some Body.\nAll rights reserved.": "Proprietary", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        f"{'many words before ' * 10} was released under the MIT License and {'then some more ' * 10}": "MIT", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "Mozilla Public License\nVersion 2.0\n=====": "MPL-2.0", "Permission is hereby granted, free of charge, to anybody who gets a copy of this software and associated documentation files": "MIT",
+        "all of the rights that a license has under the law": None, "license " * 500: None, "": None, "word " * 200_000: None,
+    }
+    rows = [(str(i), f"d{i}/f", t) for i, t in enumerate(cases)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "id string, path string, text string")), "id")
+    assert [got[str(i)].own_license for i in range(len(cases))] == list(cases.values())
+
+
+def brute_license_scan(rows, threshold, file_share):
+    """(own_license, score, license, license_dir) of each (id, path, text), by plain loops."""
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").translate(A_Z))
+    known = [(name, split(must), split(text)) for name, must, text in licenses.all_templates()]
+    spread = collections.Counter(w for _, _, t in known for w in set(t))
+    idf = {w: math.log((1 + len(known)) / (1 + n)) + 1 for w, n in spread.items()}
+    vector = lambda words: {w: n * idf.get(w, math.log(1 + len(known)) + 1) for w, n in collections.Counter(words).items()}
+    unit = lambda v: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    frequency = collections.Counter(w for _, _, t in rows for w in split(t) if w in spread)
+    own = []
+    for _, _, text in rows:
+        words, hits = split(text), []
+        for name, must, template in known:
+            weights, out, left = unit(vector(template)), set(), 0.0
+            for w in sorted(weights, key=lambda w: (-frequency[w], w)):
+                left += weights[w] ** 2
+                if left < threshold**2 - licenses.EPSILON:
+                    out.add(w)
+            starts = {max(0, p - k) for p, w in enumerate(words) for k, x in enumerate(template) if x == w and w not in out}
+            for start in starts:
+                passage = words[start : start + len(template)]
+                score = sum(x * weights.get(w, 0) for w, x in unit(vector(passage)).items())
+                if score >= threshold and set(must) <= set(passage):
+                    hits.append((-round(score * len(passage), 6), -round(score, 9), name, range(start, start + len(passage))))
+        best = min(hits, key=lambda h: h[:3]) if hits else None
+        own.append((best[2], -best[1], -best[0], len({p for h in hits for p in h[3]}) / len(words)) if best else None)
+    parent = lambda p: p.rpartition("/")[0] if p and "/" in p else None
+    given = {}
+    for (i, path, _), o in zip(rows, own, strict=True):
+        named = re.search(r"(?i)(^|/)(LICEN[SC]E|COPYING|NOTICE)[^/]*$", path or "")
+        if o and parent(path) is not None and (named or o[3] >= file_share):
+            given.setdefault(parent(path), []).append((-o[2], i, o[0]))
+    out = []
+    for (_, path, _), o in zip(rows, own, strict=True):
+        at = parent(path)
+        while at is not None and at not in given:
+            at = parent(at)
+        out.append((o[0], o[1], o[0], None) if o else (None, None, min(given[at])[2] if at else None, at))
+    return out
+
+
+def test_license_scan_matches_brute_force(spark):
+    r = random.Random(17)
+    known = [t for _, _, t in licenses.all_templates()]
+    rows = []
+    for i in range(60):
+        words = r.choice(known).split()
+        for _ in range(r.randint(0, 4)):  # words lost, changed and added
+            k = r.randrange(len(words))
+            words[k : k + 1] = r.choice([["a"], ["thing"], [words[k], "the"]] if len(words) < 4 else [[], ["thing"], [words[k], "the"]])
+        around = lambda: r.choices(["the", "of", "license", "thing", "software", "any", "x1"], k=r.choice([0, 3, 40]))
+        path = r.choice([None, "top", "a/f", "a/b/g", "a/b/c/LICENSE", "a/b/c/d/h", "e/x", "a/NOTICE.txt"])
+        rows.append((i, path, " ".join(around() + words + around()) if i % 9 else None))
+    rows += [rows[1], rows[2], rows[2]]
+    got = licenses.scan(spark.createDataFrame([(*x, 0, "clash") for x in rows], "id bigint, path string, text string, score int, key string")).collect()
+    want = brute_license_scan(rows, 0.7, 0.5)
+    assert sum(x[0] is not None for x in want) > 30 and sum(x[3] is not None for x in want) > 3
+    order = lambda x: sorted(x, key=repr)
+    assert order((x.id, x.path, x.own_license, x.score and round(x.score, 6), x.license, x.license_dir) for x in got) == order(
+        (i, path, a, s and round(s, 6), lic, at) for (i, path, _), (a, s, lic, at) in zip(rows, want, strict=True)
+    )
+
+
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
