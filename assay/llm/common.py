@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Bytes of an Arrow batch that Python gets while a table is written.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch that Python gets while a table is written, and of a row group of that table.
+BATCH_BYTES, GROUP_BYTES = 1 << 20, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +58,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
