@@ -56,7 +56,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return bpe.digests(bpe.encode_decode(docs, tokenizer("word_bpe_49k.json")))
+    return stored(bpe.digests(bpe.encode_decode(docs, tokenizer("word_bpe_49k.json"))), "tokens")
 
 
 #: Column that no table of documents has.
