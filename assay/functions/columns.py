@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Strings that count as null when a field is coerced.
 NULL_TOKENS = ("", "null", "None", "none")
@@ -84,12 +82,6 @@ def finite(x: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-@F.pandas_udf(T.DoubleType())
-def round6(x: pd.Series) -> pd.Series:
-    """Round half to even on the exact binary value, as decimal arithmetic would."""
-    return x.map(lambda v: round(v, 6) if v == v else None)
-
-
 # --- Coercion of text fields: five dialects, one helper each -----------------
 
 
@@ -115,11 +107,9 @@ def bool_c2(text: Column | str) -> Column:
 
 
 def bool_c3(text: Column | str) -> Column:
-    """Dialect 3: known words and numbers; anything else is null."""
+    """Dialect 3: known words; any other text is null, ``"2"`` too."""
     x = F.lower(F.trim(nullable(text)))
-    number = x.try_cast("double")
-    known = F.when(x.isin("true", "yes", "stable", "pass", "passed"), True).when(x.isin("false", "no", "unstable", "fail", "failed"), False)
-    return F.coalesce(known, number != 0)
+    return F.when(x.isin("true", "yes", "1", "stable", "pass", "passed"), True).when(x.isin("false", "no", "0", "unstable", "fail", "failed"), False)
 
 
 def bool_c4(text: Column | str) -> Column:

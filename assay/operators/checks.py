@@ -26,14 +26,26 @@ def repeated(rows: DataFrame, location: str, *keys: str) -> DataFrame:
     return violation(twice, "critical", "duplicate_key", location, F.concat_ws("|", *(F.col(k).cast("string") for k in keys)))
 
 
-def claims_stable_without_f3() -> Column:
-    """A row that calls itself stable although F3 was never validated."""
-    claims = F.coalesce(F.col("is_stable"), F.lit(False)) | F.coalesce(F.col("f3_label") == "pass", F.lit(False))
-    return claims & ~F.coalesce(F.col("f3_validation_available"), F.lit(False))
+#: Evidence that F3 was not validated, and statuses of a finished validation.
+NO_F3 = ("unknown", "unavailable", "unknown_unavailable")
+FINISHED = ("validated_success", "success", "validated", "completed")
+
+
+def claims_stable_without_f3(rows: DataFrame) -> Column:
+    """A row that calls itself stable although F3 was never validated.
+
+    Columns, absent ones being null: f3_label, offline_is_stable,
+    f3_validation_available, evidence_f3_status, validation_status.
+    """
+    of = lambda name, kind: (F.col(name) if name in rows.columns else F.lit(None)).cast(kind)
+    true = lambda c: F.coalesce(c, F.lit(False))
+    claims = true(F.lower(of("f3_label", "string")).isin("pass", "stable")) | true(of("offline_is_stable", "boolean"))
+    unavailable = true(of("evidence_f3_status", "string").isin(*NO_F3)) | ~true(of("f3_validation_available", "boolean"))
+    return claims & (unavailable | ~true(F.lower(of("validation_status", "string")).isin(*FINISHED)))
 
 
 def fabricated(rows: DataFrame, location: str) -> DataFrame:
-    return violation(rows.where(claims_stable_without_f3()), "critical", "fabricated_stability", location, "candidate_id")
+    return violation(rows.where(claims_stable_without_f3(rows)), "critical", "fabricated_stability", location, "candidate_id")
 
 
 def best_entries(candidates: DataFrame, priority: list[Column]) -> DataFrame:

@@ -89,14 +89,31 @@ def before_after(before: DataFrame, after: DataFrame, key: str, *values: str) ->
     return both.withColumns({f"delta_{v}": F.col(f"after_{v}") - F.col(f"before_{v}") for v in values})
 
 
-#: How far a rate may move before a comparison is called divergent.
-DIVERGENCE = {"validity_drop": -0.05, "agreement_drop": -0.1, "coverage_drop": -0.1, "entropy_drop": -0.5, "unique_drop": -0.1}
+#: Why a comparison diverges from its proxy.
+DIVERGENCE = (
+    "stable consensus rate increased while all-three agreement rate decreased",
+    "stable consensus rate increased while disagreement count increased",
+    "stable consensus rate increased while diversity/coverage decreased",
+    "stable consensus rate increased while F1/F2 fail rate increased",
+    "no observed strict-consensus stable-rate improvement in this matched proxy audit",
+)
 
 
 def divergence_reasons(delta: DataFrame) -> DataFrame:
-    """Add divergence_reasons from delta_validity, delta_agreement, ... columns."""
-    cases = [F.when(F.col("delta_" + name.removesuffix("_drop")) < limit, F.lit(name)) for name, limit in DIVERGENCE.items()]
-    return delta.withColumn("divergence_reasons", F.array_compact(F.array(*cases)))
+    """Add divergence_reasons from the signs of the deltas; a missing delta has none.
+
+    Columns: delta_ of stable_consensus_rate, all_three_agreement_rate,
+    disagreement_count, unique_sequence_fraction, spacegroup_count, f1_fail_rate,
+    f2_fail_rate and average_stable_vote_fraction_all_generated.
+    """
+    up = lambda name: F.coalesce(F.col(f"delta_{name}") > 0, F.lit(False))
+    down = lambda name: F.coalesce(F.col(f"delta_{name}") < 0, F.lit(False))
+    stable = up("stable_consensus_rate")
+    rules = [
+        stable & down("all_three_agreement_rate"), stable & up("disagreement_count"), stable & (down("unique_sequence_fraction") | down("spacegroup_count")),
+        stable & (up("f1_fail_rate") | up("f2_fail_rate")), ~stable & ~up("average_stable_vote_fraction_all_generated"),
+    ]
+    return delta.withColumn("divergence_reasons", F.array_compact(F.array(*(F.when(rule, F.lit(why)) for rule, why in zip(rules, DIVERGENCE, strict=True)))))
 
 
 def logprob_deltas(scores: DataFrame, before: str, after: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import mean_present, pass_label, sorted_set
-from .validate import last_wins, novelty_passed, succeeded
+from .validate import last_wins, novelty_passed, result_succeeded
 
 
 def rate(count: Column, total: Column) -> Column:
@@ -59,9 +59,11 @@ def ranking_metrics(ranked: DataFrame, top_k: int | None = None) -> DataFrame:
 
 
 def validation_metrics(validation: DataFrame, ranked: DataFrame, top_k: int | None = None, order: str = "_ord") -> DataFrame:
-    ok = succeeded("validation_status")
+    """Rates over validation results (validated, status, is_stable, e_above_hull,
+    novelty_label, error_message) and over the top of a ranking."""
+    ok = result_succeeded()
     stable = ok & F.coalesce("is_stable", F.lit(False))
-    failed = F.lower("validation_status").isin("failed", "error", "validation_error")
+    failed = F.coalesce(F.lower("status").isin("failed", "error"), F.lit(False)) | F.coalesce(F.col("error_message") != "", F.lit(False))
     share = lambda a, b: F.count_if(a) / F.nullif(F.count_if(b), F.lit(0))
     whole = validation.agg(
         F.count("*").alias("validation_count"), rate(F.count_if(ok), F.count("*")).alias("validation_success_rate"),
@@ -71,8 +73,9 @@ def validation_metrics(validation: DataFrame, ranked: DataFrame, top_k: int | No
         F.count_if(failed).alias("validation_failure_count"),
     )
     top = ranked.where(F.col("rank") <= top_k) if top_k else ranked
-    latest = last_wins(validation, "candidate_id", order).select("candidate_id", "validation_status", "is_stable")
-    seen = F.col("validation_status").isNotNull()
+    columns = ["candidate_id", "validated", "status", "is_stable", "error_message"]
+    latest = last_wins(validation.select(*columns, order), "candidate_id", order).withColumn("seen", F.lit(True))
+    seen = F.coalesce("seen", F.lit(False))
     part = top.select("candidate_id").join(latest, "candidate_id", "left").agg(
         share(stable, ok).alias("top_k_validated_stable_rate"), (F.count_if(seen) / F.nullif(F.count("*"), F.lit(0))).alias("top_k_validation_coverage"),
     )
@@ -118,16 +121,16 @@ def audit_rows(df: DataFrame, stability_known: bool = False) -> DataFrame:
     """Add labels, scores and failure reasons to vectorised rows.
 
     Unless stability is known, f3 is set to null after labelling and the score
-    is the mean of the other two. Scores are not rounded here.
+    is the mean of the other two. Scores are rounded to six digits.
     """
     f3 = F.col("f3_stability") if stability_known else F.lit(None).cast("double")
     df = df.withColumn("f3_stability", f3)
     reasons = F.concat("hard_failures", F.array(F.when(F.col("parse_status").isin("unparsed_cif", "parse_error", "partial_structure"), F.col("parse_status"))))
     df = df.withColumns({
         "f1_label": pass_label("f1_geometry"), "f2_label": pass_label("f2_chemistry"), "f3_label": pass_label("f3_stability"),
-        "fiir_score": mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), "failure_reasons": sorted_set(reasons),
+        "fiir_score": F.round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6), "failure_reasons": sorted_set(reasons),
     })
-    return df.withColumn("ranking_score", 1.0 - F.col("fiir_score"))
+    return df.withColumn("ranking_score", F.round(1.0 - F.col("fiir_score"), 6))
 
 
 def duplicate_extra(df: DataFrame, key: str) -> DataFrame:

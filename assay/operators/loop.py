@@ -6,32 +6,47 @@ rounds, each of which starts from the base candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.session import checkpointed
 from .rank import feedback_records, rank_by_utility, screen, validation_tasks
+from .validate import result_succeeded
+
+
+#: Decision and action of each outcome of a validation.
+POSITIVE = ("positive_evidence", "sample_similar_mock_family")
+FAILED = ("negative_evidence", "treat_failed_validation_as_future_negative")
+UNSTABLE = ("negative_evidence", "avoid_similar_high_failure_candidates")
+PENDING = ("pending_evidence", "defer_until_validation_completes")
 
 
 def validation_feedback(validation: DataFrame) -> DataFrame:
-    """(candidate_id, decision, action) from validation rows."""
-    ok = F.lower("validation_status").isin("completed", "validated", "success")
-    bad = F.lower("validation_status").isin("failed", "error", "validation_error")
-    decision = F.when(ok & F.col("is_stable"), "positive").when(ok & ~F.col("is_stable"), "negative").when(bad, "negative").otherwise("pending")
-    action = F.when(decision == "positive", "prioritize").when(decision == "negative", "deprioritize").otherwise("await_validation")
-    return validation.select("candidate_id", decision.alias("decision"), action.alias("action"))
+    """(candidate_id, decision, action) from validation results.
+
+    Columns: candidate_id, validated, status, is_stable, error_message.
+    """
+    ok, failed = result_succeeded(), F.coalesce(F.lower("status").isin("failed", "error"), F.lit(False))
+    outcome = lambda pair: F.struct(F.lit(pair[0]).alias("decision"), F.lit(pair[1]).alias("action"))
+    chosen = F.when(ok & F.col("is_stable"), outcome(POSITIVE)).when(failed, outcome(FAILED)).when(ok & ~F.col("is_stable"), outcome(UNSTABLE)).otherwise(outcome(PENDING))
+    return validation.select("candidate_id", chosen.alias("_o")).select("candidate_id", "_o.*")
+
+
+def evidence(kind: str) -> Column:
+    """Whether an event is evidence of this kind (positive or negative)."""
+    return F.coalesce(F.col("decision").isin(kind, f"{kind}_evidence"), F.lit(False))
 
 
 def buffer_summary(events: DataFrame) -> DataFrame:
     """Counts and sorted ids; evidence against a candidate that is also positive is ignored."""
-    ids = events.groupBy("candidate_id").agg(F.max(F.when(F.col("decision") == "positive", 1).otherwise(0)).alias("plus"), F.max(F.when(F.col("decision") == "negative", 1).otherwise(0)).alias("minus"))
+    ids = events.groupBy("candidate_id").agg(F.max(evidence("positive").cast("int")).alias("plus"), F.max(evidence("negative").cast("int")).alias("minus"))
     return ids.agg(F.count_if(F.col("plus") == 1).alias("positive_ids"), F.count_if((F.col("minus") == 1) & (F.col("plus") == 0)).alias("negative_ids"))
 
 
 def adjusted(base: DataFrame, events: DataFrame) -> DataFrame:
     """Base candidates with the buffer's evidence: positives first, then by id."""
-    ids = events.groupBy("candidate_id").agg(F.max(F.col("decision") == "positive").alias("plus"), F.max(F.col("decision") == "negative").alias("minus"))
+    ids = events.groupBy("candidate_id").agg(F.max(evidence("positive")).alias("plus"), F.max(evidence("negative")).alias("minus"))
     rows = base.join(ids, "candidate_id", "left")
     plus = F.coalesce("plus", F.lit(False))
     minus = F.coalesce("minus", F.lit(False)) & ~plus

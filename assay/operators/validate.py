@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bool_c3, double_lenient, first_present, nullable, to_int
+from ..functions.columns import bool_c3, col, double_lenient, mean_present, nullable, to_int
 
-#: Spellings of a validation status.
-STATUS = {
-    "completed": "completed", "complete": "completed", "success": "completed", "succeeded": "completed", "ok": "completed", "done": "completed", "validated": "completed",
-    "failed": "failed", "failure": "failed", "error": "failed", "validation_error": "failed",
-    "pending": "pending", "queued": "pending", "running": "pending", "submitted": "pending",
-}
+#: Spellings of a validation status that stand for another; all others stay.
+STATUS = {"complete": "completed", "ok": "success", "done": "completed", "error": "failed", "failure": "failed", "not_converged": "failed"}
+#: Statuses of a validation that ran to its end.
+SUCCESS = ("completed", "success", "succeeded", "validated")
+#: Keys of the conditions under which a candidate was generated.
+GENERATION = ("source_checkpoint", "source_model", "temperature", "top_k", "K")
+#: Fixed value: hull energy up to which a candidate counts as stable.
+STABLE_HULL = 0.05
 
 
 def last_wins(df: DataFrame, key: str | list[str], order: str | list[str]) -> DataFrame:
@@ -49,12 +51,24 @@ def unique_or_raise(df: DataFrame, key: str) -> DataFrame:
     return out.where(F.when(F.col("_dup").isNotNull(), fail.cast("boolean")).otherwise(True)).drop("_dup")
 
 
-def succeeded(status: Column | str = "validation_status") -> Column:
-    return F.lower(status).isin("completed", "validated", "success", "validated_success")
+def status_is_success(status: Column | str = "validation_status") -> Column:
+    return F.coalesce(F.lower(status).isin(*SUCCESS), F.lit(False))
+
+
+def result_succeeded(validated: Column | str = "validated", status: Column | str = "status", error: Column | str = "error_message") -> Column:
+    """A validation result: validated, not failed, without an error message."""
+    clean = F.coalesce(col(error) == "", F.lit(True))
+    return F.coalesce(col(validated), F.lit(False)) & ~F.coalesce(F.lower(status).isin("failed", "error"), F.lit(False)) & clean
+
+
+def import_succeeded(status: Column | str = "validation_status", error: Column | str = "error_reason", stable: Column | str = "is_stable", hull: Column | str = "e_above_hull") -> Column:
+    """An offline record: a success status, no error reason, and evidence."""
+    clean = F.coalesce(col(error) == "", F.lit(True))
+    return status_is_success(status) & clean & (col(stable).isNotNull() | col(hull).isNotNull())
 
 
 def novelty_passed(label: Column | str = "novelty_label") -> Column:
-    return F.lower(label).isin("novel", "new", "pass", "passed")
+    return F.coalesce(F.lower(label).isin("novel", "pass", "passed", "new", "true"), F.lit(False))
 
 
 def join_rankings(ranking: DataFrame, validation: DataFrame, order: str = "_ord") -> DataFrame:
@@ -63,94 +77,230 @@ def join_rankings(ranking: DataFrame, validation: DataFrame, order: str = "_ord"
     return ranking.join(latest, "candidate_id", "left")
 
 
-def normalize(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def status_of(text: Column | str) -> Column:
+    """A status in lower case, aliases resolved; ``unknown`` if there is none."""
+    raw = F.lower(F.trim(text))
+    mapped = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))
+    return F.when(F.coalesce(col(text) == "", F.lit(True)), "unknown").otherwise(F.coalesce(mapped[raw], raw))
+
+
+def tier_of(text: Column | str) -> Column:
+    """Digits become ``tierN``; no tier is ``unknown``; other names keep their case."""
+    raw = F.trim(nullable(text))
+    return F.when(raw.isNull() | (F.lower(raw) == "unknown"), "unknown").when(raw.rlike(r"^\d+$"), F.concat(F.lit("tier"), raw)).otherwise(raw)
+
+
+def json_map(text: Column | str) -> Column:
+    """A JSON object as a map of texts; anything else is an empty map."""
+    parsed = F.when(F.startswith(F.trim(text), F.lit("{")), F.from_json(col(text), "map<string,string>"))
+    return F.coalesce(parsed, F.create_map().cast("map<string,string>"))
+
+
+def filled(entries: Column) -> Column:
+    """A map without its null and empty entries."""
+    return F.map_filter(entries, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def normalize(rows: DataFrame, proxy: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Canonical validation rows and the issues of those dropped.
 
-    ``rows``: text columns under any of the known aliases, plus ``_ord``.
+    ``rows``: text columns under any of the known aliases, ``condition``,
+    ``generation_condition`` and ``metadata`` as JSON texts, plus ``_ord``. With
+    ``proxy`` (limits of ``relaxation_proxy``), a stability that is not given
+    is derived from the relaxation. Issue: missing_required_field, with the names.
     """
     have = set(rows.columns)
+    none = F.lit(None).cast("string")
+
+    def first(*names: str, default: Column = none) -> Column:
+        return F.coalesce(*(F.when(F.col(n) != "", F.col(n)) for n in names if n in have), default)
+
+    condition, metadata = (json_map(n) if n in have else json_map(none) for n in ("condition", "metadata"))
+    given = json_map("generation_condition") if "generation_condition" in have else json_map(none)
+    given = F.when(F.size(given) > 0, given).otherwise(json_map(condition["generation"]))
+    own = F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("key"), first(k).alias("value")) for k in GENERATION)))
+    text = lambda *names, default=none: nullable(first(*names, default=default))
+    base = rows.withColumns({
+        "_condition": condition, "_metadata": metadata,
+        "_generation": filled(F.map_concat(F.map_filter(given, lambda k, v: ~F.coalesce(F.array_contains(F.map_keys(filled(own)), k), F.lit(False))), filled(own))),
+    })
+    generation = F.col("_generation")
+    settings = {
+        "source_checkpoint": text("source_checkpoint", default=generation["source_checkpoint"]), "top_k": text("top_k", default=generation["top_k"]),
+        "K": text("K", "k", default=generation["K"]), "temperature": text("temperature", default=generation["temperature"]),
+    }
+    extra = F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in settings.items())))
+    source = text("validation_source", "source", "validator")
+    hull = double_lenient(first("energy_above_hull", "e_above_hull", "ehull", "e_hull"))
+    force, stress = double_lenient(first("force_max", "fmax", "max_force")), double_lenient(first("stress_max", "max_stress"))
+    raw = lambda *names: next((F.col(n) for n in names if n in have), none)
+    out = base.select(
+        "_ord",
+        text("candidate_id", "id", "sample_id").alias("candidate_id"),
+        text("formula", "composition", default=F.col("_condition")["formula"]).alias("formula"),
+        source.alias("validation_source"), text("validator", "model", "mlip", default=source).alias("validator"),
+        status_of(first("validation_status", "status")).alias("validation_status"), tier_of(first("calibration_tier", "tier")).alias("calibration_tier"),
+        hull.alias("energy_above_hull"), hull.alias("e_above_hull"), double_lenient(first("formation_energy", "formation_energy_per_atom")).alias("formation_energy"),
+        bool_c3(first("relaxed", "structure_relaxed")).alias("relaxed"), bool_c3(first("relaxation_converged", "converged")).alias("relaxation_converged"),
+        force.alias("force_max"), stress.alias("stress_max"), double_lenient(first("uncertainty", "energy_uncertainty", "e_above_hull_std")).alias("uncertainty"),
+        to_int(first("spacegroup", default=F.col("_condition")["spacegroup"])).alias("spacegroup"),
+        *(v.alias(k) for k, v in settings.items()),
+        filled(F.map_concat(F.map_filter(generation, lambda k, v: ~k.isin(*settings)), filled(extra))).alias("generation_condition"),
+        F.coalesce(F.col("_condition")["mode"], F.lit("csp")).alias("mode"),
+        bool_c3(raw("is_stable")).alias("is_stable"), nullable(raw("relaxed_structure_ref")).alias("relaxed_structure_ref"),
+        text("error_reason", "error_message", "error").alias("error_reason"),
+        relaxation_proxy(bool_c3(raw("relaxed", "structure_relaxed")), bool_c3(F.col("_metadata")["relax_requested"]), force, stress, bool_c3(raw("relaxation_converged", "converged")), **(proxy or {})).alias("_proxy"),
+    )
+    if proxy is not None:
+        unknown = F.col("is_stable").isNull()
+        out = out.withColumns({"relaxation_proxy_reason": F.when(unknown, F.col("_proxy.reason")), "is_stable": F.coalesce("is_stable", "_proxy.is_stable")})
+    evidence = F.col("energy_above_hull").isNotNull() | F.col("is_stable").isNotNull()
+    out = out.drop("_proxy").withColumn("f3_available_after_normalization", status_is_success() & evidence)
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in ("candidate_id", "formula", "validation_source"))))
+    out = out.withColumn("_missing", F.array_join(missing, ","))
+    issue = F.concat(F.lit("missing required field(s): "), F.col("_missing"))
+    return out.where("_missing = ''").drop("_missing"), out.where("_missing != ''").select("_ord", "candidate_id", "formula", F.lit("missing_required_field").alias("issue"), issue.alias("message"))
 
-    def alias(*names: str) -> Column:
-        found = [F.col(n) for n in names if n in have]
-        return nullable(first_present(*found)) if found else F.lit(None).cast("string")
 
-    hull = double_lenient(alias("energy_above_hull", "e_above_hull", "ehull", "e_hull"))
-    status = F.lower(F.trim(alias("validation_status", "status", "state")))
-    mapped = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))
-    tier = F.lower(F.trim(alias("calibration_tier", "tier")))
-    out = rows.select(
-        "_ord",
-        alias("candidate_id", "id", "sample_id").alias("candidate_id"),
-        alias("formula", "composition", "reduced_formula").alias("formula"),
-        alias("validator", "validation_source", "source").alias("validator"),
-        F.coalesce(mapped[status], status, F.lit("completed")).alias("validation_status"),
-        F.when(tier.rlike(r"^\d+$"), F.concat(F.lit("tier"), tier)).otherwise(F.coalesce(tier, F.lit("unknown"))).alias("calibration_tier"),
-        hull.alias("energy_above_hull"), hull.alias("e_above_hull"),
-        double_lenient(alias("formation_energy", "formation_energy_per_atom")).alias("formation_energy"),
-        bool_c3(alias("relaxed")).alias("relaxed"),
-        bool_c3(alias("relaxation_converged", "converged")).alias("relaxation_converged"),
-        double_lenient(alias("force_max", "max_force", "fmax")).alias("force_max"),
-        double_lenient(alias("stress_max", "max_stress")).alias("stress_max"),
-        double_lenient(alias("uncertainty")).alias("uncertainty"),
-        bool_c3(alias("is_stable", "stable")).alias("is_stable"),
-        to_int(alias("spacegroup", "space_group")).alias("spacegroup"),
-        to_int(alias("top_k")).alias("top_k"), to_int(alias("K", "k")).alias("K"),
-        double_lenient(alias("temperature")).alias("temperature"),
-        alias("source_checkpoint", "checkpoint").alias("source_checkpoint"),
-        alias("error_reason", "error", "error_message").alias("error_reason"),
+def normalization_summary(rows: DataFrame, issues: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
+    """One row: counts of rows, issues by reason, failures, evidence and the breakdowns.
+
+    ``unmatched``: (issue) rows of ``check_index``. Repeated ids are one issue each.
+    """
+    whole = rows.agg(
+        F.count("*").alias("normalized_row_count"), F.count_if(~status_is_success()).alias("failed_or_incomplete_count"),
+        F.count_if("f3_available_after_normalization").alias("f3_available_candidate_count"),
     )
-    out = out.withColumn("issue", F.when(F.col("candidate_id").isNull(), "missing_candidate_id").when(F.col("formula").isNull(), "missing_formula").when(F.col("validator").isNull(), "missing_validator"))
-    return out.where("issue is null").drop("issue"), out.where("issue is not null").select("_ord", "candidate_id", "issue")
-
-
-def relaxation_proxy(force: Column | str = "force_max", stress: Column | str = "stress_max", converged: Column | str = "relaxation_converged", max_force: float = 0.05, max_stress: float = 0.2) -> Column:
-    """struct(is_stable, reason): three-valued stability from a relaxation."""
-    f, s, c = (F.col(x) if isinstance(x, str) else x for x in (force, stress, converged))
-    answer = lambda value, why: F.struct(F.lit(value).cast("boolean").alias("is_stable"), F.lit(why).alias("reason"))
-    return (
-        F.when(c.isNull() & f.isNull(), answer(None, "no_relaxation_evidence"))
-        .when(~F.coalesce(c, F.lit(True)), answer(False, "relaxation_not_converged"))
-        .when(f.isNull(), answer(None, "missing_force"))
-        .when(f > max_force, answer(False, "force_above_threshold"))
-        .when(s > max_stress, answer(False, "stress_above_threshold"))
-        .otherwise(answer(True, "relaxed_within_thresholds"))
-    )
+    reasons = issues.select("issue").unionByName(duplicates(rows, "candidate_id").select(F.lit("duplicate_validation_candidate_id").alias("issue")))
+    reasons = reasons.unionByName(unmatched.select("issue").where("issue is not null")) if unmatched is not None else reasons
+    names = ("missing_required_field", "candidate_not_found", "formula_mismatch", "duplicate_validation_candidate_id")
+    out = whole.crossJoin(reasons.agg(F.count("*").alias("issue_count"), *(F.count_if(F.col("issue") == n).alias(f"{n}_count") for n in names)))
+    for name, column in (("validation_source", "validation_source"), ("validation_status", "validation_status"), ("calibration_tier", "calibration_tier")):
+        out = out.crossJoin(breakdown(rows, column).withColumnRenamed("counts", f"{name}_breakdown"))
+    return out  # one row each
+
+
+def breakdown(rows: DataFrame, column: str) -> DataFrame:
+    """One row: ``counts``, a map from each value to its rows, in order of the values."""
+    counts = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("key")).agg(F.count("*").alias("value"))
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("counts"))
+
+
+def relaxation_proxy(
+    relaxed: Column | str = "relaxed", requested: Column | str = "relax_requested", force: Column | str = "force_max", stress: Column | str = "stress_max", converged: Column | str = "relaxation_converged",
+    max_force: float = 0.05, max_stress: float | None = None, require_converged: bool = True,
+) -> Column:
+    """struct(is_stable, reason): three-valued stability from a relaxation.
+
+    Nothing is derived unless the structure was relaxed or a relaxation was
+    asked for; what is not known to have converged has not.
+    """
+    f, s = col(force), col(stress)
+    true = lambda x: F.coalesce(col(x), F.lit(False))
+    answer = lambda value, why: F.struct(F.lit(value).cast("boolean").alias("is_stable"), F.lit(why).cast("string").alias("reason"))
+    out = F.when(~true(relaxed) & ~true(requested), answer(None, None)).when(f.isNull(), answer(None, "missing_force_max"))
+    if require_converged:
+        out = out.when(~true(converged), answer(False, "relaxation_not_converged"))
+    out = out.when(f > max_force, answer(False, "force_above_relaxation_stability_threshold"))
+    if max_stress is not None:
+        out = out.when(s > max_stress, answer(False, "stress_above_relaxation_stability_threshold")).when(s.isNull(), answer(False, "missing_stress_max"))
+    return out.otherwise(answer(True, "relaxation_converged_below_thresholds"))
 
 
 def check_index(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Add ``issue``: candidate_not_found or formula_mismatch against the index."""
-    known = index.select("candidate_id", F.col("formula").alias("own_formula"))
+    """Add ``issue``: candidate_not_found or formula_mismatch against the index.
+
+    An indexed candidate without a formula mismatches nothing.
+    """
+    known = index.select("candidate_id", F.col("formula").alias("own_formula"), F.lit(True).alias("found"))
     out = rows.join(known, "candidate_id", "left")
-    issue = F.when(F.col("own_formula").isNull(), "candidate_not_found").when(F.col("formula") != F.col("own_formula"), "formula_mismatch")
-    return out.withColumn("issue", issue).drop("own_formula")
+    differs = (F.col("own_formula") != "") & ~F.col("formula").eqNullSafe(F.col("own_formula"))
+    issue = F.when(F.col("found").isNull(), "candidate_not_found").when(differs, "formula_mismatch")
+    return out.withColumn("issue", issue).drop("own_formula", "found")
+
+
+def is_stable_record(stable: Column | str = "is_stable", hull: Column | str = "e_above_hull") -> Column:
+    """The stated stability; where none is stated, the hull energy decides."""
+    return F.coalesce(col(stable), col(hull) <= STABLE_HULL, F.lit(False))
 
 
 def stability_score(stable: Column | str = "is_stable", hull: Column | str = "e_above_hull") -> Column:
-    s, h = (F.col(x) if isinstance(x, str) else x for x in (stable, hull))
-    good = F.coalesce(s, F.lit(False)) | F.coalesce(h <= 0.05, F.lit(False))
-    return F.when(good, 0.0).when(h.isNotNull(), F.greatest(F.lit(0.3), F.least(F.lit(1.0), h))).otherwise(1.0)
+    h = col(hull)
+    return F.when(is_stable_record(stable, hull), 0.0).when(h.isNotNull(), F.greatest(F.lit(0.3), F.least(F.lit(1.0), h))).otherwise(1.0)
 
 
-def import_validation(audit: DataFrame, validation: DataFrame, order: str = "_ord") -> DataFrame:
-    """Audit rows with the first validation of their candidate.
+def import_status(audit: DataFrame, validation: DataFrame, order: str = "_ord", same_generation: bool = True) -> DataFrame:
+    """Every validation row with its ``import_status`` against the audit.
 
-    Adds import_status: not_provided, formula_mismatch, spacegroup_mismatch,
-    failed, pending or validated_success; only the last sets f3_stability.
+    In this order: duplicate_validation_candidate_id (any but the first row of an
+    id), candidate_not_found, formula_mismatch, spacegroup_mismatch,
+    condition_mismatch, validation_error, validated_success. A formula that is
+    null on one side is a mismatch, a space group is not; generation conditions
+    are maps, compared without their empty entries. The last audit row of an id
+    counts. Columns of both: candidate_id, formula, spacegroup, generation.
     """
-    first = first_wins(validation, "candidate_id", order)
-    right = first.select("candidate_id", *(F.col(c).alias("v_" + c) for c in ("formula", "spacegroup", "validation_status", "is_stable", "e_above_hull")))
-    out = audit.join(right, "candidate_id", "left")
+    known = last_wins(audit.select("candidate_id", "formula", "spacegroup", "generation", order), "candidate_id", order)
+    known = known.select("candidate_id", *(F.col(c).alias("a_" + c) for c in ("formula", "spacegroup", "generation")), F.lit(True).alias("found"))
+    first = validation.groupBy("candidate_id").agg(F.min(order).alias("_first"))
+    rows = validation.join(first, "candidate_id").join(known, "candidate_id", "left")
+    entries = lambda m: F.array_sort(F.map_entries(F.coalesce(filled(F.col(m)), F.create_map().cast("map<string,string>"))))
+    differs = entries("generation") != entries("a_generation") if same_generation else F.lit(False)
     status = (
-        F.when(F.col("v_validation_status").isNull() & F.col("v_formula").isNull(), "not_provided")
-        .when(F.col("v_formula") != F.col("formula"), "formula_mismatch")
-        .when(F.col("v_spacegroup") != F.col("spacegroup"), "spacegroup_mismatch")
-        .when(succeeded("v_validation_status"), "validated_success")
-        .when(F.lower("v_validation_status").isin("failed", "error", "validation_error"), "failed")
-        .otherwise("pending")
+        F.when(F.col(order) > F.col("_first"), "duplicate_validation_candidate_id")
+        .when(F.col("found").isNull(), "candidate_not_found")
+        .when(~F.col("formula").eqNullSafe(F.col("a_formula")), "formula_mismatch")
+        .when(F.col("spacegroup") != F.col("a_spacegroup"), "spacegroup_mismatch")
+        .when(differs, "condition_mismatch")
+        .when(import_succeeded(), "validated_success")
+        .otherwise("validation_error")
     )
-    score = stability_score("v_is_stable", "v_e_above_hull")
-    out = out.withColumn("import_status", status)
-    return out.withColumn("f3_stability", F.when(F.col("import_status") == "validated_success", score).otherwise(F.col("f3_stability")))
+    return rows.withColumn("import_status", status).drop("_first", "found", "a_formula", "a_spacegroup", "a_generation")
+
+
+def import_validation(audit: DataFrame, validation: DataFrame, order: str = "_ord", same_generation: bool = True) -> DataFrame:
+    """Audit rows with the offline validation of their candidate applied.
+
+    Sets validation_status (validated_success, validation_error, not_provided),
+    f3_source, f3_validation_available, f3_label and preference_type; a success
+    also sets f3_stability and the scores, rounded to six digits. A row whose
+    validation was skipped keeps what it had.
+    """
+    status = import_status(audit, validation, order, same_generation).where(F.col("import_status").isin("validated_success", "validation_error"))
+    right = status.select("candidate_id", "import_status", stability_score().alias("_score"))
+    out = audit.join(right, "candidate_id", "left")
+    ok, bad = F.col("import_status") == "validated_success", F.col("import_status") == "validation_error"
+    keep = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in audit.columns else F.lit(default)
+    eligible = F.coalesce(F.col("dpo_eligible"), F.lit(False)) if "dpo_eligible" in audit.columns else F.lit(False)
+    kept = F.col("preference_type") if "preference_type" in audit.columns else F.lit(None).cast("string")
+    out = out.withColumns({
+        "validation_status": F.when(ok | bad, F.col("import_status")).otherwise(keep("validation_status", "not_provided")),
+        "f3_source": F.when(ok, "offline_validation").when(bad, "offline_validation_error").otherwise(keep("f3_source", "unavailable_without_offline_validation")),
+        "f3_validation_available": F.when(ok, True).when(bad, False).otherwise(keep("f3_validation_available", False)),
+        "f3_label": F.when(ok, F.when(F.col("_score") < 0.1, "pass").otherwise("fail")).when(bad, "unknown").otherwise(F.col("f3_label") if "f3_label" in audit.columns else F.lit(None).cast("string")),
+        "preference_type": F.when(ok & eligible, "stability_aware_offline_validation").when(bad & eligible, "geometry_chemistry_only").when(~(ok | bad) | (ok | bad).isNull(), kept),
+        "f3_stability": F.when(ok, F.col("_score")).otherwise(F.col("f3_stability")),
+    })
+    if "f1_geometry" in audit.columns:
+        score = F.round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6)
+        out = out.withColumn("failure_score", F.when(ok, score)).withColumn("ranking_score", F.when(ok, F.round(1.0 - F.col("failure_score"), 6)))
+    return out.drop("_score", "import_status")
+
+
+def import_summary(audit: DataFrame, validation: DataFrame, order: str = "_ord", same_generation: bool = True) -> DataFrame:
+    """One row: what became of the validation rows, with the reasons of those skipped.
+
+    A failed validation is matched and skipped at once.
+    """
+    rows = import_status(audit, validation, order, same_generation)
+    matched = F.col("import_status").isin("validated_success", "validation_error")
+    skipped = F.col("import_status") != "validated_success"
+    out = rows.agg(
+        F.count("*").alias("validation_record_count"), F.count_if(matched).alias("matched_count"), F.count_if(~skipped).alias("f3_available_count"),
+        F.count_if(F.col("import_status") == "validation_error").alias("validation_error_count"), F.count_if(skipped).alias("skipped_count"),
+    )
+    out = audit.agg(F.count("*").alias("audit_candidate_count")).crossJoin(out)
+    out = out.crossJoin(breakdown(rows.where(skipped), "import_status").withColumnRenamed("counts", "skip_reasons"))
+    return out.crossJoin(breakdown(rows, "validation_source").withColumnRenamed("counts", "validation_source_breakdown"))  # one row each
 
 
 def orphans(rows: DataFrame, index: DataFrame, key: str = "candidate_id") -> DataFrame:

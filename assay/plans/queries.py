@@ -185,13 +185,30 @@ def ranking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nine(evaluate.ranking_metrics(rank.rank_by_utility(cand(spark, sf_dir)), top_k=50))
 
 
-@query(f"""WITH {VAL_SQL} SELECT count(*) AS validation_count, round(count(*) FILTER (validation_status = 'completed') / count(*), 9) AS validation_success_rate,
-  count(*) FILTER (validation_status = 'completed' AND is_stable) AS validated_stable_count, count(*) FILTER (validation_status = 'completed' AND novelty_label = 'novel') AS validated_novel_count,
-  count(*) FILTER (validation_status = 'failed') AS validation_failure_count FROM val""")
+RESULT = [
+    "l_partkey AS candidate_id", "l_linenumber % 4 <> 0 AS validated", "CASE l_linenumber % 5 WHEN 0 THEN 'Failed' WHEN 1 THEN 'pending' ELSE 'done' END AS status",
+    "CASE WHEN l_quantity = 7 THEN NULL ELSE l_discount <= CAST(5 AS DOUBLE) / CAST(100 AS DOUBLE) END AS is_stable", "CASE WHEN l_quantity > 45 THEN 'late' WHEN l_quantity > 40 THEN '' END AS error_message",
+    "CASE WHEN l_quantity = 9 THEN NULL ELSE l_tax END AS e_above_hull", "CASE l_returnflag WHEN 'A' THEN 'True' WHEN 'R' THEN 'known' END AS novelty_label",
+    "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_suppkey",
+]
+RESULT_ORDER = RESULT[-8:]
+RESULT_SQL = f"""res AS (SELECT {', '.join(RESULT)} FROM lineitem), judged AS (SELECT *, validated AND lower(status) NOT IN ('failed', 'error') AND coalesce(error_message, '') = '' AS ok,
+  lower(status) IN ('failed', 'error') OR coalesce(error_message, '') <> '' AS bad, coalesce(lower(novelty_label) IN ('novel', 'pass', 'passed', 'new', 'true'), false) AS new FROM res)"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation results: validated, status, is_stable, error_message, e_above_hull, novelty_label."""
+    return table(spark, sf_dir, "lineitem").selectExpr(*RESULT)
+
+
+@query(f"""WITH {RANK_SQL}, {RESULT_SQL}, top AS (SELECT candidate_id FROM ut ORDER BY utility DESC, _ord LIMIT 50),
+  latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY {', '.join(c + ' DESC' for c in RESULT_ORDER)}) AS rn FROM judged) WHERE rn = 1), t AS (SELECT ok, is_stable, rn FROM top LEFT JOIN latest USING (candidate_id))
+  SELECT count(*) AS validation_count, round(count(*) FILTER (ok) / count(*), 9) AS validation_success_rate, count(*) FILTER (ok AND is_stable) AS validated_stable_count, round(count(*) FILTER (ok AND is_stable) / count(*) FILTER (ok), 9) AS validated_stable_rate,
+    round(avg(e_above_hull) FILTER (ok), 9) AS average_validated_e_above_hull, count(*) FILTER (ok AND new) AS validated_novel_count, round(count(*) FILTER (ok AND new) / count(*) FILTER (ok), 9) AS validated_novel_rate, count(*) FILTER (bad) AS validation_failure_count,
+    (SELECT round(count(*) FILTER (ok AND is_stable) / nullif(count(*) FILTER (ok), 0), 9) FROM t) AS top_k_validated_stable_rate, (SELECT round(count(rn) / count(*), 9) FROM t) AS top_k_validation_coverage FROM judged""")
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = val(spark, sf_dir).withColumn("_ord", F.struct(*VAL_ORDER))
-    report = evaluate.validation_metrics(rows, rank.rank_by_utility(cand(spark, sf_dir), top_k=50), 50)
-    return nine(report.select("validation_count", "validation_success_rate", "validated_stable_count", "validated_novel_count", "validation_failure_count"))
+    rows = results(spark, sf_dir).withColumn("_ord", F.struct(*RESULT_ORDER))
+    return nine(evaluate.validation_metrics(rows, rank.rank_by_utility(cand(spark, sf_dir), top_k=50), 50))
 
 
 PICK = "candidate_id, validator, force_max, stress_max, is_stable, l_orderkey, l_linenumber"
@@ -212,18 +229,6 @@ def val_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked(validate.first_wins(val(spark, sf_dir), "candidate_id", VAL_ORDER))
 
 
-@query(f"""WITH {CAND_SQL}, {VAL_SQL}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY {ASC}) AS rn FROM val WHERE candidate_id % 3 <> 0) WHERE rn = 1)
-  SELECT import_status, count(*) AS n, count(*) FILTER (f3 = 0) AS stable FROM (SELECT CASE WHEN f.candidate_id IS NULL THEN 'not_provided' WHEN f.spacegroup <> cand.space_group THEN 'spacegroup_mismatch'
-    WHEN validation_status = 'completed' THEN 'validated_success' WHEN validation_status = 'failed' THEN 'failed' ELSE 'pending' END AS import_status,
-    CASE WHEN f.spacegroup = cand.space_group AND validation_status = 'completed' THEN CASE WHEN coalesce(is_stable, false) OR e_above_hull <= 0.05 THEN 0.0 ELSE greatest(0.3, least(1.0, e_above_hull)) END ELSE cand.f3 END AS f3
-    FROM cand LEFT JOIN f USING (candidate_id)) GROUP BY import_status""")
-def val_import_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audit = cand(spark, sf_dir).select("candidate_id", F.col("family").alias("formula"), F.col("space_group").alias("spacegroup"), F.col("f3").alias("f3_stability"))
-    rows = val(spark, sf_dir).where("candidate_id % 3 != 0").withColumn("formula", F.lit(None).cast("string")).withColumn("_ord", F.struct(*VAL_ORDER))
-    out = validate.import_validation(audit, rows)
-    return out.groupBy("import_status").agg(F.count("*").alias("n"), F.count_if(F.col("f3_stability") == 0).alias("stable"))
-
-
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def val_orphans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
@@ -469,9 +474,11 @@ def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loop.buffer_summary(events.crossJoin(ends).select(F.col("user_id").alias("candidate_id"), kind.alias("decision")))
 
 
-@query(f"WITH {VAL_SQL}, d AS (SELECT CASE WHEN validation_status = 'completed' AND is_stable THEN 'positive' WHEN validation_status = 'completed' AND NOT is_stable THEN 'negative' WHEN validation_status = 'failed' THEN 'negative' ELSE 'pending' END AS decision FROM val) SELECT decision, count(*) AS n FROM d GROUP BY decision")
+@query(f"""WITH {RESULT_SQL}, d AS (SELECT CASE WHEN ok AND is_stable THEN 'positive_evidence' WHEN lower(status) IN ('failed', 'error') OR (ok AND NOT is_stable) THEN 'negative_evidence' ELSE 'pending_evidence' END AS decision,
+  CASE WHEN ok AND is_stable THEN 'sample_similar_mock_family' WHEN lower(status) IN ('failed', 'error') THEN 'treat_failed_validation_as_future_negative' WHEN ok AND NOT is_stable THEN 'avoid_similar_high_failure_candidates' ELSE 'defer_until_validation_completes' END AS action FROM judged)
+  SELECT decision, action, count(*) AS n FROM d GROUP BY ALL""")
 def feedback_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.histogram(loop.validation_feedback(val(spark, sf_dir)), "decision")
+    return evaluate.histogram(loop.validation_feedback(results(spark, sf_dir)), "decision", "action")
 
 
 @query(f"WITH {CAND_SQL} SELECT candidate_id, validator FROM cand, (VALUES ('A'), ('B'), ('C')) v(validator)")
@@ -509,9 +516,9 @@ def collection_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.collection_rollup(rows).select("formula", "candidates", "audited", "pairs")
 
 
-@query(f"WITH {CAND_SQL}, {VAL_SQL}, m AS (SELECT candidate_id, bool_or(is_stable) AS matched FROM val WHERE candidate_id % 4 <> 0 GROUP BY 1), g AS (SELECT CASE WHEN matched IS NULL THEN 'missing' WHEN matched = is_valid THEN 'ok' ELSE 'wrong' END AS state FROM cand LEFT JOIN m USING (candidate_id)) SELECT state, count(*) AS n FROM g GROUP BY state")
+@query(f"WITH {CAND_SQL}, {VAL_SQL}, m AS (SELECT candidate_id, bool_or(is_stable) AS matched FROM val WHERE validation_status = 'completed' AND force_max > 0.09 GROUP BY 1), g AS (SELECT CASE WHEN matched IS NULL THEN 'missing' WHEN matched = is_valid THEN 'ok' ELSE 'wrong' END AS state FROM cand LEFT JOIN m USING (candidate_id)) SELECT state, count(*) AS n FROM g GROUP BY state")
 def control_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = val(spark, sf_dir).where("candidate_id % 4 != 0").groupBy("candidate_id").agg(F.max("is_stable").alias("matched"))
+    results = val(spark, sf_dir).where("validation_status = 'completed' and force_max > 0.09").groupBy("candidate_id").agg(F.max("is_stable").alias("matched"))
     return checks.control_gate(cand(spark, sf_dir).select("candidate_id", F.col("is_valid").alias("expected")), results)
 
 
@@ -526,7 +533,7 @@ def mean_force_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def active_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cand(spark, sf_dir)
-    return loop.active_loop(rows, val(spark, sf_dir).select("candidate_id", "validation_status", "is_stable"), rounds=2, top_k=10)
+    return loop.active_loop(rows, results(spark, sf_dir), rounds=2, top_k=10)
 
 
 @query()

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from assay.plans import queries as plans
+from assay.plans import registry as plans
 
 SF_DIR = "/root/testdata/sf0.001"
 
