@@ -8,8 +8,8 @@ P(group | history) times P(class | group, history). Both are softmaxes over
 hashed features of the two tokens before: the bigram, the skip and the trigram
 feature, and a bias.
 
-1. Documents are dealt to blocks and tokenised once: a block's row holds its
-   vocabulary (64-bit hashes) and its texts as indices into it.
+1. Documents are dealt to blocks and tokenised once, piece by piece: a piece's
+   row holds its vocabulary (64-bit hashes) and its texts as indices into it.
 2. Counts of all training tokens are summed by hash over the blocks.
 3. Weights are trained by rounds of distributed gradient updates: each task
    runs minibatches over its share of all training texts, and the weights of
@@ -55,7 +55,10 @@ WIDTH = GROUPS + CLASSES
 SLOTS_FROM, SLOTS_TO = 1 << 10, 1 << 14
 ROUNDS, MINIBATCH, RATE = 3, 8192, 0.05
 ALPHA = 0.1
-BLOCK_BYTES = 16 << 20
+#: Bytes of text of a block, whose words are looked up together, and of a piece of it.
+BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: Words that a task holds before it passes them on.
+HELD_WORDS = 1 << 20
 #: Rows of the weight matrix that are summed in one task.
 SHARD = 128
 #: Words whose counts are broadcast (16 bytes each).
@@ -74,14 +77,14 @@ def slots_for(tokens: int) -> int:
     return int(np.clip(1 << max(0, int(np.log2(max(1.0, tokens**0.5 / 2)))), SLOTS_FROM, SLOTS_TO))
 
 
-class Block:
-    """Texts of a block: each text's length, and all tokens as places in a vocabulary of hashes."""
+class Piece:
+    """Some texts: each text's length, and all tokens as places in a vocabulary of hashes."""
 
     def __init__(self, lengths: np.ndarray, vocabulary: np.ndarray, tokens: np.ndarray):
         self.lengths, self.vocabulary, self.tokens = lengths, vocabulary, tokens
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Block:
+    def of(cls, texts: pa.Array) -> Piece:
         """Tokens of texts: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then END."""
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat, full = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False)
@@ -95,12 +98,12 @@ class Block:
         return cls(lengths + 1, vocabulary, tokens)
 
     @classmethod
-    def load(cls, batch: pa.RecordBatch | pa.Table, k: int) -> Block:
+    def load(cls, batch: pa.RecordBatch | pa.Table, k: int) -> Piece:
         raw = [batch.column(c)[k].as_py() for c in ("lengths", "vocabulary", "tokens")]
         return cls(np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.uint64), np.frombuffer(raw[2], np.uint32))
 
-    def of_texts(self, chosen: np.ndarray) -> Block:
-        return Block(self.lengths[chosen], self.vocabulary, self.tokens[np.repeat(chosen, self.lengths)])
+    def of_texts(self, chosen: np.ndarray) -> Piece:
+        return Piece(self.lengths[chosen], self.vocabulary, self.tokens[np.repeat(chosen, self.lengths)])
 
     def minibatches(self, classes: Classes, slots: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(tokens, feature rows, class labels) of MINIBATCH tokens at a time."""
@@ -215,33 +218,58 @@ class Trainer:
         table[at] -= RATE * sums / np.sqrt(squares[at])[:, None]
 
 
+def pieces(texts: pa.Table) -> Iterator[pa.Table]:
+    """Slices of about PIECE_BYTES of text, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts.column("text")), 0).to_numpy()
+    number = np.cumsum(sizes) // PIECE_BYTES
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    for low, high in zip(first, [*first[1:], len(sizes)], strict=True):
+        yield texts.slice(low, high - low)
+
+
 def tokenised(docs: DataFrame) -> DataFrame:
-    """A row of TOKENS for each block of (id, text, held_out)."""
+    """Rows of TOKENS for the pieces of each block of (id, text, held_out)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     block = F.pmod(F.xxhash64("id", "text"), F.lit(1 + size // BLOCK_BYTES)).cast("long")
 
     def run(key: tuple, texts: pa.Table) -> pa.Table:
-        column = texts.column("text").combine_chunks()
-        block = Block.of(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks))
-        ids, away = ([texts.column(c).to_pylist()] for c in ("id", "held_out"))
-        parts = ([x.tobytes()] for x in (block.lengths.astype(np.int64), block.vocabulary, block.tokens))
         kinds = pa.list_(texts.schema.field("id").type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()
-        columns = [pa.array([key[0].as_py()], pa.int64()), *(pa.array(x, kind) for x, kind in zip((ids, away, *parts), kinds, strict=True))]
-        return pa.table(columns, names=["block", "ids", "away", "lengths", "vocabulary", "tokens"])
+        rows = []
+        for part in pieces(texts):
+            piece = Piece.of(pa.concat_arrays(part.column("text").chunks))
+            rows.append((part.column("id").to_pylist(), part.column("held_out").to_pylist(), piece.lengths.astype(np.int64).tobytes(), piece.vocabulary.tobytes(), piece.tokens.tobytes()))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *columns], names=["block", "ids", "away", "lengths", "vocabulary", "tokens"])
 
     return docs.withColumn("block", block).groupBy("block").applyInArrow(run, TOKENS.format(kind_of(docs, "id")))
 
 
+def away_of(batch: pa.RecordBatch | pa.Table, k: int) -> np.ndarray:
+    return np.array(batch.column("away")[k].as_py(), bool)
+
+
+def merged(hashes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of ``n``."""
+    known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return known.view(np.int64), np.bincount(at, np.concatenate(n)).astype(np.int64)
+
+
 def token_counts(blocks: DataFrame) -> DataFrame:
     """(hash, n) of all training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = [], []
         for batch in batches:
             for k in range(batch.num_rows):
-                block = Block.load(batch, k).of_texts(~np.array(batch.column("away")[k].as_py(), bool))
-                n = np.bincount(block.tokens, minlength=len(block.vocabulary))
-                seen = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(block.vocabulary[seen].view(np.int64)), pa.array(n[seen], pa.int64())], names=["hash", "n"])
+                piece = Piece.load(batch, k).of_texts(~away_of(batch, k))
+                n = np.bincount(piece.tokens, minlength=len(piece.vocabulary))
+                hashes.append(piece.vocabulary[n > 0])
+                counts.append(n[n > 0])
+            if sum(map(len, hashes)) > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, merged(hashes, counts))], names=["hash", "n"])
+                hashes, counts = [], []
+        if hashes:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(hashes, counts))], names=["hash", "n"])
 
     return blocks.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -282,9 +310,9 @@ def train(blocks: DataFrame, own: np.ndarray, tokens: int) -> np.ndarray:
             classes, trainer = Classes(own), Trainer(start.value)
             for batch in batches:
                 for k in range(batch.num_rows):
-                    learn = ~np.array(batch.column("away")[k].as_py(), bool)
+                    learn = ~away_of(batch, k)
                     learn &= np.arange(len(learn)) % ROUNDS == round_
-                    for _, features, labels in Block.load(batch, k).of_texts(learn).minibatches(classes, slots):
+                    for _, features, labels in Piece.load(batch, k).of_texts(learn).minibatches(classes, slots):
                         trainer.step(features, labels)
             if trainer.tokens:
                 held = trainer.weights.matrix() * np.float32(trainer.tokens)
@@ -301,27 +329,46 @@ def train(blocks: DataFrame, own: np.ndarray, tokens: int) -> np.ndarray:
     return weights
 
 
-def rare_words(blocks: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(block, hash, away): each block's words that are not ``frequent``; away: in a held-out text."""
+def rare_words(blocks: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(block, hash, away): each block's words that are not ``frequent``; away: in a held-out text.
+
+    A word may come more than once if a block's pieces are read by several tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, hashes, seen = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if hashes:
+                words, n = merged(hashes, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words), pa.array(n > 0)], names=["block", "hash", "away"])
+            hashes.clear()
+            seen.clear()
+
         for batch in batches:
             for k in range(batch.num_rows):
-                block, away = Block.load(batch, k), np.array(batch.column("away")[k].as_py(), bool)
-                rare = ~np.isin(block.vocabulary, frequent)
-                out = np.bincount(block.of_texts(away).tokens, minlength=len(block.vocabulary)) > 0
-                number = pa.array(np.full(int(rare.sum()), batch.column("block")[k].as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([number, pa.array(block.vocabulary[rare].view(np.int64)), pa.array(out[rare])], names=["block", "hash", "away"])
+                if block != batch.column("block")[k].as_py() or sum(map(len, hashes)) > HELD_WORDS:
+                    yield from flush()
+                    block = batch.column("block")[k].as_py()
+                piece = Piece.load(batch, k)
+                rare = counts_of(piece.vocabulary, *frequent) == 0
+                hashes.append(piece.vocabulary[rare])
+                seen.append(np.bincount(piece.of_texts(away_of(batch, k)).tokens, minlength=len(piece.vocabulary))[rare])
+        yield from flush()
 
     return blocks.mapInArrow(run, "block long, hash long, away boolean")
 
 
+def in_order(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
 def counts_of(vocabulary: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Count of each word, 0 where ``hashes`` lacks it."""
+    """Count of each word, 0 where the sorted ``hashes`` lack it."""
     if not len(hashes):
         return np.zeros(len(vocabulary))
-    order = np.argsort(hashes)
-    at = order[np.minimum(np.searchsorted(hashes, vocabulary, sorter=order), len(hashes) - 1)]
+    at = np.minimum(np.searchsorted(hashes, vocabulary), len(hashes) - 1)
     return np.where(hashes[at] == vocabulary, n[at], 0).astype(np.float64)
 
 
@@ -338,8 +385,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     counts = stored(token_counts(blocks), "lm-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
-    frequent = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    own = frequent[0][np.lexsort((frequent[0].view(np.int64), -frequent[1]))][:OWN]
+    words, n = top.column("hash").to_numpy(), top.column("n").to_numpy()
+    own = words[np.lexsort((words, -n))][:OWN].view(np.uint64)
+    frequent = in_order(words.view(np.uint64), n)
     inner = np.zeros((CLASSES, 2))
     others = counts.where(~F.col("hash").isin(own.view(np.int64).tolist())) if len(own) else counts
     for r in others.groupBy(F.col("hash").bitwiseAND(F.lit(HASHED - 1)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -351,24 +399,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         matrix, own, inner, total, types, frequent = shared.value
         model, classes, parts = Weights(matrix), Classes(own), []
+        rare = in_order(right.column("hash").to_numpy().view(np.uint64), right.column("n").to_numpy())
         for k in range(left.num_rows):
-            block, away = Block.load(left, k), np.array(left.column("away")[k].as_py(), bool)
-            counts = counts_of(block.vocabulary, *frequent) + counts_of(block.vocabulary, right.column("hash").to_numpy().view(np.uint64), right.column("n").to_numpy())
+            piece, away = Piece.load(left, k), away_of(left, k)
+            counts = counts_of(piece.vocabulary, *frequent) + counts_of(piece.vocabulary, *rare)
             # A word of a training text has been counted; counts of 1 are not sent for those.
-            c = np.where(np.repeat(away, block.lengths), counts[block.tokens], np.maximum(counts, 1)[block.tokens])
-            labels = classes.of(block.vocabulary)[block.tokens]
+            c = np.where(np.repeat(away, piece.lengths), counts[piece.tokens], np.maximum(counts, 1)[piece.tokens])
+            labels = classes.of(piece.vocabulary)[piece.tokens]
             logs = np.log10((c + ALPHA) / (inner[labels, 0] + ALPHA * (inner[labels, 1] + 1)))
             logs[labels < OWN] = 0
-            for here, features, own_labels in block.minibatches(classes, model.slots):
+            for here, features, own_labels in piece.minibatches(classes, model.slots):
                 logs[here] += np.log10(np.maximum(model.chance(features, own_labels), 1e-30))
             base = np.log10((c + ALPHA) / (total + ALPHA * (types + 1)))
-            first = np.cumsum(block.lengths) - block.lengths
+            first = np.cumsum(piece.lengths) - piece.lengths
             sums = (np.add.reduceat(x, first) if len(first) else x for x in ((c > 0).astype(np.int64), base, logs))
             known, base, logs = sums
             n = len(first)
-            parts.append(pa.table([left.column("ids")[k].values, pa.array(away), pa.array(block.lengths), pa.array(known), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(logs)], names=names))
+            parts.append(pa.table([left.column("ids")[k].values, pa.array(away), pa.array(piece.lengths), pa.array(known), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(logs)], names=names))
         return pa.concat_tables(parts)
 
-    values = rare_words(blocks, frequent[0]).join(counts, "hash").where("n > 1 or away").select(F.col("block").alias("b"), "hash", "n")
+    values = rare_words(blocks, frequent).join(counts, "hash").where("n > 1 or away").select(F.col("block").alias("b"), "hash", "n")
     scored = blocks.groupBy("block").cogroup(values.groupBy("b")).applyInArrow(run, schema)
-    return scored.withColumnRenamed("id", id_col)
+    return stored(scored, "lm-scores").withColumnRenamed("id", id_col)
