@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAgeCache
+from .common import TwoAgeCache, held
 
 #: White space that normalisers collapse: the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -87,8 +87,8 @@ class BpeCodec:
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         #: White space never joins a piece, so chunks between it stand alone.
         self.by_chunk = own != BYTE_LEVEL
-        self.pieces = TwoAgeCache(self.merge_word, 300_000)
-        self.chunks = TwoAgeCache(self.encode_chunk, 200_000)
+        self.pieces = TwoAgeCache(self.merge_word, 100_000)
+        self.chunks = TwoAgeCache(self.encode_chunk, 100_000)
 
     def merge_word(self, piece: str) -> bytes:
         """Merge one word by a heap of ranks over a doubly linked list."""
@@ -167,16 +167,9 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-_codecs: dict[int, BpeCodec] = {}
-
-
 def codec_of(shared) -> BpeCodec:
     """One codec, with its caches, for each Python worker and vocabulary."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = BpeCodec(json.loads(shared.value))
-    return _codecs[key]
+    return held(("bpe", hash(shared.value)), lambda: BpeCodec(json.loads(shared.value)))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -76,6 +77,22 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "id", broadcast_ids:
     return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
 
 
+_slot: list = [None, None]
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What this Python worker keeps from task to task: one object, under one key.
+
+    Workers outlive stages, so an operator that asks for its own object lets go
+    of what another one has left.
+    """
+    if _slot[0] != key:
+        _slot[:] = None, None
+        gc.collect()
+        _slot[:] = key, make()
+    return _slot[1]
+
+
 def lower_ascii(text: Column | str) -> Column:
     """Lower-case A-Z only; every other character stays."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, kind_of, mix64, only_ids, stored, words_of
+from .common import WordHashes, held, kind_of, mix64, only_ids, stored, words_of
 from .components import components
 
 #: Samples of a band, and how likely all bands may miss a pair at the threshold.
@@ -56,8 +56,6 @@ BLOCK = 512
 SALTED = 256
 SIGNATURE = "id {}, n long, print binary, bands array<long>, sketch binary"
 
-_hashes = WordHashes(100_000)
-
 
 def bands_for(percent: int) -> int:
     """How many bands find a pair at the threshold but for a chance of MISS."""
@@ -75,7 +73,7 @@ def coarse(percent: int) -> tuple[int, int]:
 
 def shingle_set(raw: bytes | None, width: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    h = _hashes.of(words_of(raw))
+    h = held("near dedup", lambda: WordHashes(100_000)).of(words_of(raw))
     if not len(h):
         return h
     size = min(width, len(h))

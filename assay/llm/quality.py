@@ -35,6 +35,7 @@ unless they are asked for with ``carry``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kind_of, only_ids, stored
+from .common import held, kind_of, only_ids, stored
 
 ORDER = 4
 #: Bytes of a code point in a gram, and the symbol before a text, beyond all code points.
@@ -227,10 +228,10 @@ def perplexities(docs: DataFrame, model: Model, broadcast_grams: int) -> DataFra
     if need.limit(broadcast_grams + 1).count() <= broadcast_grams:
         got = need.join(chances, "gram").select("key", F.ln("p").alias("log")).toArrow()
         shared = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("log").to_numpy()))
+        mark = "quality", uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, logs = shared.value
-            keys = pa.array(keys)
+            keys, logs = held(mark, lambda: (pa.array(shared.value[0]), shared.value[1]))
             for batch in batches:
                 yield pa.RecordBatch.from_arrays(scored(batch, keys, logs), names=names)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import read_spec
-from .common import new_path, stored
+from .common import held, new_path, stored
 
 MAGIC = b"EFTOKENS"
 HEAD = struct.Struct("<8sBxxxxxxxQQQqQQ")
@@ -205,14 +205,9 @@ class ChunkedEncoder:
         return [next(heads) + rest for rest in rests]
 
 
-_held: list = [None, None]
-
-
 def encoder_of(shared) -> ChunkedEncoder:
     """One encoder, with what it remembers, for each Python worker and vocabulary."""
-    if _held[0] is not shared.value:
-        _held[:] = shared.value, ChunkedEncoder(shared.value)
-    return _held[1]
+    return held(("token files", hash(shared.value)), lambda: ChunkedEncoder(shared.value))
 
 
 def put_file(folder: str, name: str, raw: bytes) -> None:
