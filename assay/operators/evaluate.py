@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import mean_present, pass_label, sorted_set
+from ..functions.numbering import numbered
 from .validate import last_wins, novelty_passed, result_succeeded
 
 
@@ -162,10 +162,10 @@ def summarize_audit(audit: DataFrame) -> DataFrame:
 def round_robin(df: DataFrame, shards: int, order: str | list[str]) -> DataFrame:
     """Add shard_id: rows in order dealt to ``shards`` in turn."""
     orders = [order] if isinstance(order, str) else order
-    return df.withColumn("shard_id", (F.row_number().over(Window.orderBy(*orders)) - 1) % shards)
+    return numbered(df, *orders, name="_place", start=0).withColumn("shard_id", (F.col("_place") % shards).cast("int")).drop("_place")
 
 
 def chunks(df: DataFrame, size: int, order: str | list[str]) -> DataFrame:
     """Add chunk_id: runs of ``size`` rows in order."""
     orders = [order] if isinstance(order, str) else order
-    return df.withColumn("chunk_id", F.floor((F.row_number().over(Window.orderBy(*orders)) - 1) / size))
+    return numbered(df, *orders, name="_place", start=0).withColumn("chunk_id", F.floor(F.col("_place") / size)).drop("_place")

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.numbering import numbered
 from ..functions.session import checkpointed
 from .rank import feedback_records, rank_by_utility, screen, validation_tasks
 from .validate import result_succeeded
@@ -50,9 +50,8 @@ def adjusted(base: DataFrame, events: DataFrame) -> DataFrame:
     rows = base.join(ids, "candidate_id", "left")
     plus = F.coalesce("plus", F.lit(False))
     minus = F.coalesce("minus", F.lit(False)) & ~plus
-    order = Window.orderBy(F.desc(plus), "candidate_id")
-    rows = rows.withColumns({"f3": F.when(minus, F.greatest(F.coalesce("f3", F.lit(0.5)), F.lit(0.8))).when(plus, F.lit(0.0)).otherwise(F.col("f3")), "_ord": F.row_number().over(order) - 1})
-    return rows.select(*base.columns)
+    rows = rows.withColumns({"f3": F.when(minus, F.greatest(F.coalesce("f3", F.lit(0.5)), F.lit(0.8))).when(plus, F.lit(0.0)).otherwise(F.col("f3")), "_plus": plus})
+    return numbered(rows, F.desc("_plus"), "candidate_id", name="_ord", start=0).select(*base.columns)
 
 
 def active_loop(base: DataFrame, validation: DataFrame | None = None, rounds: int = 2, top_k: int = 3) -> DataFrame:

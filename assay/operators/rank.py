@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbering import numbered
 from ..functions.session import checkpointed
 
 #: Weights of the utility score.
@@ -49,9 +50,10 @@ def rank_by_utility(df: DataFrame, weights: dict[str, float] | None = None, top_
     The top rows are found by a distributed top-k before they are numbered.
     """
     rows = objectives(df, weights)
-    if top_k is not None:
-        rows = rows.orderBy(F.desc("utility"), "_ord").limit(top_k)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("utility"), "_ord")))
+    if top_k is None:
+        return numbered(rows, F.desc("utility"), "_ord", name="rank").withColumn("rank", F.col("rank").cast("int"))
+    rows = rows.orderBy(F.desc("utility"), "_ord").limit(top_k)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("utility"), "_ord")))  # top_k rows
 
 
 def validation_tasks(ranked: DataFrame, top_k: int = 3) -> DataFrame:
@@ -130,4 +132,4 @@ def pareto_layers(df: DataFrame, weights: dict[str, float] | None = None, max_la
     if layers is None:
         return rows.withColumns({"pareto_layer": F.lit(0), "rank": F.lit(1)}).limit(0)
     rows = rows.withColumn("vector", vector).join(layers, "vector").drop("vector")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("pareto_layer", F.desc("utility"), "_ord")))
+    return numbered(rows, "pareto_layer", F.desc("utility"), "_ord", name="rank").withColumn("rank", F.col("rank").cast("int"))

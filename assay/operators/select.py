@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbering import numbered
 from .validate import duplicates, first_wins, last_wins
 
 
@@ -25,8 +26,7 @@ def top_n_overflow(df: DataFrame, key: str, order: list[Column | str], n: int, m
     rows = df.withColumn("rank_in_key", rank).withColumn("in_key", F.col("rank_in_key") <= n)
     reason = F.when(~F.col("in_key"), "per_formula_limit")
     if max_total is not None:
-        place = F.row_number().over(Window.orderBy(F.desc("in_key"), key, "rank_in_key"))
-        rows = rows.withColumn("place", place)
+        rows = numbered(rows, F.desc("in_key"), key, "rank_in_key", name="place")
         reason = reason.when(F.col("place") > max_total, "total_limit")
     rows = rows.withColumn("overflow_reason", reason)
     return rows.withColumn("selected", F.col("overflow_reason").isNull()).drop("in_key", "place")
@@ -83,7 +83,7 @@ def match_references(tasks: DataFrame, references: DataFrame, fits, formula: str
 def novelty_tasks(candidates: DataFrame, limit: int, shards: int, by_ranking: bool = False) -> tuple[DataFrame, DataFrame]:
     """(tasks with shard_id, overflow) in order of id or of ranking."""
     order = [F.desc_nulls_last("ranking_score"), F.col("candidate_id")] if by_ranking else [F.col("candidate_id")]
-    rows = candidates.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    rows = numbered(candidates, *order, name="place")
     tasks = rows.where(F.col("place") <= limit).withColumn("shard_id", (F.col("place") - 1) % shards)
     return tasks, rows.where(F.col("place") > limit)
 

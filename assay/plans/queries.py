@@ -146,9 +146,10 @@ def pairs_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.binary_pairs(cand(spark, sf_dir), threshold=0.3).select("pair_id", "winner_id", "loser_id", "margin")
 
 
-@query()
+@query(f"""WITH {BASE_SQL}, m AS (SELECT l.candidate_id AS winner_id, r.candidate_id AS loser_id, greatest(0.1::DOUBLE, r.agg - l.agg) AS gap FROM u l JOIN u r ON l.agg < 0.3 AND r.agg >= 0.3 AND {MATCH_SQL})
+  SELECT 'random_negative:' || winner_id || '>' || loser_id AS pair_id, winner_id, loser_id, CAST(CASE WHEN gap < 0.15 THEN 0.1 WHEN gap < 0.4 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS margin FROM m QUALIFY row_number() OVER (PARTITION BY winner_id ORDER BY md5('7:' || winner_id || ':' || loser_id)) = 1""")
 def pairs_random_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.random_negative_pairs(cand(spark, sf_dir), threshold=0.3, seed=7)
+    return pairs.random_negative_pairs(cand(spark, sf_dir), threshold=0.3, seed=7).select("pair_id", "winner_id", "loser_id", "margin")
 
 
 RANK_SQL = f"""{CAND_SQL}, o AS (SELECT *, greatest(0, 1.0 - (f1 + f2 + least(coalesce(f3, 1), 1)) / 3) AS success, atoms::DOUBLE / 100 AS cost FROM cand WHERE is_valid),
@@ -530,13 +531,18 @@ def mean_force_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nine(compare.mean_force_stats(forces(spark, sf_dir).select("candidate_id", "mean_force").join(decided, "candidate_id")))
 
 
-@query()
+@query(f"""WITH {CAND_SQL}, {RESULT_SQL}, ev AS (SELECT candidate_id, bool_or(ok AND is_stable) AS plus, bool_or(NOT coalesce(ok AND is_stable, false) AND (lower(status) IN ('failed', 'error') OR coalesce(ok AND NOT is_stable, false))) AS minus FROM judged GROUP BY 1),
+  adj AS (SELECT 1 AS round_id, cand.*, false AS up FROM cand UNION ALL SELECT 2, cand.* REPLACE (CASE WHEN minus AND NOT coalesce(plus, false) THEN greatest(coalesce(f3, 0.5), 0.8) WHEN plus THEN 0.0 ELSE f3 END AS f3), coalesce(plus, false) FROM cand LEFT JOIN ev USING (candidate_id)),
+  sc AS (SELECT *, (f1 + f2 + least(coalesce(f3, 1), 1)) / 3 AS failure FROM adj WHERE is_valid),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY round_id ORDER BY 0.4::DOUBLE * greatest(0, 1.0 - failure) + 0.2::DOUBLE * confidence + 0.15::DOUBLE + 0.15::DOUBLE * novelty + 0.1::DOUBLE * diversity - 0.05::DOUBLE * (atoms::DOUBLE / 100) DESC, up DESC, candidate_id) AS k FROM sc WHERE failure <= 0.55)
+  SELECT CAST(round_id AS INTEGER) AS round_id, candidate_id, CAST(k AS INTEGER) AS selected_rank, 'selected' AS decision FROM rk WHERE k <= 10""")
 def active_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cand(spark, sf_dir)
     return loop.active_loop(rows, results(spark, sf_dir), rounds=2, top_k=10)
 
 
-@query()
+@query("""WITH n AS (SELECT s_name AS node, 'p' || CAST(s_nationkey % 4 AS VARCHAR) AS part, s_suppkey % 9 AS free FROM supplier)
+  SELECT 'free_node' AS mode, node, part AS partition, CAST(least(4, free) AS INTEGER) AS request FROM n WHERE free >= 2 ORDER BY free DESC, part, node LIMIT 1""")
 def gpu_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as nodes: the planner's decision row."""
     parts = F.array(F.concat(F.lit("p"), (F.col("s_nationkey") % 4).cast("string")))

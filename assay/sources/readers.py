@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import first_present, nullable, to_int
+from ..functions.numbering import numbered
 
 #: Names of the artifacts of a run.
 ARTIFACTS = ("bulk_plan.json", "bulk_summary.json", "audit_summary.json", "candidates.jsonl", "audit_candidates.jsonl", "failure_vectors.jsonl", "preference_pairs.jsonl", "preference_summary.json")
@@ -204,10 +205,9 @@ def reference_rows(spark: SparkSession, paths: str | list[str], formulas: list[s
 
 def prepare_references(rows: DataFrame, prefix: str = "ref") -> DataFrame:
     """CSV rows as references: CIF text, else CIF path, else structure text; generated ids."""
-    from pyspark.sql.window import Window
-
+    rows = numbered(rows, "_ord", name="_number", start=0)
     a = lambda *names: alias(rows, *names)
-    number = F.row_number().over(Window.orderBy("_ord")) - 1
+    number = F.col("_number")
     kind = F.when(a("cif", "cif_text").isNotNull(), "cif_text").when(a("cif_path", "structure_ref").isNotNull(), "cif_path").when(a("structure").isNotNull(), "structure")
     return rows.select(
         "_ord", F.coalesce(a("reference_id", "id", "material_id"), F.format_string(prefix + "_%06d", number)).alias("reference_id"),

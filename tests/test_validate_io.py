@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import columns
+from assay.functions.numbering import numbered
 from assay.operators import checks, dpo, evaluate, label, loop, nodes, select, validate
 from assay.sources import readers, writers
 
@@ -24,18 +25,25 @@ def test_coercion_dialects_differ(spark):
     assert got["maybe"] == (True, True, None, None)
     assert got[""] == (False, None, None, None)
     assert got[None] == (None, None, None, None)
-    assert got["2"] == (True, True, True, None)
+    assert got["2"] == (True, True, None, None)
+    assert got["0"] == (True, False, False, False)
 
 
-def test_numbers_and_rounding(spark):
-    df = spark.createDataFrame([("221.7", 0.1234565), ("x", 0.1234575), ("NaN", 2.5e-06), ("None", float("nan"))], "t string, d double")
-    rows = df.select(columns.double_lenient("t").alias("l"), columns.double_finite("t").alias("f"), columns.round6("d").alias("r")).collect()
+def test_numbers(spark):
+    df = spark.createDataFrame([("221.7",), ("x",), ("NaN",), ("None",)], "t string")
+    rows = df.select(columns.double_lenient("t").alias("l"), columns.double_finite("t").alias("f")).collect()
     assert [r.f for r in rows] == [221.7, None, None, None]
-    assert [r.r for r in rows[:3]] == [round(0.1234565, 6), round(0.1234575, 6), round(2.5e-06, 6)]
     with pytest.raises(Exception, match="not a number"):
         df.where("t = 'x'").select(columns.double_strict("t")).collect()
 
 
+def test_row_numbers_over_ranges(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000 // 3, i) for i in range(1000)], "a int, b int").repartition(7)
+    got = [(r.a, r.b, r.n) for r in numbered(df, F.desc("a"), "b", name="n", start=0).collect()]
+    assert sorted(got, key=lambda r: r[2]) == [(a, b, n) for n, (a, b) in enumerate(sorted(((a, b) for a, b, _ in got), key=lambda r: (-r[0], r[1])))]
+    assert numbered(df.limit(0), "a").count() == 0
+
+
 def test_duplicate_policies(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, 30)], "candidate_id string, _ord int, v int")
     assert sorted(values(validate.last_wins(df, "candidate_id", "_ord"), "v")) == [20, 30]
@@ -63,12 +71,36 @@ def test_consensus_needs_every_vote(spark):
 
 
 def test_normalize_coalesces_aliases(spark):
-    df = spark.createDataFrame([(0, "a", "NaCl", "", "mace", "Done", "2", "0.5", "yes"), (1, "", "NaCl", "x", "mace", "?", "", "", "")],
-                               "_ord int, id string, formula string, composition string, validator string, status string, tier string, ehull string, stable string")
+    df = spark.createDataFrame([(0, "a", "NaCl", "", "mace", "Done", "2", "0.5", "yes"), (1, "", "NaCl", "x", "mace", "?", "", "", ""), (2, "b", "NaCl", "", "mace", None, "TierX", "bad", "2"), (3, "c", None, "", "mace", "not_converged", "Unknown", "", "no")],
+                               "_ord int, id string, formula string, composition string, validator string, status string, tier string, ehull string, is_stable string")
     good, issues = validate.normalize(df)
-    row = good.first()
-    assert (row.candidate_id, row.validation_status, row.calibration_tier, row.energy_above_hull, row.is_stable) == ("a", "completed", "tier2", 0.5, True)
-    assert values(issues, "issue") == ["missing_candidate_id"]
+    got = {r.candidate_id: (r.validation_status, r.calibration_tier, r.energy_above_hull, r.is_stable, r.f3_available_after_normalization) for r in good.collect()}
+    assert got == {"a": ("completed", "tier2", 0.5, True, True), "b": ("unknown", "TierX", None, None, False)}
+    assert sorted(values(issues, "message")) == ["missing required field(s): candidate_id", "missing required field(s): formula"]
+
+
+def test_stated_stability_beats_the_hull(spark):
+    rows = spark.createDataFrame([(False, 0.03), (None, 0.03), (None, 0.06), (True, 0.9), (False, None), (None, None), (False, 5.0)], "is_stable boolean, e_above_hull double")
+    assert values(rows.select(validate.stability_score().alias("x"))) == [0.3, 0.0, 0.3, 0.0, 1.0, 1.0, 1.0]
+
+
+def test_relaxation_proxy_needs_a_relaxation(spark):
+    schema = "relaxed boolean, relax_requested boolean, force_max double, stress_max double, relaxation_converged boolean"
+    rows = spark.createDataFrame([(None, None, 0.01, None, True), (True, None, 0.01, None, None), (True, None, 0.01, None, True), (None, True, None, None, True), (True, None, 0.06, None, True)], schema)
+    got = [tuple(r.x) for r in rows.select(validate.relaxation_proxy().alias("x")).collect()]
+    assert got == [(None, None), (False, "relaxation_not_converged"), (True, "relaxation_converged_below_thresholds"), (None, "missing_force_max"), (False, "force_above_relaxation_stability_threshold")]
+
+
+def test_every_skipped_validation_has_its_reason(spark):
+    schema = "candidate_id string, formula string, spacegroup int, generation map<string,string>, _ord int"
+    audit = spark.createDataFrame([("a", "X", 1, {"K": "40"}, 0), ("b", None, None, {}, 1), ("c", "X", 2, {"K": "40", "top_k": ""}, 2)], schema)
+    more = schema + ", validation_status string, error_reason string, is_stable boolean, e_above_hull double, validation_source string"
+    ok = ("completed", None, True, None, "m")
+    rows = [("a", "X", None, {"K": "40"}, 0, *ok), ("a", "X", None, {"K": "40"}, 1, *ok), ("b", "X", None, {}, 2, *ok), ("c", "X", 3, {}, 3, *ok), ("z", "X", 1, {}, 4, *ok)]
+    got = [r.import_status for r in validate.import_status(audit, spark.createDataFrame(rows, more)).orderBy("_ord").collect()]
+    assert got == ["validated_success", "duplicate_validation_candidate_id", "formula_mismatch", "spacegroup_mismatch", "candidate_not_found"]
+    rows = [("c", "X", 2, {"K": 40 * "4"}, 0, *ok), ("a", "X", 1, {"K": "40"}, 1, "completed", "late", True, None, "m")]
+    assert values(validate.import_status(audit, spark.createDataFrame(rows, more)).orderBy("_ord"), "import_status") == ["condition_mismatch", "validation_error"]
 
 
 def test_novelty_import_lists_both_sides(spark):
