@@ -13,13 +13,17 @@ Two texts are equal when they are identical after deleting white space
    Rows that share a digest but not the bytes form groups of their own.
 
 A memtable holds one entry for each digest, so a text that makes up a third of
-all rows reaches compaction as one entry for each memtable. Only hits' texts
-are shuffled; the join that compares them has one row on its right side for
-each digest, so Spark may split a hot digest's left side as it likes.
+all rows reaches compaction as one entry for each memtable. Rows learn of their
+group from a broadcast list: of all repeated digests if they are few, else of
+those with many rows, the others being joined. Texts are compared where they
+are, with broadcast texts if those that stay are few and short, else dealt to
+salted tasks; so no digest gathers in one task.
 
 Defined results: a null text counts as empty, and all empty texts are equal;
-repeated rows (same id and text) are counted one by one and marked alike; an
-empty table gives an empty table; other columns are neither read nor returned.
+repeated rows (same id and text) are counted one by one and marked alike; a row
+with a null id stays only where all its copies have none, and then all do; ids
+may be of any type that compares; an empty table gives an empty table; other
+columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -32,15 +36,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACES, stored
+from .common import SPACES, kind_of, stored
 
 DELETED = SPACES.encode()
 #: Bits of a filter for each digest, and the hash functions that set them.
 FILTER_BITS, FILTER_HASHES = 12, 6
 #: Filters are broadcast up to this many bytes; beyond, all rows are joined.
 FILTER_LIMIT = 64 << 20
-RUN = "run string, digest binary, neg_points long, id long, n long, filter binary"
+#: Repeated digests (about 50 bytes each) that are broadcast; rows of a digest that is broadcast in any case.
+BROADCAST_GROUPS, HOT_ROWS = 500_000, 100_000
+#: Bytes of texts that are broadcast, and rows of a digest that are compared in one task beyond it.
+BROADCAST_TEXTS, SALTED = 16 << 20, 1000
+RUN = "run string, digest binary, neg_points long, id {}, n long, filter binary"
+
+
+#: What the smallest identifier is the smallest of; a null id comes last.
+IDENTIFIER = "struct(neg_points, id is null as no_id, id)"
 
 
 def squeeze(raw: bytes | None) -> bytes:
@@ -82,12 +95,14 @@ def digest_log(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), batch.column(2)], names=["id", "digest", "neg_points"])
 
     points = -F.coalesce(F.char_length(text_col), F.lit(0)).cast("long")
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), points.alias("neg_points"))
-    return chosen.mapInArrow(run, "id long, digest binary, neg_points long")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), points.alias("neg_points"))
+    return chosen.mapInArrow(run, f"id {kind_of(chosen, 'id')}, digest binary, neg_points long")
 
 
 def flush_runs(log: DataFrame, memtable_rows: int) -> DataFrame:
     """Sorted runs of at most ``memtable_rows`` digests, each with its filter row."""
+    order = lambda points, id_: (points, id_ is None, id_)
+    kind = to_arrow_schema(log.select("id").schema).field("id").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -100,7 +115,7 @@ def flush_runs(log: DataFrame, memtable_rows: int) -> DataFrame:
                 pa.array([name] * len(filters)),
                 pa.array([*digests, None], pa.binary()),
                 pa.array([*(b[0] for b in best), None], pa.int64()),
-                pa.array([*(b[1] for b in best), None], pa.int64()),
+                pa.array([*(b[1] for b in best), None], kind),
                 pa.array([*(b[2] for b in best), None], pa.int64()),
                 pa.array(filters, pa.binary()),
             ], names=["run", "digest", "neg_points", "id", "n", "filter"])
@@ -115,16 +130,16 @@ def flush_runs(log: DataFrame, memtable_rows: int) -> DataFrame:
                         memtable = {}
                     memtable[digest] = points, id_, 1
                 else:
-                    memtable[digest] = *min(seen[:2], (points, id_)), seen[2] + 1
+                    memtable[digest] = *min(seen[:2], (points, id_), key=lambda x: order(*x)), seen[2] + 1
         if memtable:
             yield flush(memtable)
 
-    return log.mapInArrow(run, RUN)
+    return log.mapInArrow(run, RUN.format(kind_of(log, "id")))
 
 
 def compact(runs: DataFrame) -> DataFrame:
     """Merge runs: the smallest identifier and the number of rows of each digest."""
-    best = F.min(F.struct("neg_points", "id"))
+    best = F.min(F.expr(IDENTIFIER))
     merged = runs.where(F.col("digest").isNotNull()).groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n"))
     return merged.select("digest", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
 
@@ -167,22 +182,39 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, filters: dict[int, byt
                 pa.array([raws[i] for i in at], pa.binary()),
             ], names=["id", "digest", "bytes"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "id long, digest binary, bytes binary")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, f"id {kind_of(chosen, 'id')}, digest binary, bytes binary")
+
+
+def with_groups(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows`` with keep_id and group_size of their digest, null where it is not repeated."""
+    groups = index.where("group_size > 1")
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), "digest", "left")
+    first = rows.join(F.broadcast(groups.where(F.col("group_size") > HOT_ROWS)), "digest", "left")
+    rest = first.where("group_size is null").select(*rows.columns).join(groups.where(F.col("group_size") <= HOT_ROWS), "digest", "left")
+    return first.where("group_size is not null").unionByName(rest)
 
 
 def mismatches(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Hits whose bytes differ from those of the row that stays (id, digest, bytes)."""
-    repeated = index.where("group_size > 1").select("digest", "keep_id")
     maybe = suspects(docs, id_col, text_col, shard_filters(index))
-    hits = stored(maybe.join(repeated, "digest"), "dedup-hits")
-    stays = hits.where("id = keep_id").groupBy("digest").agg(F.min("bytes").alias("kept_bytes"))
-    return hits.join(stays, "digest").where("bytes != kept_bytes").select("id", "digest", "bytes")
+    hits = stored(with_groups(maybe, index).where("group_size is not null"), "dedup-hits")
+    stays = hits.where("id <=> keep_id").groupBy("digest", "group_size").agg(F.min("bytes").alias("kept_bytes"))
+    stays = stored(stays, "dedup-stays")
+    size = stays.agg(F.coalesce(F.sum(F.octet_length("kept_bytes") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_TEXTS:
+        both = hits.join(F.broadcast(stays.drop("group_size")), "digest")
+    else:
+        salts = F.ceil(F.col("group_size") / SALTED).cast("int")
+        spread = stays.select("digest", "kept_bytes", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        both = hits.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(spread, ["digest", "salt"])
+    return both.where("bytes != kept_bytes").select("id", "digest", "bytes")
 
 
 def corrected(log: DataFrame, odd: DataFrame) -> DataFrame:
     """Groups of rows that share a digest with other bytes, one row for each id."""
-    best = F.min(F.struct("neg_points", "id"))
+    best = F.min(F.expr(IDENTIFIER))
     rows = odd.join(log.dropDuplicates(["id", "digest"]), ["id", "digest"])
     groups = rows.groupBy("digest", "bytes").agg(best.alias("best"), F.count("*").alias("own_size"))
     own = rows.join(groups, ["digest", "bytes"])
@@ -194,7 +226,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     log = stored(digest_log(docs, id_col, text_col), "dedup-log")
     index = stored(compact(stored(flush_runs(log, memtable_rows), "dedup-runs")), "dedup-index")
     odd = stored(mismatches(docs, index, id_col, text_col), "dedup-odd")
-    out = log.join(index.where("group_size > 1"), "digest", "left")
+    out = with_groups(log, index)
     if not odd.isEmpty():
         fixes = corrected(log, odd)
         gone = odd.groupBy("digest").agg(F.count("*").alias("gone"))
@@ -206,6 +238,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (keep == F.col("id")).alias("kept"),
+        F.coalesce(keep == F.col("id"), keep.isNull()).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -97,6 +97,21 @@ def test_exact_dedup_matches_brute_force(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_of_text_ids_and_null_ids_by_every_path(spark, monkeypatch):
+    rows = [(f"k{i % 7}", "same\ttext") for i in range(7)] + [(None, "same text"), (None, "alone"), (None, "alone "), ("z", "longer  same text"), ("y", "longersame text"), ("x", None), ("w", "")]
+    want = {}
+    for i, t in rows:
+        want.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), i is None, i or "", i))
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    for limits in ({}, {"BROADCAST_GROUPS": 0, "HOT_ROWS": 4, "BROADCAST_TEXTS": 0, "SALTED": 2, "FILTER_LIMIT": 0}):
+        for name, value in limits.items():
+            monkeypatch.setattr(exact_dedup, name, value)
+        got = exact_dedup.exact_dedup(docs).collect()
+        assert sorted(map(repr, ((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got))) == sorted(
+            repr((i, min(g)[3], len(g), i == min(g)[3])) for i, t in rows for g in [want[re.sub("[\x20\x09-\x0d]", "", t or "")]]
+        )
+
+
 def test_digest_collisions_are_split_by_bytes(spark, docs):
     rows = [(1, b"d" * 32, -3, b"aaa"), (2, b"d" * 32, -3, b"aaa"), (3, b"d" * 32, -3, b"bbb"), (4, b"d" * 32, -4, b"bbb")]
     log = spark.createDataFrame([(i, bytearray(d), p) for i, d, p, _ in rows], "id bigint, digest binary, neg_points bigint")
