@@ -8,8 +8,9 @@ then the languages within the family; each machine is trained in a task of its
 own by dual coordinate descent.
 
 Bounds: about ``per_lang`` labelled documents of each language are learned
-from (a hash of the id picks them), so the machines' input and output do not
-grow with the corpus. Every document is predicted from its whole text.
+from (a hash of the id picks them), and about ``per_machine`` of them by one
+machine, so its input grows neither with the corpus nor with the languages of
+its families. Every document is predicted from its whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 so is every text if nothing can be learned; with a single language all other
@@ -20,6 +21,7 @@ one; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -170,7 +172,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMS)
 
 
-def train(learn: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> Model | None:
+def train(learn: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, per_machine: int) -> Model | None:
     spark = learn.sparkSession
     rows = learn.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(r"lang is not null and text rlike '\\p{L}'")
@@ -201,19 +203,22 @@ def train(learn: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
         w = train_machine(x[order], y[order])
         return pa.table({"machine": group.column("machine").slice(0, 1), "w": pa.array([w.tobytes()], pa.binary())})
 
-    plan = spark.createDataFrame(sides, "machine string, lang string, side int")
-    fitted = sample.join(F.broadcast(plan), "lang").groupBy("machine").applyInArrow(fit, "machine string, w binary")
+    langs = Counter(machine for machine, _, _ in sides)
+    shares = [(*x, min(1.0, per_machine / (per_lang * langs[x[0]]))) for x in sides]
+    plan = spark.createDataFrame(shares, "machine string, lang string, side int, share double")
+    rows = sample.join(F.broadcast(plan), "lang").where(F.pmod(F.xxhash64("machine", "x"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    fitted = rows.groupBy("machine").applyInArrow(fit, "machine string, w binary")
     return Model(families, {r.machine: np.frombuffer(r.w, np.float64) for r in fitted.collect()})
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_lang: int = 500) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_lang: int = 500, per_machine: int = 4000) -> DataFrame:
     """Return (id_col, held_out, lang_pred, score), a row for each row.
 
     Documents whose crc32(id as text) mod ``folds`` is ``held`` are held out of
     the training.
     """
     away = F.coalesce(crc32_mod(id_col, folds) == held, F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~away), id_col, text_col, lang_col, per_lang))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~away), id_col, text_col, lang_col, per_lang, per_machine))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

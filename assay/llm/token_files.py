@@ -221,7 +221,12 @@ def put_file(folder: str, name: str, raw: bytes) -> None:
     own = f"{path}/.{name}.{uuid4().hex}"
     with system.open_output_stream(own) as out:
         out.write(raw)
-    system.move(own, f"{path}/{name}")
+    try:
+        system.move(own, f"{path}/{name}")
+    except OSError:  # some stores do not move onto a file; an earlier try of this task has left the same one
+        if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+            raise
+        system.delete_file(own)
 
 
 def get_file(folder: str, name: str) -> bytes:
@@ -270,8 +275,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, id
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(max(1, docs.rdd.getNumPartitions()), "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    # Rows that share an id, or have none, spread over ranges by their texts.
+    rows = rows.repartitionByRange(max(1, docs.rdd.getNumPartitions()), "id", "print").sortWithinPartitions("id", "print").select("id", "text")
     return stored(rows.mapInArrow(run, "folder string, name string, n_docs long, n_ids long"), "token-manifest")
 
 

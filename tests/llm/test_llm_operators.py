@@ -320,6 +320,9 @@ def test_url_rules(spark):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(cases)], "page_id bigint, url string, host string")
     got = by_id(url_filter.filter_urls(pages, rules), "page_id")
     assert [tuple(got[i])[1:] for i in range(len(cases))] == list(cases.values())
+    twice = pages.union(pages.where("page_id < 3")).union(pages.limit(1).withColumn("page_id", F.lit(None).cast("bigint")))
+    assert url_filter.filter_urls(twice, rules).count() == len(cases) + 4
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
     joined = by_id(url_filter.filter_by_join(pages, table), "page_id")
     assert [tuple(joined[i])[1:] for i in range(len(cases))] == list(cases.values())
