@@ -158,6 +158,21 @@ class TwoAgeCache(dict):
         return value
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = 1000, limit: int = 200_000) -> DataFrame:
+    """``left`` inner-joined with ``right``, which has one row for each ``key``.
+
+    Keys with more than ``hot`` rows on the left, as ``weight`` says, are
+    broadcast, so that no task gathers one; if there are more than ``limit`` of
+    them, none of them is large beside the rest and all are shuffled.
+    """
+    large = right.where(F.col(weight) > hot)
+    n = large.limit(limit + 1).count()
+    if not 0 < n <= limit:
+        return left.join(right, key)
+    rest = left.join(F.broadcast(large.select(key)), key, "left_anti").join(right.where(F.col(weight) <= hot), key)
+    return left.join(F.broadcast(large), key).unionByName(rest)
+
+
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of the value written as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

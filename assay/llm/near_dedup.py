@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, held, kind_of, mix64, only_ids, stored, words_of
+from .common import WordHashes, held, join_hot, kind_of, mix64, only_ids, stored, words_of
 from .components import components
 
 #: Samples of a band, and how likely all bands may miss a pair at the threshold.
@@ -150,9 +150,9 @@ def popcount_pairs(batches: Iterator[pa.RecordBatch], limit: int, percent: int)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near & alike))
 
 
-def star_pairs(classes: DataFrame, heads: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def star_pairs(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Distinct (member, smallest member) pairs that the sketches let through."""
-    pairs = members.join(heads, "key").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    pairs = members.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb")
@@ -231,14 +231,14 @@ def mixed_buckets(heads: DataFrame, members: DataFrame, labels: DataFrame) -> Da
 
     ``lefts`` and ``rights`` say into how many blocks the bucket is cut.
     """
-    inside = members.join(heads.where("size > 2"), "key")
+    inside = members.where("size > 2").select("key", "id")
     inside = inside.join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    anchors = labels.select(F.col("id").alias("head"), F.col("label").alias("anchor"))
-    inside = inside.join(anchors, "head", "left").withColumn("anchor", F.coalesce("anchor", "head"))
+    anchors = heads.where("size > 2").join(labels.select(F.col("id").alias("head"), F.col("label").alias("anchor")), "head", "left")
+    inside = join_hot(inside, stored(anchors.select("key", "size", F.coalesce("anchor", "head").alias("anchor")), "near-anchors"), "key", "size")
     inside = stored(inside.select("key", "id", "comp", (F.col("comp") != F.col("anchor")).alias("outside")), "near-inside")
     sizes = inside.groupBy("key").agg(F.count_if("outside").alias("u"), F.count("*").alias("size")).where("u > 0")
-    blocks = sizes.select("key", F.ceil(F.col("u") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
-    return stored(inside.join(blocks, "key"), "near-mixed")
+    blocks = sizes.select("key", "size", F.ceil(F.col("u") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
+    return stored(join_hot(inside, stored(blocks, "near-blocks"), "key", "size").drop("size"), "near-mixed")
 
 
 def mixed_pairs(rows: DataFrame, fine: DataFrame, percent: int, best_only: bool) -> DataFrame:
@@ -265,9 +265,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select(F.explode("bands").alias("key"), "id")
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     heads = stored(heads, "near-heads")
-    members = stored(members.join(heads.select("key"), "key", "left_semi"), "near-members")
+    members = stored(join_hot(members, heads, "key", "size"), "near-members")
 
-    links = stored(verified(stored(star_pairs(classes, heads, members, percent), "near-stars"), docs, percent, width), "near-links")
+    links = stored(verified(stored(star_pairs(classes, members, percent), "near-stars"), docs, percent, width), "near-links")
     labels, fine = components(links), None
     for best_only in (True, False):
         rows = mixed_buckets(heads, members, labels)
