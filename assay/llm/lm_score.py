@@ -56,7 +56,7 @@ SLOTS_FROM, SLOTS_TO = 1 << 10, 1 << 14
 ROUNDS, MINIBATCH, RATE = 3, 8192, 0.05
 ALPHA = 0.1
 #: Bytes of text of a block, whose words are looked up together, and of a piece of it.
-BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 #: Words that a task holds before it passes them on.
 HELD_WORDS = 1 << 20
 #: Rows of the weight matrix that are summed in one task.
