@@ -158,6 +158,29 @@ def test_near_dedup_matches_brute_force(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_operators_take_ids_of_type_text(spark, docs):
+    """The same results as with numbers, named otherwise; a null id is no other row's."""
+    named = docs.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    extra = spark.createDataFrame([(None, texts()[3], "en"), (None, None, None)], "doc_id string, text string, lang string")
+    named = named.unionByName(extra, allowMissingColumns=True)
+    name = lambda i: f"d{i:05d}"
+    want, got = by_id(near_dedup.near_duplicates(docs)), near_dedup.near_duplicates(named).collect()
+    assert len(got) == named.count()
+    for row in got:
+        if row.doc_id is None:
+            assert row.kept and row.component_id in (None, name(want[3].component_id))
+        else:
+            old = want[int(row.doc_id[1:])]
+            assert (row.n_shingles, row.component_id, row.kept) == (old.n_shingles, name(old.component_id), old.kept)
+    path = queries.tokenizer("word_bpe_49k.json")
+    one, two = bpe.digests(bpe.encode_decode(docs, path)), bpe.digests(bpe.encode_decode(named, path))
+    assert {(name(r.doc_id), r.ids_sha256) for r in one.collect()} == {(r.doc_id, r.ids_sha256) for r in two.collect() if r.doc_id}
+    items = spark.createDataFrame([(1, texts()[4])], "item_id bigint, text string")
+    one, two = (decontaminate.decontaminate(d, items) for d in (docs, named))
+    assert {(name(r.doc_id), r.n_hit) for r in one.collect()} == {(r.doc_id, r.n_hit) for r in two.collect() if r.doc_id}
+    assert lang_id.identify(named).count() == named.count()
+
+
 def test_pipeline_near_stage_matches_brute_force_at_80_percent(spark):
     import corpus_pipeline
 
