@@ -322,7 +322,9 @@ def consensus(rows: DataFrame, validators: list[str], order: list[str]) -> DataF
     stable_votes, unstable_votes, vote_pattern, consensus_is_stable, force_max,
     stress_max, relaxation_converged, calibration_tier, uncertainty, error_reason.
     """
-    latest = last_wins(rows.where(F.col("validator").isin(validators)), ["candidate_id", "validator"], order)
+    columns = ["candidate_id", "validator", "is_stable", "force_max", "stress_max", "relaxation_converged"]
+    rows = rows.where(F.col("validator").isin(validators)).select(*dict.fromkeys([*columns, *order]))
+    latest = last_wins(rows, ["candidate_id", "validator"], order)
     word = F.when(F.col("is_stable"), "stable").when(~F.col("is_stable"), "unstable").otherwise("unknown")
     n = len(validators)
     out = latest.groupBy("candidate_id").agg(

@@ -38,13 +38,17 @@ def write_json_row(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report table: floats with four digits, null as unavailable. ``limit`` rows are shown."""
-    rows = df.limit(limit).collect()
+    """A report table: floats with four digits, null as unavailable.
+
+    ``limit`` rows are shown, and a last line says so if there are more.
+    """
+    rows = df.limit(limit + 1).collect()
     if not rows:
         return "_No rows._"
     show = lambda v: "unavailable" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows])
+    tail = [f"\n_Only the first {limit} rows are shown._"] if len(rows) > limit else []
+    return "\n".join(head + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows[:limit]] + tail)
 
 
 def report(title: str, **sections: DataFrame) -> str:
