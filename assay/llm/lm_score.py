@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, kind_of, mix64, stored
+from .common import crc32_mod, kind_of, mix64, small_batches, stored
 
 #: No word contains white space, so these stand for no word.
 END, BEGIN = b"\n", b"\t"
@@ -322,7 +322,9 @@ def train(blocks: DataFrame, own: np.ndarray, tokens: int) -> np.ndarray:
 
         updates = shares.mapInArrow(run, "shard int, bunch int, part binary, tokens long")
         weights = weights.copy()
-        for row in averaged(updates, tasks).collect():
+        with small_batches(blocks.sparkSession):
+            rows_of_shards = averaged(updates, tasks).collect()
+        for row in rows_of_shards:
             part = np.frombuffer(row.part, np.float32).reshape(-1, WIDTH) / np.float32(row.tokens)
             weights[row.shard * SHARD : row.shard * SHARD + len(part)] = part
         start.unpersist()
