@@ -81,6 +81,43 @@ def side_metrics(candidates: DataFrame) -> DataFrame:
     )
 
 
+def side_report(candidates: DataFrame, consensus: DataFrame, votes: DataFrame, pairs: int | None = None) -> DataFrame:
+    """One row: the wide report of one side of a comparison; maps hold the breakdowns.
+
+    ``candidates``: formula, sequence, space_group, prototype, f1_label,
+    f2_label, dpo_eligible. ``consensus``: rows of ``validate.consensus``.
+    ``votes``: (validator, is_stable) of the candidates in it. Rates over
+    nothing are null.
+    """
+    from .validate import breakdown
+
+    n = F.count("*")
+    group = F.when(F.col("space_group") != 0, F.col("space_group"))
+    whole = candidates.agg(
+        n.alias("candidate_count"), F.count_if("dpo_eligible").alias("dpo_eligible_count"), F.count_if(F.col("f1_label") != "pass").alias("f1_fail_count"), F.count_if(F.col("f2_label") != "pass").alias("f2_fail_count"),
+        F.countDistinct(F.when(F.col("formula") != "", F.col("formula"))).alias("formula_count"), F.countDistinct("sequence").alias("unique_sequence_count"), F.countDistinct(group).alias("spacegroup_count"), F.countDistinct("prototype").alias("prototype_count"),
+    )
+    agreed = consensus.agg(
+        F.count("*").alias("overlap_count"), F.count_if(F.col("consensus_is_stable")).alias("strict_three_mlip_stable_consensus_count"), F.count_if(~F.col("consensus_is_stable")).alias("unstable_consensus_count"),
+        F.count_if(~F.col("agreement")).alias("disagreement_count"), F.try_divide(F.count_if("agreement"), F.count("*")).alias("all_three_agreement_rate"),
+    )
+    voted = votes.agg(F.countDistinct("validator").alias("validator_count"), F.count_if("is_stable").alias("stable_vote_count"))
+    shares = entropy(candidates.select(group.alias("g")), "g").select(F.col("entropy").alias("spacegroup_entropy"))
+    top = candidates.where("formula != ''").groupBy("formula").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("_most"))
+    out = whole.crossJoin(agreed).crossJoin(voted).crossJoin(shares).crossJoin(top)  # one row each
+    for name, rows, column in (("formula_coverage", candidates.where("formula != ''"), "formula"), ("spacegroup_coverage", candidates.where(group.isNotNull()), "space_group"), ("prototype_coverage", candidates.where("prototype is not null"), "prototype"), ("vote_pattern_counts", consensus, "vote_pattern")):
+        out = out.crossJoin(breakdown(rows, column).withColumnRenamed("counts", name))
+    share = lambda a, *b: F.try_divide(F.col(a), *(b if b and not isinstance(b[0], str) else map(F.col, b)))
+    available = F.col("strict_three_mlip_stable_consensus_count") + F.col("unstable_consensus_count")
+    rate = {"dpo_eligible_rate": "dpo_eligible_count", "f1_fail_rate": "f1_fail_count", "f2_fail_rate": "f2_fail_count", "stable_consensus_rate": "strict_three_mlip_stable_consensus_count", "dominant_formula_fraction": "_most", "unique_sequence_fraction": "unique_sequence_count", "average_stable_votes_per_generated_candidate": "stable_vote_count"}
+    out = out.withColumn("f3_available_count", available).withColumns({k: share(v, "candidate_count") for k, v in rate.items()}).withColumns({
+        "f3_available_rate": share("f3_available_count", "candidate_count"), "stable_consensus_rate_among_f3_available": share("strict_three_mlip_stable_consensus_count", "f3_available_count"),
+        "average_stable_vote_fraction_all_generated": share("stable_vote_count", F.col("validator_count") * F.col("candidate_count")), "average_stable_votes_per_validated_candidate": share("stable_vote_count", "overlap_count"),
+        "average_stable_vote_fraction_validated": share("stable_vote_count", F.col("validator_count") * F.col("overlap_count")), "preference_pair_yield": F.lit(pairs).cast("double"),
+    })
+    return out.drop("_most")
+
+
 def before_after(before: DataFrame, after: DataFrame, key: str, *values: str) -> DataFrame:
     """Full outer join on ``key`` with before_x, after_x and delta_x."""
     left = before.select(key, *(F.col(v).alias(f"before_{v}") for v in values))

@@ -159,6 +159,30 @@ def summarize_audit(audit: DataFrame) -> DataFrame:
     )
 
 
+def full_audit_summary(audit: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+    """One row: ``summarize_audit`` with sequences, duplicates, validations and the top reasons.
+
+    ``audit``: as there and raw_sequence_status, source_format, failure_reasons,
+    parse_error, f3_validation_available, validation_status, offline_is_stable.
+    ``candidates``: composition, structure_ref. Top lists hold (reason, n).
+    """
+    from .validate import breakdown
+
+    more = audit.agg(
+        F.count_if(F.col("raw_sequence_status") == "partial").alias("partial_sequence_count"), F.count_if(F.col("raw_sequence_status") == "missing").alias("missing_raw_sequence_count"),
+        F.count_if("f3_validation_available").alias("offline_validation_available_count"), F.count_if(F.col("validation_status").isin("error", "failed", "validation_error")).alias("offline_validation_error_count"),
+        F.count_if(F.col("f3_validation_available") & F.col("offline_is_stable")).alias("f3_validated_stable_count"),
+    )
+    out = summarize_audit(audit).crossJoin(more)  # one row each, as are all below
+    for name, column in (("duplicate_composition_count", "composition"), ("duplicate_structure_ref_count", "structure_ref")):
+        out = out.crossJoin(duplicate_extra(candidates.where(F.col(column) != ""), column).select(F.col("extra").alias(name)))
+    out = out.crossJoin(breakdown(audit, "source_format").withColumnRenamed("counts", "source_format_breakdown"))
+    for name, rows in (("top_failure_reasons", audit.select(F.explode("failure_reasons").alias("reason"))), ("top_parse_errors", audit.where("parse_error != ''").select(F.col("parse_error").alias("reason")))):
+        top = top_items(rows, "reason", k).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "reason"))).alias("x"))
+        out = out.crossJoin(top.select(F.transform("x", lambda e: F.struct(e["reason"].alias("reason"), (-e["n"]).alias("n"))).alias(name)))
+    return out
+
+
 def round_robin(df: DataFrame, shards: int, order: str | list[str]) -> DataFrame:
     """Add shard_id: rows in order dealt to ``shards`` in turn."""
     orders = [order] if isinstance(order, str) else order

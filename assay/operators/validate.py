@@ -359,6 +359,15 @@ def consensus_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def consensus_breakdown(rows: DataFrame, latest: DataFrame) -> DataFrame:
+    """One row: stable votes of each validator and vote patterns, as maps.
+
+    ``rows``: of ``consensus``; ``latest``: of ``votes``, the same candidates.
+    """
+    stable = latest.groupBy("validator").agg(F.count_if("is_stable").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("validator", "n")))).alias("validator_stable_counts"))
+    return stable.crossJoin(breakdown(rows, "vote_pattern").withColumnRenamed("counts", "vote_pattern_counts"))  # one row each
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson correlation; null below two points or without variance."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder
-from ..operators import detail, dpo, evaluate, nodes, pairs, rank, select, structures, validate
+from ..operators import compare, detail, dpo, evaluate, nodes, pairs, rank, select, structures, validate
 from ..sources import adapters, files, outputs, readers, writers
 from ..streaming import validation_stream
-from .queries import AXIS_SQL, PAIR_SQL, RANK_SQL, nine, query
+from .import_queries import as_text
+from .queries import AXIS_SQL, CONSENSUS_SQL, RANK_SQL, nine, query
 from .views import CAND_SQL, LAST_SQL, VAL_ORDER, VAL_SQL, VALIDATORS, cand, table, val
 
 
@@ -318,3 +319,54 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     validation_stream.keep_latest(validation_stream.validation_files(spark, source, STREAM), target, f"{target}/checkpoint").awaitTermination()
     latest = files.matching(spark, f"{target}/v*")
     return spark.read.parquet(latest[0]).select("candidate_id", "validator", "validation_status")
+
+
+@query(f"""WITH {CAND_SQL}, {CONSENSUS_SQL}, v AS (SELECT last.* FROM last JOIN cons USING (candidate_id)), cc AS (SELECT count(*) AS n FROM cand), o AS (SELECT count(*) AS n, count(*) FILTER (agreement AND stable_votes = 3) AS s, count(*) FILTER (agreement AND unstable_votes = 3) AS u, count(*) FILTER (agreement) AS a FROM cons), w AS (SELECT count(*) FILTER (is_stable) AS s FROM v)
+  SELECT cc.n AS candidate_count, (SELECT count(*) FILTER (is_valid) FROM cand) AS dpo_eligible_count, (SELECT count(*) FILTER (f1 >= 0.1) FROM cand) AS f1_fail_count, (SELECT count(DISTINCT family) FROM cand) AS formula_count, (SELECT count(DISTINCT nullif(space_group, 0)) FROM cand) AS spacegroup_count,
+    o.n AS overlap_count, o.s AS strict_three_mlip_stable_consensus_count, o.u AS unstable_consensus_count, o.n - o.a AS disagreement_count, round(o.a / o.n, 9) AS all_three_agreement_rate, w.s AS stable_vote_count, round(w.s / (3 * cc.n), 9) AS average_stable_vote_fraction_all_generated, round(w.s / (3 * o.n), 9) AS average_stable_vote_fraction_validated,
+    round(o.s / cc.n, 9) AS stable_consensus_rate, round(o.s / nullif(o.s + o.u, 0), 9) AS stable_consensus_rate_among_f3_available, round((SELECT max(k) FROM (SELECT count(*) AS k FROM cand GROUP BY family)) / cc.n, 9) AS dominant_formula_fraction,
+    (SELECT round(-sum(p * ln(p)), 9) FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM cand WHERE space_group <> 0 GROUP BY space_group)) AS spacegroup_entropy,
+    (SELECT string_agg(k || '=' || m, ';' ORDER BY k) FROM (SELECT vote_pattern AS k, count(*) AS m FROM cons GROUP BY 1)) AS vote_pattern_counts FROM cc, o, w""")
+def side_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.columns import pass_label
+
+    rows = cand(spark, sf_dir).withColumns({"formula": F.col("family"), "sequence": F.concat("prototype", F.col("atoms").cast("string")), "f1_label": pass_label("f1"), "f2_label": pass_label("f2"), "dpo_eligible": F.col("is_valid")})
+    decided = validate.consensus(val(spark, sf_dir), VALIDATORS, VAL_ORDER)
+    out = compare.side_report(rows, decided, validate.votes(val(spark, sf_dir), VALIDATORS, VAL_ORDER))
+    return nine(out.withColumn("vote_pattern_counts", as_text("vote_pattern_counts")).select(
+        "candidate_count", "dpo_eligible_count", "f1_fail_count", "formula_count", "spacegroup_count", "overlap_count", "strict_three_mlip_stable_consensus_count", "unstable_consensus_count", "disagreement_count", "all_three_agreement_rate", "stable_vote_count",
+        "average_stable_vote_fraction_all_generated", "average_stable_vote_fraction_validated", "stable_consensus_rate", "stable_consensus_rate_among_f3_available", "dominant_formula_fraction", "spacegroup_entropy", "vote_pattern_counts",
+    ))
+
+
+@query(f"""WITH {CONSENSUS_SQL} SELECT (SELECT string_agg(validator || '=' || n, ';' ORDER BY validator) FROM (SELECT validator, count(*) FILTER (is_stable) AS n FROM last JOIN cons USING (candidate_id) GROUP BY 1)) AS validator_stable_counts,
+  (SELECT string_agg(vote_pattern || '=' || n, ';' ORDER BY vote_pattern) FROM (SELECT vote_pattern, count(*) AS n FROM cons GROUP BY 1)) AS vote_pattern_counts""")
+def consensus_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = val(spark, sf_dir)
+    out = validate.consensus_breakdown(validate.consensus(rows, VALIDATORS, VAL_ORDER), validate.votes(rows, VALIDATORS, VAL_ORDER))
+    return out.withColumns({c: as_text(c) for c in out.columns})
+
+
+@query(f"""WITH {CAND_SQL}, a AS (SELECT *, candidate_id AS k, CASE candidate_id % 4 WHEN 0 THEN 'unparsed_cif' WHEN 1 THEN 'parse_error' ELSE 'parsed_full_structure' END AS ps, CASE candidate_id % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' ELSE 'full' END AS rs, 'f' || (candidate_id % 2) AS fmt,
+    CASE WHEN candidate_id % 5 = 0 THEN 'validation_error' ELSE 'validated_success' END AS vs, candidate_id % 5 <> 0 AS av, candidate_id % 7 = 0 AS st, f1 < 0.1 AS p1, f2 < 0.1 AS p2 FROM cand), r AS (SELECT 'r' || (k % 6) AS reason FROM a UNION ALL SELECT 'hard' FROM a WHERE NOT is_valid)
+  SELECT count(*) AS total_candidates, count(*) FILTER (ps = 'parsed_full_structure') AS parsed_full_structure_count, count(*) FILTER (p1) AS f1_pass_count, round(count(*) FILTER (NOT p2) / count(*), 9) AS f2_fail_rate, count(*) FILTER (rs = 'partial') AS partial_sequence_count, count(*) FILTER (rs = 'missing') AS missing_raw_sequence_count,
+    count(*) FILTER (av) AS offline_validation_available_count, count(*) FILTER (vs = 'validation_error') AS offline_validation_error_count, count(*) FILTER (av AND st) AS f3_validated_stable_count, CAST(count(*) - count(DISTINCT family) AS BIGINT) AS duplicate_composition_count, CAST(count(*) - count(DISTINCT prototype) AS BIGINT) AS duplicate_structure_ref_count,
+    (SELECT string_agg(fmt || '=' || n, ';' ORDER BY fmt) FROM (SELECT fmt, count(*) AS n FROM a GROUP BY 1)) AS source_format_breakdown, (SELECT string_agg(reason || '=' || n, ';' ORDER BY n DESC, reason) FROM (SELECT reason, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, reason LIMIT 5)) AS top_failure_reasons, 'bad=' || count(*) FILTER (ps = 'parse_error') AS top_parse_errors FROM a""")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.columns import pass_label
+
+    k = F.col("candidate_id")
+    none = F.array().cast("array<string>")
+    rows = cand(spark, sf_dir).select(
+        k, pass_label("f1").alias("f1_label"), pass_label("f2").alias("f2_label"), F.lit("unknown").alias("f3_label"), F.col("is_valid").alias("dpo_eligible"), F.when(k % 4 == 0, "unparsed_cif").when(k % 4 == 1, "parse_error").otherwise("parsed_full_structure").alias("parse_status"),
+        F.when(k % 3 == 0, "missing").when(k % 3 == 1, "partial").otherwise("full").alias("raw_sequence_status"), F.concat(F.lit("f"), (k % 2).cast("string")).alias("source_format"), F.when(k % 5 == 0, "validation_error").otherwise("validated_success").alias("validation_status"),
+        (k % 5 != 0).alias("f3_validation_available"), (k % 7 == 0).alias("offline_is_stable"), F.when(k % 4 == 1, "bad").alias("parse_error"),
+        F.concat(F.array(F.concat(F.lit("r"), (k % 6).cast("string"))), F.when(F.col("is_valid"), none).otherwise(F.array(F.lit("hard")))).alias("failure_reasons"), F.col("family").alias("composition"), F.col("prototype").alias("structure_ref"),
+    )
+    out = evaluate.full_audit_summary(rows, rows, k=5)
+    pairs_text = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["reason"], F.lit("="), e["n"].cast("string"))), ";")
+    out = out.withColumns({"source_format_breakdown": as_text("source_format_breakdown"), "top_failure_reasons": pairs_text("top_failure_reasons"), "top_parse_errors": pairs_text("top_parse_errors")})
+    return nine(out.select(
+        "total_candidates", "parsed_full_structure_count", "f1_pass_count", "f2_fail_rate", "partial_sequence_count", "missing_raw_sequence_count", "offline_validation_available_count", "offline_validation_error_count", "f3_validated_stable_count",
+        "duplicate_composition_count", "duplicate_structure_ref_count", "source_format_breakdown", "top_failure_reasons", "top_parse_errors",
+    ))
