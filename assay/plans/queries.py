@@ -216,13 +216,19 @@ PICK = "candidate_id, validator, force_max, stress_max, is_stable, l_orderkey, l
 ASC, DESC = ", ".join(VAL_ORDER), ", ".join(c + " DESC" for c in VAL_ORDER)
 
 
+def latest(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The last validation row of each candidate and validator, of these columns only."""
+    rows = val(spark, sf_dir).select(*dict.fromkeys(["candidate_id", "validator", *columns, *VAL_ORDER]))
+    return validate.last_wins(rows, ["candidate_id", "validator"], VAL_ORDER)
+
+
 def picked(df: DataFrame) -> DataFrame:
     return df.select(*PICK.split(", "))
 
 
 @query(f"WITH {VAL_SQL}, {LAST_SQL} SELECT {PICK} FROM last")
 def val_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return picked(validate.last_wins(val(spark, sf_dir), ["candidate_id", "validator"], VAL_ORDER))
+    return picked(latest(spark, sf_dir, "force_max", "stress_max", "is_stable"))
 
 
 @query(f"WITH {VAL_SQL} SELECT {PICK} FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY {ASC}) AS rn FROM val) WHERE rn = 1")
@@ -261,8 +267,8 @@ def consensus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(count(*) FILTER (l.is_stable = r.is_stable) / count(*) FILTER (l.is_stable IS NOT NULL AND r.is_stable IS NOT NULL), 9) AS rate, round(corr(l.energy, r.energy), 6) AS pearson
   FROM v l JOIN v r ON l.candidate_id = r.candidate_id AND l.validator < r.validator GROUP BY ALL""")
 def pairwise_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = validate.votes(val(spark, sf_dir), VALIDATORS, VAL_ORDER)
-    return nine(validate.pairwise_agreement(latest, VALIDATORS, "energy")).withColumn("pearson", F.round("pearson", 6))
+    rows = val(spark, sf_dir).select(*dict.fromkeys(["candidate_id", "validator", "is_stable", "energy", *VAL_ORDER]))
+    return nine(validate.pairwise_agreement(validate.votes(rows, VALIDATORS, VAL_ORDER), VALIDATORS, "energy")).withColumn("pearson", F.round("pearson", 6))
 
 
 SUBSET_SQL = """unnest(list_filter(['all', CASE WHEN c THEN 'consensus_stable' END, CASE WHEN NOT c THEN 'consensus_unstable' END, CASE WHEN c IS NULL THEN 'disagreement' END,
@@ -272,7 +278,7 @@ SUBSET_SQL = """unnest(list_filter(['all', CASE WHEN c THEN 'consensus_stable' E
 def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = val(spark, sf_dir)
     decided = validate.consensus(rows, VALIDATORS, VAL_ORDER).select("candidate_id", "consensus_is_stable", "agreement")
-    return validate.last_wins(rows, ["candidate_id", "validator"], VAL_ORDER).join(decided, "candidate_id")
+    return latest(spark, sf_dir, "force_max", "is_stable").join(decided, "candidate_id")
 
 
 @query(f"""WITH {CONSENSUS_SQL}, v AS (SELECT last.*, CASE WHEN agreement THEN stable_votes = 3 END AS c FROM last JOIN cons USING (candidate_id)), t AS (SELECT validator, force_max AS x, {SUBSET_SQL} AS subset FROM v)
@@ -301,9 +307,9 @@ FORCE_SQL = f"""{VAL_SQL}, {LAST_SQL}, w AS (
 
 
 def forces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = validate.last_wins(val(spark, sf_dir), ["candidate_id", "validator"], VAL_ORDER)
+    rows = latest(spark, sf_dir, "force_max", "relaxation_converged")
     entry = lambda c: F.map_from_entries(F.collect_list(F.struct("validator", c)))
-    rows = latest.groupBy("candidate_id").agg(entry("force_max").alias("forces"), entry("relaxation_converged").alias("converged"))
+    rows = rows.groupBy("candidate_id").agg(entry("force_max").alias("forces"), entry("relaxation_converged").alias("converged"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate_id"), F.col("p_brand").alias("formula"), F.lit(0).alias("f1"), (F.col("p_size") % 3).alias("f2"))
     return dpo.force_class(rows, tuple(VALIDATORS)).join(parts, "candidate_id")
 
@@ -331,8 +337,8 @@ def per_formula_topn_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {VAL_SQL}, {LAST_SQL} SELECT candidate_id, force_max, stress_max, round(severity, 9) AS severity FROM (SELECT *, greatest(force_max / 0.05, stress_max / 0.05) AS severity FROM last WHERE validator = 'A')
   ORDER BY severity DESC, candidate_id LIMIT 25""")
 def outliers_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = validate.last_wins(val(spark, sf_dir), ["candidate_id", "validator"], VAL_ORDER).where("validator = 'A'")
-    return nine(select.outliers(latest, 25, key="validator").select("candidate_id", "force_max", "stress_max", "severity"))
+    rows = latest(spark, sf_dir, "force_max", "stress_max").where("validator = 'A'")
+    return nine(select.outliers(rows, 25, key="validator").select("candidate_id", "force_max", "stress_max", "severity"))
 
 
 @query(f"""WITH {VAL_SQL}, {LAST_SQL}, v AS (SELECT last.*, p_type AS formula FROM last JOIN part ON candidate_id = p_partkey WHERE validator = 'B' AND validation_status = 'completed' AND force_max <= 5 AND (stress_max IS NULL OR stress_max <= 0.2)),
@@ -340,8 +346,8 @@ def outliers_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN energy IS NULL OR energy = 0 THEN 1e300 ELSE energy END, candidate_id) AS k FROM v) SELECT candidate_id, formula, CAST(k AS INTEGER) AS rank_within_formula FROM r WHERE k <= 10""")
 def relaxation_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     formulas = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("formula"))
-    latest = validate.last_wins(val(spark, sf_dir), ["candidate_id", "validator"], VAL_ORDER).where("validator = 'B'").join(formulas, "candidate_id")
-    return select.triage(latest, 10).select("candidate_id", "formula", "rank_within_formula")
+    rows = latest(spark, sf_dir, "force_max", "stress_max", "energy", "validation_status").where("validator = 'B'").join(formulas, "candidate_id")
+    return select.triage(rows, 10).select("candidate_id", "formula", "rank_within_formula")
 
 
 @query("WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS total FROM c) SELECT count(*) AS distinct, CAST(max(total) AS BIGINT) AS total, round(-sum(n / total * ln(n / total)), 9) AS entropy FROM c, t")
@@ -504,8 +510,7 @@ def side_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {VAL_SQL}, {LAST_SQL}, p AS (SELECT candidate_id, max(energy) FILTER (validator = 'A') AS a, max(energy) FILTER (validator = 'B') AS b FROM last GROUP BY 1) SELECT candidate_id, b - a AS delta FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
 def logprob_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = validate.last_wins(val(spark, sf_dir), ["candidate_id", "validator"], VAL_ORDER)
-    scores = latest.select("candidate_id", F.col("validator").alias("checkpoint_label"), F.col("energy").alias("logp_total"), F.lit("all").alias("consensus_label"))
+    scores = latest(spark, sf_dir, "energy").select("candidate_id", F.col("validator").alias("checkpoint_label"), F.col("energy").alias("logp_total"), F.lit("all").alias("consensus_label"))
     return compare.logprob_deltas(scores, "A", "B").select("candidate_id", "delta")
 
 
