@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder
-from ..operators import compare, detail, dpo, evaluate, nodes, pairs, rank, select, structures, validate
+from ..operators import compare, detail, dpo, evaluate, nodes, pairs, rank, runs, select, structures, validate
 from ..sources import adapters, files, outputs, readers, writers
 from ..streaming import validation_stream
 from .import_queries import as_text
-from .queries import AXIS_SQL, CONSENSUS_SQL, RANK_SQL, nine, query
+from .queries import AXIS_SQL, CONSENSUS_SQL, RANK_SQL, RESULT_SQL, nine, query, results
 from .views import CAND_SQL, LAST_SQL, VAL_ORDER, VAL_SQL, VALIDATORS, cand, table, val
 
 
@@ -370,3 +370,58 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "total_candidates", "parsed_full_structure_count", "f1_pass_count", "f2_fail_rate", "partial_sequence_count", "missing_raw_sequence_count", "offline_validation_available_count", "offline_validation_error_count", "f3_validated_stable_count",
         "duplicate_composition_count", "duplicate_structure_ref_count", "source_format_breakdown", "top_failure_reasons", "top_parse_errors",
     ))
+
+
+@query("SELECT r_name AS run_name, 'mode' || r_regionkey AS pair_mode, CAST(CASE WHEN r_regionkey % 2 = 0 THEN 10 + r_regionkey ELSE 7 END AS BIGINT) AS candidate_count, CAST(0 AS BIGINT) AS validation_count, r_regionkey / 10::DOUBLE AS valid_rate FROM region")
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run folder for each region, with its two reports."""
+    path, folders = folder(spark, "runs"), []
+    for r in table(spark, sf_dir, "region").collect():  # five rows
+        folders.append(f"{path}/{r.r_name}")
+        evaluation = {"valid_rate": r.r_regionkey / 10} | ({"candidate_count": 10 + r.r_regionkey} if r.r_regionkey % 2 == 0 else {})
+        files.write_text(spark, f"{folders[-1]}/{runs.SUMMARY}", json.dumps({"pair_mode": f"mode{r.r_regionkey}", "candidate_count": 7}))
+        files.write_text(spark, f"{folders[-1]}/{runs.EVALUATION}", json.dumps(evaluation))
+    return runs.run_table(spark, folders).select("run_name", "pair_mode", "candidate_count", "validation_count", "valid_rate")
+
+
+@query("""SELECT count(*) AS completed_formula_count, sum(o_custkey) AS total_candidates, round(sum(o_totalprice), 2) AS formula_seconds_total, max(o_totalprice) AS max_formula_seconds, round(avg(o_totalprice), 6) AS average_formula_seconds,
+  (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1)) AS status_counts, (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT o_orderpriority AS k, sum(o_orderkey % 5) AS n FROM orders GROUP BY 1)) AS parse_status_counts FROM orders""")
+def bulk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("candidate_count"), F.lit(0).alias("dpo_eligible_count"), F.lit(0).alias("preference_pair_count"), F.create_map("o_orderpriority", F.col("o_orderkey") % 5).alias("parse_status_counts"),
+        F.lit(1.0).alias("generation_seconds"), F.lit(1.0).alias("smoke_seconds"), F.col("o_totalprice").alias("total_seconds"),
+    )
+    out = runs.bulk_summary(rows).withColumns({c: as_text(c) for c in ("status_counts", "parse_status_counts")})
+    return out.select("completed_formula_count", "total_candidates", F.round("formula_seconds_total", 2).alias("formula_seconds_total"), "max_formula_seconds", F.round("average_formula_seconds", 6).alias("average_formula_seconds"), "status_counts", "parse_status_counts")
+
+
+@query(f"""WITH {VAL_SQL} SELECT count(*) AS row_count, count(*) FILTER (validation_status = 'completed') AS completed_count, count(*) FILTER (validation_status = 'failed') AS failed_count,
+  (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT validator AS k, count(*) AS n FROM val GROUP BY 1)) AS formula_counts FROM val""")
+def worker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.worker_summary(val(spark, sf_dir).select("validation_status", F.col("validator").alias("formula")))
+    return out.select("row_count", "completed_count", "failed_count", as_text("formula_counts").alias("formula_counts"))
+
+
+@query(f"WITH {CAND_SQL}, {RESULT_SQL} SELECT CASE WHEN ok AND is_stable THEN 'positive_evidence' WHEN lower(status) IN ('failed', 'error') OR (ok AND NOT is_stable) THEN 'negative_evidence' ELSE 'pending_evidence' END AS decision, count(*) AS n, round(sum(f1), 6) AS f1 FROM judged LEFT JOIN cand USING (candidate_id) GROUP BY 1")
+def feedback_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = runs.feedback_events(results(spark, sf_dir), cand(spark, sf_dir).select("candidate_id", "f1", "_ord"), "round-1")
+    return events.groupBy("decision").agg(F.count("*").alias("n"), F.round(F.sum("f1"), 6).alias("f1"))
+
+
+@query(f"""WITH {RESULT_SQL}, d AS (SELECT candidate_id, coalesce(ok AND is_stable, false) AS plus, NOT coalesce(ok AND is_stable, false) AND (lower(status) IN ('failed', 'error') OR coalesce(ok AND NOT is_stable, false)) AS minus FROM judged)
+  SELECT count(*) AS event_count, count(*) FILTER (plus) AS positive_evidence_count, count(*) FILTER (minus) AS negative_evidence_count, count(DISTINCT candidate_id) FILTER (plus) AS prefer, count(DISTINCT candidate_id) FILTER (minus) AS avoid FROM d""")
+def buffer_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = runs.feedback_events(results(spark, sf_dir), cand(spark, sf_dir).select("candidate_id", "_ord"), "round-1")
+    out = runs.buffer_counters(events)
+    return out.select("event_count", "positive_evidence_count", "negative_evidence_count", F.size("prefer_candidate_ids").cast("bigint").alias("prefer"), F.size("avoid_candidate_ids").cast("bigint").alias("avoid"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size * 2 END AS score, CASE WHEN p_size % 5 = 0 THEN 'ValueError: size' END AS oracle_error FROM part")
+def external_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kernel outside Spark that fails on some rows."""
+    def kernel(frame):
+        if (frame["p_size"] % 5 == 0).any():
+            raise ValueError("size")
+        return frame.assign(score=frame["p_size"] * 2)[["p_partkey", "score"]]
+
+    return runs.evaluated(table(spark, sf_dir, "part").select("p_partkey", "p_size"), kernel, "p_partkey bigint, score int")
