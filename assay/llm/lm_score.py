@@ -8,8 +8,9 @@ P(group | history) times P(class | group, history). Both are softmaxes over
 hashed features of the two tokens before: the bigram, the skip and the trigram
 feature, and a bias.
 
-1. Documents are dealt to blocks and tokenised once, piece by piece: a piece's
-   row holds its vocabulary (64-bit hashes) and its texts as indices into it.
+1. Documents are tokenised once, where they lie: a piece's row holds some
+   texts' vocabulary (64-bit hashes) and the texts as indices into it. A few
+   pieces that follow one another are a block.
 2. Counts of all training tokens are summed by hash over the blocks.
 3. Weights are trained by rounds of distributed gradient updates: each task
    runs minibatches over its share of all training texts, and the weights of
@@ -40,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import crc32_mod, kind_of, mix64, small_batches, stored
 
@@ -55,8 +57,10 @@ WIDTH = GROUPS + CLASSES
 SLOTS_FROM, SLOTS_TO = 1 << 10, 1 << 14
 ROUNDS, MINIBATCH, RATE = 3, 8192, 0.05
 ALPHA = 0.1
-#: Bytes of text of a block, whose words are looked up together, and of a piece of it.
-BLOCK_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
+#: Bytes of text of a piece, and pieces of a block, whose words are looked up together.
+PIECE_BYTES, PIECES = 1 << 20, 4
+#: Factor of the hash of a word's bytes.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a task holds before it passes them on.
 HELD_WORDS = 1 << 20
 #: Rows of the weight matrix that are summed in one task.
@@ -66,10 +70,23 @@ FREQUENT = 1 << 16
 TOKENS = "block long, ids array<{}>, away array<boolean>, lengths binary, vocabulary binary, tokens binary"
 
 
-def hash_of(word: bytes) -> int:
-    import xxhash
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: a polynomial of the bytes, then mixed."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    if not len(words) or offsets[-1] == offsets[0]:
+        return np.zeros(len(words), np.uint64)
+    lengths = np.diff(offsets)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    powers = np.full(int(lengths.max()), FACTOR)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    raw *= powers[np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], lengths)]
+    sums = np.add.reduceat(raw, np.minimum(offsets[:-1] - offsets[0], len(raw) - 1))
+    return mix64(np.where(lengths > 0, sums, np.uint64(0)) + lengths.astype(np.uint64))
+
 
-    return xxhash.xxh64_intdigest(word)
+def hash_of(word: bytes) -> int:
+    return int(hashes_of(pa.array([word], pa.binary()))[0])
 
 
 def slots_for(tokens: int) -> int:
@@ -91,10 +108,11 @@ class Piece:
         real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
         text = np.repeat(np.arange(len(full)), full)[real]
         coded = flat.filter(pa.array(real)).dictionary_encode()
-        raw = coded.dictionary.cast(pa.binary()).to_pylist()
-        vocabulary = np.fromiter(map(hash_of, [*raw, END]), np.uint64, len(raw) + 1)
+        known = coded.dictionary
+        vocabulary = np.append(hashes_of(known), np.uint64(hash_of(END)))
         lengths = np.bincount(text, minlength=len(full))
-        tokens = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), np.cumsum(lengths), len(raw))
+        tokens = np.full(len(text) + len(full), len(known), np.uint32)  # END where no word is put
+        tokens[np.arange(len(text)) + text] = coded.indices.to_numpy(zero_copy_only=False)
         return cls(lengths + 1, vocabulary, tokens)
 
     @classmethod
@@ -142,10 +160,14 @@ def feature_rows(one: np.ndarray, two: np.ndarray, slots: int) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        sums = e @ np.ones(e.shape[1], e.dtype)
+    if not np.isfinite(sums).all() or not sums.all():  # very large or small
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        sums = e.sum(axis=1)
+    e /= sums[:, None]
+    return e
 
 
 class Weights:
@@ -214,34 +236,43 @@ class Trainer:
 
     def move(self, k: int, at: np.ndarray, sums: np.ndarray) -> None:
         squares, table = self.squares[k], (self.weights.groups, self.weights.classes)[k]
-        squares[at] += (sums * sums).mean(axis=1)
-        table[at] -= RATE * sums / np.sqrt(squares[at])[:, None]
+        width = sums.shape[1]
+        new = squares[at] + (sums * sums) @ np.full(width, 1 / width, np.float32)
+        squares[at] = new
+        sums *= (-np.float32(RATE) / np.sqrt(new))[:, None]
+        table[at] += sums
 
 
-def pieces(texts: pa.Table) -> Iterator[pa.Table]:
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of about PIECE_BYTES of text, or one longer text."""
-    sizes = pc.fill_null(pc.binary_length(texts.column("text")), 0).to_numpy()
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     number = np.cumsum(sizes) // PIECE_BYTES
     first = np.flatnonzero(np.diff(number, prepend=-1))
     for low, high in zip(first, [*first[1:], len(sizes)], strict=True):
-        yield texts.slice(low, high - low)
+        yield batch.slice(low, high - low)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Rows of TOKENS for the pieces of each block of (id, text, held_out)."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(1 + size // BLOCK_BYTES)).cast("long")
-
-    def run(key: tuple, texts: pa.Table) -> pa.Table:
-        kinds = pa.list_(texts.schema.field("id").type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()
-        rows = []
-        for part in pieces(texts):
-            piece = Piece.of(pa.concat_arrays(part.column("text").chunks))
-            rows.append((part.column("id").to_pylist(), part.column("held_out").to_pylist(), piece.lengths.astype(np.int64).tobytes(), piece.vocabulary.tobytes(), piece.tokens.tobytes()))
-        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *columns], names=["block", "ids", "away", "lengths", "vocabulary", "tokens"])
-
-    return docs.withColumn("block", block).groupBy("block").applyInArrow(run, TOKENS.format(kind_of(docs, "id")))
+    """A row of TOKENS for each piece of (id, text, held_out).
+
+    A block's number tells the task that made it and its place there. The rows
+    must be written before they are used: another run may cut them otherwise.
+    """
+    kind = to_arrow_schema(docs.select("id").schema).field("id").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, made = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in pieces(batch):
+                piece = Piece.of(part.column("text"))
+                values = [base + made // PIECES], [part.column("id").to_pylist()], [part.column("held_out").to_pylist()], [piece.lengths.astype(np.int64).tobytes()], [piece.vocabulary.tobytes()], [piece.tokens.tobytes()]
+                kinds = pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], names=["block", "ids", "away", "lengths", "vocabulary", "tokens"])
+                made += 1
+
+    return docs.mapInArrow(run, TOKENS.format(kind_of(docs, "id")))
 
 
 def away_of(batch: pa.RecordBatch | pa.Table, k: int) -> np.ndarray:
