@@ -55,7 +55,7 @@ GROUPS = CLASSES // WITHIN
 WIDTH = GROUPS + CLASSES
 #: Hash slots of each of the three feature kinds; the bias is a last row.
 SLOTS_FROM, SLOTS_TO = 1 << 10, 1 << 14
-ROUNDS, MINIBATCH, RATE = 3, 8192, 0.05
+ROUNDS, MINIBATCH, RATE = 3, 16384, 0.05
 ALPHA = 0.1
 #: Bytes of text of a piece, and pieces of a block, whose words are looked up together.
 PIECE_BYTES, PIECES = 1 << 20, 4
