@@ -102,8 +102,8 @@ def parse_status(stored: str = "parse_status") -> Column:
     )
 
 
-def eligibility_reasons(sequence_status: Column, missing: Column) -> Column:
-    """Why a row cannot enter a preference pair; eligible iff empty."""
+def eligibility_reasons(sequence_status: Column, missing: Column, score: str = "failure_score") -> Column:
+    """Why a row cannot enter a preference pair; eligible iff empty. ``score`` is the data's name of the score."""
     absent = lambda c: F.coalesce(F.col(c).cast("string") == "", F.lit(True))
     partial = sequence_status == "partial"
     return F.array_compact(F.array(
@@ -112,12 +112,12 @@ def eligibility_reasons(sequence_status: Column, missing: Column) -> Column:
         F.when(sequence_status == "missing", F.lit("missing_raw_sequence")),
         F.when(partial, F.lit("partial_raw_sequence")),
         F.when(partial & (F.size(missing) > 0), F.concat(F.lit("missing_sequence_fields:"), F.array_join(missing, ","))),
-        F.when(F.col("fiir_score").isNull(), F.lit("missing_comparable_fiir_score")),
+        F.when(F.col(score).isNull(), F.lit(f"missing_comparable_{score}")),
         F.when(F.col("parse_status") == "parse_error", F.lit("parse_error")),
     ))
 
 
-def audit_rows(df: DataFrame, stability_known: bool = False) -> DataFrame:
+def audit_rows(df: DataFrame, stability_known: bool = False, score: str = "failure_score") -> DataFrame:
     """Add labels, scores and failure reasons to vectorised rows.
 
     Unless stability is known, f3 is set to null after labelling and the score
@@ -128,9 +128,9 @@ def audit_rows(df: DataFrame, stability_known: bool = False) -> DataFrame:
     reasons = F.concat("hard_failures", F.array(F.when(F.col("parse_status").isin("unparsed_cif", "parse_error", "partial_structure"), F.col("parse_status"))))
     df = df.withColumns({
         "f1_label": pass_label("f1_geometry"), "f2_label": pass_label("f2_chemistry"), "f3_label": pass_label("f3_stability"),
-        "fiir_score": F.round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6), "failure_reasons": sorted_set(reasons),
+        score: F.round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6), "failure_reasons": sorted_set(reasons),
     })
-    return df.withColumn("ranking_score", F.round(1.0 - F.col("fiir_score"), 6))
+    return df.withColumn("ranking_score", F.round(1.0 - F.col(score), 6))
 
 
 def duplicate_extra(df: DataFrame, key: str) -> DataFrame:

@@ -261,8 +261,7 @@ def audit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, "unparsed_cif").when(k % 5 == 0, "parse_error").otherwise("parsed_full_structure").alias("parse_status"),
     )
     out = evaluate.audit_rows(rows)
-    score = [c for c in out.columns if c.endswith("_score") and c != "ranking_score"][0]
-    return out.select("candidate_id", "f1_label", "f2_label", "f3_label", F.col(score).alias("failure_score"), "ranking_score", F.array_join("failure_reasons", ";").alias("reasons"))
+    return out.select("candidate_id", "f1_label", "f2_label", "f3_label", "failure_score", "ranking_score", F.array_join("failure_reasons", ";").alias("reasons"))
 
 
 @query("""WITH f AS (SELECT p_partkey, p_partkey % 6 AS m, CASE WHEN p_partkey % 6 > 0 THEN 'g' END AS g, CASE WHEN p_partkey % 6 > 1 THEN 'w' ELSE '' END AS w FROM part) SELECT p_partkey, CASE m WHEN 0 THEN 'missing' WHEN 5 THEN 'full' ELSE 'partial' END AS status FROM f""")
