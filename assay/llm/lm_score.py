@@ -94,6 +94,11 @@ def slots_for(tokens: int) -> int:
     return int(np.clip(1 << max(0, int(np.log2(max(1.0, tokens**0.5 / 2)))), SLOTS_FROM, SLOTS_TO))
 
 
+def token_kind(words: int) -> type:
+    """The type of a place in a vocabulary of this size."""
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
 class Piece:
     """Some texts: each text's length, and all tokens as places in a vocabulary of hashes."""
 
@@ -111,14 +116,15 @@ class Piece:
         known = coded.dictionary
         vocabulary = np.append(hashes_of(known), np.uint64(hash_of(END)))
         lengths = np.bincount(text, minlength=len(full))
-        tokens = np.full(len(text) + len(full), len(known), np.uint32)  # END where no word is put
+        tokens = np.full(len(text) + len(full), len(known), token_kind(len(vocabulary)))  # END where no word is put
         tokens[np.arange(len(text)) + text] = coded.indices.to_numpy(zero_copy_only=False)
         return cls(lengths + 1, vocabulary, tokens)
 
     @classmethod
     def load(cls, batch: pa.RecordBatch | pa.Table, k: int) -> Piece:
         raw = [batch.column(c)[k].as_py() for c in ("lengths", "vocabulary", "tokens")]
-        return cls(np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.uint64), np.frombuffer(raw[2], np.uint32))
+        vocabulary = np.frombuffer(raw[1], np.uint64)
+        return cls(np.frombuffer(raw[0], np.int64), vocabulary, np.frombuffer(raw[2], token_kind(len(vocabulary))))
 
     def of_texts(self, chosen: np.ndarray) -> Piece:
         return Piece(self.lengths[chosen], self.vocabulary, self.tokens[np.repeat(chosen, self.lengths)])
@@ -306,16 +312,14 @@ def token_counts(blocks: DataFrame) -> DataFrame:
 
 
 def averaged(updates: DataFrame, tasks: int) -> DataFrame:
-    """(shard, part, tokens): sums of the tasks' weights, in two levels of about sqrt(tasks) rows."""
+    """(shard, part, tokens): means of the tasks' weights by tokens, in two levels of about
+    sqrt(tasks) rows. Weights travel in half precision, far finer than what rounds differ by."""
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(SHARD * WIDTH)
-        for raw in group.column("part").to_pylist():
-            values = np.frombuffer(raw, np.float32)
-            total[: len(values)] += values
-        size = len(group.column("part")[0].as_py()) // 4
-        part = total[:size].astype(np.float32).tobytes()
-        return pa.table({"shard": group.column("shard").slice(0, 1), "bunch": pa.array([0], pa.int32()), "part": pa.array([part], pa.binary()), "tokens": pa.array([sum(group.column("tokens").to_pylist())], pa.int64())})
+        tokens = group.column("tokens").to_pylist()
+        values = [np.frombuffer(raw, np.float16).astype(np.float64) * n for raw, n in zip(group.column("part").to_pylist(), tokens, strict=True)]
+        part = (sum(values) / sum(tokens)).astype(np.float16).tobytes()
+        return pa.table({"shard": group.column("shard").slice(0, 1), "bunch": pa.array([0], pa.int32()), "part": pa.array([part], pa.binary()), "tokens": pa.array([sum(tokens)], pa.int64())})
 
     schema = "shard int, bunch int, part binary, tokens long"
     if tasks > 64:
@@ -346,7 +350,7 @@ def train(blocks: DataFrame, own: np.ndarray, tokens: int) -> np.ndarray:
                     for _, features, labels in Piece.load(batch, k).of_texts(learn).minibatches(classes, slots):
                         trainer.step(features, labels)
             if trainer.tokens:
-                held = trainer.weights.matrix() * np.float32(trainer.tokens)
+                held = trainer.weights.matrix().astype(np.float16)
                 parts = [held[low : low + SHARD].tobytes() for low in range(0, rows, SHARD)]
                 bunch, n = TaskContext.get().partitionId() % bunches, len(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([bunch] * n, pa.int32()), pa.array(parts, pa.binary()), pa.array([trainer.tokens] * n, pa.int64())], names=["shard", "bunch", "part", "tokens"])
@@ -356,40 +360,53 @@ def train(blocks: DataFrame, own: np.ndarray, tokens: int) -> np.ndarray:
         with small_batches(blocks.sparkSession):
             rows_of_shards = averaged(updates, tasks).collect()
         for row in rows_of_shards:
-            part = np.frombuffer(row.part, np.float32).reshape(-1, WIDTH) / np.float32(row.tokens)
+            part = np.frombuffer(row.part, np.float16).reshape(-1, WIDTH)
             weights[row.shard * SHARD : row.shard * SHARD + len(part)] = part
         start.unpersist()
     return weights
 
 
+def own_counts(parts: list[tuple[Piece, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the words of a block's pieces, how often they occur in
+    its training texts, and whether they do in a held-out one; (piece, away)."""
+    hashes, inside, outside = [], [], []
+    for piece, away in parts:
+        size = len(piece.vocabulary)
+        hashes.append(piece.vocabulary)
+        inside.append(np.bincount(piece.of_texts(~away).tokens, minlength=size))
+        outside.append(np.bincount(piece.of_texts(away).tokens, minlength=size))
+    known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = (np.bincount(at, np.concatenate(x), len(known)) for x in (inside, outside))
+    return known, next(sums).astype(np.int64), next(sums) > 0
+
+
 def rare_words(blocks: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(block, hash, away): each block's words that are not ``frequent``; away: in a held-out text.
+    """(block, hash, own): each block's words that are not ``frequent``.
 
-    A word may come more than once if a block's pieces are read by several tasks.
+    own: how often its training texts have the word; -1 if a held-out text has
+    it. A word may come more than once if several tasks read a block's pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hashes, seen = None, [], []
+        block, parts = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if hashes:
-                words, n = merged(hashes, seen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words), pa.array(n > 0)], names=["block", "hash", "away"])
-            hashes.clear()
-            seen.clear()
+            if parts:
+                words, own, away = own_counts(parts)
+                rare = counts_of(words, *frequent) == 0
+                own = np.where(away, -1, own)[rare]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(words[rare].view(np.int64)), pa.array(own)], names=["block", "hash", "own"])
+            parts.clear()
 
         for batch in batches:
             for k in range(batch.num_rows):
-                if block != batch.column("block")[k].as_py() or sum(map(len, hashes)) > HELD_WORDS:
+                if block != batch.column("block")[k].as_py():
                     yield from flush()
                     block = batch.column("block")[k].as_py()
-                piece = Piece.load(batch, k)
-                rare = counts_of(piece.vocabulary, *frequent) == 0
-                hashes.append(piece.vocabulary[rare])
-                seen.append(np.bincount(piece.of_texts(away_of(batch, k)).tokens, minlength=len(piece.vocabulary))[rare])
+                parts.append((Piece.load(batch, k), away_of(batch, k)))
         yield from flush()
 
-    return blocks.mapInArrow(run, "block long, hash long, away boolean")
+    return blocks.mapInArrow(run, "block long, hash long, own long")
 
 
 def in_order(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -433,11 +450,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         matrix, own, inner, total, types, frequent = shared.value
         model, classes, parts = Weights(matrix), Classes(own), []
         rare = in_order(right.column("hash").to_numpy().view(np.uint64), right.column("n").to_numpy())
-        for k in range(left.num_rows):
-            piece, away = Piece.load(left, k), away_of(left, k)
+        loaded = [(Piece.load(left, k), away_of(left, k)) for k in range(left.num_rows)]
+        words, own_n, _ = own_counts(loaded)
+        for k, (piece, away) in enumerate(loaded):
             counts = counts_of(piece.vocabulary, *frequent) + counts_of(piece.vocabulary, *rare)
-            # A word of a training text has been counted; counts of 1 are not sent for those.
-            c = np.where(np.repeat(away, piece.lengths), counts[piece.tokens], np.maximum(counts, 1)[piece.tokens])
+            # A count that is not sent is that of the block's own training texts.
+            counts = np.where(counts > 0, counts, counts_of(piece.vocabulary, words, own_n))
+            c = counts[piece.tokens]
             labels = classes.of(piece.vocabulary)[piece.tokens]
             logs = np.log10((c + ALPHA) / (inner[labels, 0] + ALPHA * (inner[labels, 1] + 1)))
             logs[labels < OWN] = 0
@@ -451,6 +470,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             parts.append(pa.table([left.column("ids")[k].values, pa.array(away), pa.array(piece.lengths), pa.array(known), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(logs)], names=names))
         return pa.concat_tables(parts)
 
-    values = rare_words(blocks, frequent).join(counts, "hash").where("n > 1 or away").select(F.col("block").alias("b"), "hash", "n")
+    values = rare_words(blocks, frequent).join(counts, "hash").where("n != own").select(F.col("block").alias("b"), "hash", "n")
     scored = blocks.groupBy("block").cogroup(values.groupBy("b")).applyInArrow(run, schema)
     return stored(scored, "lm-scores").withColumnRenamed("id", id_col)
