@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lang_id, licenses, lm_score, near_dedup, quality, token_files, url_filter
+from . import align, bpe, decontaminate, exact_dedup, lang_id, licenses, lm_score, mix, near_dedup, quality, resample, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +78,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_token_files, op6_url_filter, op7_language_id, op8_lm_scoring, op9_benchmark_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_token_files, op6_url_filter, op7_language_id, op8_lm_scoring, op9_benchmark_decontamination, op10_exact_dedup, op11_cross_tokenizer_alignment, op12_source_mixing, op13_importance_resampling)}
