@@ -82,6 +82,33 @@ def finite(x: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def python_round(x: Column | str, digits: int = 6) -> Column:
+    """``round(x, digits)`` of Python: the exact binary value to the nearest decimal, ties to even.
+
+    x * 10**digits is taken exactly, as a double and its rounding error (the
+    halves of x times the scale), so that only a true tie counts as one. NaN,
+    the infinities and numbers without such digits stay as they are.
+    """
+    x, scale = col(x).cast("double"), float(10**digits)
+    halves = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)  # noqa: E731 - the upper 26 bits of a double
+    high = halves(x)
+    low = x - high
+    s_high = (scale * 134217729.0) - ((scale * 134217729.0) - scale)
+    s_low = scale - s_high
+    product = x * scale
+    error = ((high * s_high - product) + high * s_low + low * s_high) + low * s_low
+    near = F.rint(product)
+    off = product - near
+    # rint() has taken a seeming tie to the even side; the error says which side is right.
+    whole = (
+        F.when((off == 0.5) & (error > 0), near + 1)
+        .when((off == -0.5) & (error < 0), near - 1)
+        .when((off == 0) & (F.abs(error) == 0.5) & (near % 2 != 0), near + F.signum(error))
+        .otherwise(near)
+    )
+    return F.when(F.abs(x) < float(1 << 53) / scale, whole / scale).otherwise(x)
+
+
 # --- Coercion of text fields: five dialects, one helper each -----------------
 
 
