@@ -62,12 +62,19 @@ class ByteEncoder(ChunkedEncoder):
         for string, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = b"".join(byte.get(c, c.encode()) for c in string)
         self.sizes = np.array(list(map(len, self.bytes)), np.int64)
+        #: Stretches that their ids do not give back.
+        self.bad: set[str] = set()
+
+    def learn(self, parts: list[str]) -> None:
+        super().learn(parts)
+        if not gives_back(self.bytes, b"".join(map(self.pieces.__getitem__, parts)), b"".join([b" " + p.encode() for p in parts])):
+            self.bad.update(p for p in parts if not gives_back(self.bytes, self.pieces[p], b" " + p.encode()))
 
 
 class PieceEncoder:
     """Vocabulary of pieces (B). No piece holds a blank behind another character,
     which is checked, so the stretches between single blanks are independent and
-    each distinct one is encoded once."""
+    each distinct one is encoded once, many at a time."""
 
     def __init__(self, model: bytes, limit: int = 250_000):
         import sentencepiece
@@ -78,19 +85,47 @@ class PieceEncoder:
         self.sizes = np.array(list(map(len, self.bytes)), np.int64)
         self.apart = not any("▁" in p.lstrip("▁") for p in names)
         self.pieces, self.limit = Pieces({}), limit
+        self.bad: set[str] = set()
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, np.uint32).tobytes() for ids in self.model.encode(texts, num_threads=1)] if texts else []
 
+    def learn(self, parts: list[str]) -> None:
+        """Ids of new stretches; a bunch is encoded joined, and one that its ids do not give back piece by piece."""
+        for at in range(0, len(parts), 400):
+            bunch = parts[at : at + 400]
+            raw = self.library([" ".join(bunch)])[0] if all(bunch) else b""
+            sizes = [1 + len(p.encode()) for p in bunch]
+            if raw and gives_back(self.bytes, raw, b" " + " ".join(bunch).encode()):
+                ends = np.cumsum(self.sizes[np.frombuffer(raw, np.uint32)])
+                cuts = [0, *(np.searchsorted(ends, np.cumsum(sizes)) + 1).tolist()]
+                self.pieces.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(bunch, cuts, cuts[1:], strict=False))
+            else:
+                self.pieces.update(zip(bunch, self.library(bunch), strict=True))
+                self.bad.update(p for p in bunch if not gives_back(self.bytes, self.pieces[p], b" " + p.encode()))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > self.limit:
             self.pieces = Pieces(dict(self.pieces))
         known = self.pieces
-        split = [None if not self.apart or "  " in t or t[:1] in ("", " ") or t[-1:] == " " or max(map(len, parts := t.split(" "))) > STRETCH else parts for t in texts]
+        split = [t.split(" ") if self.apart and in_stretches(t) else None for t in texts]
         whole = iter(self.library([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        new = list({p for parts in split if parts is not None for p in parts if p not in known and p not in known.old})
-        known.update(zip(new, self.library(new), strict=True))
-        return [next(whole) if parts is None else b"".join(map(known.__getitem__, parts)) for parts in split]
+        known.lacks = []
+        found = [b"" if parts is None else b"".join(map(known.__getitem__, parts)) for parts in split]
+        if known.lacks:
+            new = set(known.lacks)
+            self.learn(list(new))
+            found = [f if parts is None or new.isdisjoint(parts) else b"".join(map(known.__getitem__, parts)) for f, parts in zip(found, split, strict=True)]
+        return [next(whole) if parts is None else f for f, parts in zip(found, split, strict=True)]
+
+
+def gives_back(table: list[bytes], ids: bytes, raw: bytes) -> bool:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, np.uint32).tolist())) == raw
+
+
+def in_stretches(text: str) -> bool:
+    """Whether single blanks cut a text into stretches short enough to be remembered."""
+    return text != "" and text[0] != " " and text[-1] != " " and "  " not in text and max(map(len, text.split(" "))) <= STRETCH
 
 
 class Aligner:
@@ -104,32 +139,51 @@ class Aligner:
         """Ids in A and B of each text; none where they do not give it back."""
         some = [t or "" for t in texts]
         out = []
-        # What a long text holds in one stretch is encoded alone, like the rest of it.
         for text, a, b in zip(some, self.a.encode([" " + t for t in some]), self.b.encode(some), strict=True):
-            ids = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-            raw = b" " + text.encode()
-            fits = text and all(b"".join(map(side.bytes.__getitem__, x.tolist())) == raw for side, x in zip((self.a, self.b), ids, strict=True))
-            out.append(ids if fits else (ids[0][:0], ids[1][:0]))
+            # Stretches were judged when they were learnt.
+            if self.a.bad or self.b.bad or not in_stretches(text):
+                raw = b" " + text.encode()
+                if not text or not gives_back(self.a.bytes, a, raw) or not gives_back(self.b.bytes, b, raw):
+                    a = b = b""
+            out.append((np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(b, np.uint32).astype(np.int64)))
         return out
 
-    def digest(self, a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> str:
-        """SHA-256 of the groups as text; ``cuts`` are the first A and B tokens of each."""
+    def groups(self, encoded: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, str]]:
+        """(n_a, n_b, n_groups, n_links, digest) of each text, all texts aligned as one: their ends are cuts."""
+        n_a, n_b = (np.array([len(x[i]) for x in encoded], np.int64) for i in (0, 1))
+        a, b = (np.concatenate([x[i] for x in encoded]) for i in (0, 1))
+        owner = np.repeat(np.arange(len(encoded)), n_a)
+        links, cuts = np.zeros(len(encoded), np.int64), [np.empty((2, 0), np.int64)]
+        for x, y, begins in overlaps(self.a.sizes[a], self.b.sizes[b]):
+            links += np.bincount(owner[x], minlength=len(encoded))
+            cuts.append(np.stack([x[begins], y[begins]]))
+        first_a, first_b = np.concatenate(cuts, axis=1)
+        n_groups = np.bincount(owner[first_a], minlength=len(encoded))
+        digests = self.digests(a, b, first_a, first_b, n_a, n_b)
+        return list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), links.tolist(), digests, strict=True))
+
+    def digests(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+        """SHA-256 of each text's groups as text; ``first_a`` and ``first_b`` are the first tokens of the groups."""
         if not len(a):
-            return ""
+            return [""] * len(n_a)
         if not self.strings:
             self.strings = [f"{i}{s}" for i in range(max(len(self.a.sizes), len(self.b.sizes))) for s in AFTER]
-        first_a, first_b = cuts
         end_a, end_b = np.append(first_a[1:], len(a)), np.append(first_b[1:], len(b))
         after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         after_a[end_a - 1], after_b[end_b - 1] = 1, 2
-        after_b[-1] = 3
+        last = np.cumsum(n_b)[n_b > 0] - 1
+        after_b[last] = 3
         order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.repeat(first_b, end_a - first_a)] = a.astype(np.int64) * len(AFTER) + after_a
-        order[np.arange(len(b)) + np.repeat(end_a, end_b - first_b)] = b.astype(np.int64) * len(AFTER) + after_b
-        sha = hashlib.sha256()
-        for at in range(0, len(order), 1 << 18):
-            sha.update("".join(map(self.strings.__getitem__, order[at : at + (1 << 18)].tolist())).encode())
-        return sha.hexdigest()
+        order[np.arange(len(a)) + np.repeat(first_b, end_a - first_a)] = a * len(AFTER) + after_a
+        order[np.arange(len(b)) + np.repeat(end_a, end_b - first_b)] = b * len(AFTER) + after_b
+        out, at = [], 0
+        for n in (n_a + n_b).tolist():
+            sha = hashlib.sha256()
+            for i in range(at, at + n, 1 << 18):
+                sha.update("".join(map(self.strings.__getitem__, order[i : min(i + (1 << 18), at + n)].tolist())).encode())
+            out.append(sha.hexdigest() if n else "")
+            at += n
+        return out
 
 
 def overlaps(sizes_a: np.ndarray, sizes_b: np.ndarray, window: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -193,17 +247,13 @@ def align(docs: DataFrame, vocabulary_a: str, vocabulary_b: str, id_col: str = "
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 texts = part.column(1).to_pylist()
-                rows = []
-                for text, (a, b) in zip(texts, aligner.encode(texts), strict=True):
+                encoded, blocks = aligner.encode(texts), []
+                for text in texts:
                     if filled and filled + len(text or "") > BLOCK_BYTES:
                         block, filled = block + 1, 0
                     filled += len(text or "")
-                    n_links, cuts = 0, [(a[:0].astype(np.int64), b[:0].astype(np.int64))]
-                    for x, y, begins in overlaps(aligner.a.sizes[a], aligner.b.sizes[b]):
-                        n_links += len(x)
-                        cuts.append((x[begins], y[begins]))
-                    cuts = np.concatenate(cuts, axis=1)
-                    rows.append((block, len(a), len(b), cuts.shape[1], n_links, aligner.digest(a, b, cuts), a.astype(width).tobytes(), b.astype(width).tobytes()))
+                    blocks.append(block)
+                rows = [(block, *counts, a.astype(width).tobytes(), b.astype(width).tobytes()) for block, counts, (a, b) in zip(blocks, aligner.groups(encoded), encoded, strict=True)]
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", *NAMES])
 
