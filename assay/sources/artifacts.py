@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import join_keyed
+from ..functions.literals import strict_json
 
 #: Names of the artifacts of a run, by the way they are read, and which of them belong together.
 JSON_FILES = ("bulk_plan.json", "bulk_summary.json", "bulk_validation_summary.json", "audit_summary.json", "preference_summary.json")
@@ -94,14 +95,14 @@ def artifact_tree(spark: SparkSession, roots: list[str], markers: tuple[str, ...
         plain = F.rtrim(plain_path(F.lit(root)), F.lit("/"))
         files.append(listed.withColumn("directory", F.regexp_replace("path", r"/[^/]+$", "")).withColumn("at_root", F.col("directory") == plain))
         lines = numbered_lines(spark, root, **glob((*LINE_FILES, "part-*")))
-        parsed = of(lines.where("trim(value) != ''"), root, LINE_FILES).withColumn("row", F.try_parse_json("value"))
+        parsed = of(lines.where("trim(value) != ''"), root, LINE_FILES).withColumn("row", strict_json("value"))
         object_ = F.coalesce(F.schema_of_variant("row").startswith("OBJECT"), F.lit(False))
         message = F.when(F.col("row").isNull(), "invalid JSON").otherwise("JSONL row must be an object")
         bad = with_line_numbers(parsed.where(~object_), lines)
         errors.append(bad.select("root", "path", "artifact", F.lit("malformed_jsonl").alias("issue"), message.alias("message"), F.col("path_formula").alias("formula"), "line_no"))
         rows.append(parsed.where(object_).select("root", "path", "artifact", "path_formula", F.struct("file", "block", "at").alias("_ord"), "row"))
         whole = spark.read.options(**glob(JSON_FILES)).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-        whole = of(whole, root, JSON_FILES).withColumn("row", F.try_parse_json("value"))
+        whole = of(whole, root, JSON_FILES).withColumn("row", strict_json("value"))
         one = lambda c: F.struct(F.col(c).alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("at")).alias("_ord")
         rows.append(whole.where("row is not null").select("root", "path", "artifact", "path_formula", one("file"), "row"))
         errors.append(whole.where("row is null and value != ''").select("root", "path", "artifact", F.lit("corrupt_json").alias("issue"), F.lit("invalid JSON").alias("message"), F.col("path_formula").alias("formula"), nowhere.alias("line_no")))
@@ -160,7 +161,7 @@ def validation_input(spark: SparkSession, path: str, given: str = "auto") -> tup
     lines = numbered_lines(spark, path)
     some = lines.where("trim(value) != ''")
     if kind == "jsonl":
-        read = some.withColumn("fields", F.try_variant_get(F.try_parse_json("value"), "$", "map<string,string>"))
+        read = some.withColumn("fields", F.try_variant_get(strict_json("value"), "$", "map<string,string>"))
         return read.where("fields is not null").select(F.struct("file", "at").alias("_ord"), "fields"), issue(with_line_numbers(read.where("fields is null"), lines), F.col("line_no"))
     # A quoted field may hold line breaks, so the CSV reader cuts the rows itself; a row it cannot fit keeps its text.
     first = some.orderBy("file", "block", "at").first()

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import literals
 from ..functions.columns import first_present, nullable, to_int
+from ..functions.literals import strict_json
 from ..functions.numbering import numbered
 
 #: Names of the artifacts of a run.
@@ -35,7 +37,7 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | st
     Strict: a line that is not a JSON object raises with its file and text.
     Otherwise such lines are left out; ``bad_lines`` returns them.
     """
-    rows = lines(spark, paths).withColumn("_raw", F.try_parse_json("value"))
+    rows = lines(spark, paths).withColumn("_raw", strict_json("value"))
     good = F.coalesce(F.startswith(F.trim("value"), F.lit("{")) & F.col("_raw").isNotNull(), F.lit(False))
     if strict:
         fail = F.raise_error(F.concat("file", F.lit(": not a JSON object: "), F.substring("value", 1, 200))).cast("boolean")
@@ -48,14 +50,14 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | st
 def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, _ord, issue, value) of the lines ``jsonl`` cannot take."""
     rows = lines(spark, paths)
-    good = F.startswith(F.trim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()
+    good = F.startswith(F.trim("value"), F.lit("{")) & strict_json("value").isNotNull()
     return rows.where(~F.coalesce(good, F.lit(False))).select("file", "_ord", F.lit("malformed_jsonl").alias("issue"), "value")
 
 
 def whole_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, _raw, issue) of whole JSON files: empty_artifact, corrupt_json or null."""
     text = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    raw = F.try_parse_json("value")
+    raw = strict_json("value")
     issue = F.when(F.trim("value") == "", "empty_artifact").when(raw.isNull(), "corrupt_json")
     return text.select("file", raw.alias("_raw"), issue.alias("issue"))
 
@@ -147,21 +149,38 @@ def clean_id(text: Column | str) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "_")
 
 
+#: Score-like columns that are kept as metadata.
+SCORES = ("score", "logprob", "log_probability", "temperature", "sample_temperature", "sampling_temperature", "rank")
+
+
 def sampling_csv(spark: SparkSession, paths: str | list[str], source_format: str = "sampling_csv") -> DataFrame:
-    """Generated samples: sequence fields g, W, A, X, L, lattice and condition columns."""
+    """Generated samples: sequence fields g, W, A, X, L, lattice and condition columns.
+
+    The lattice is a matrix or lengths in one field, else three lengths, else
+    edges and angles. ``species_text``, ``coords_text`` and ``wyckoff_text`` are
+    the fields as written; ``adapters.csv_structures`` reads them.
+    """
     rows = csv(spark, paths)
     a = lambda *names: alias(rows, *names)
     given = F.array_compact(F.array(*(a(c).try_cast("double") for c in ("a", "b", "c", "alpha", "beta", "gamma"))))
-    values = F.when(F.size(given) == 6, given).otherwise(numbers(F.coalesce(a("seq_L", "lattice"), F.lit(""))))
-    matrix = lattice(values)
+    rows = rows.withColumns({"_stated": literals.literal(a("lattice_matrix", "lattice", "seq_L")), "_lengths": literals.literal(a("lattice_lengths", "lengths"))})
+    rows = rows.withColumns({"_stated": literals.matrix_numbers(F.col("_stated")), "_lengths": literals.matrix_numbers(F.col("_lengths")), "_given": given})
+    stated, lengths, given = F.col("_stated"), F.col("_lengths"), F.col("_given")
+    rows = rows.withColumn("_values", F.coalesce(F.when(F.size(stated) != 6, stated), F.when(F.size(lengths) == 3, lengths), F.when(F.size(given) == 6, given), stated))
+    rows = rows.withColumn("_matrix", lattice(F.col("_values")))
+    number = F.col("_ord.row")
+    scores = [x for c in SCORES for x in (F.lit(c), a(c))]
     return rows.select(
         "_ord", "file",
-        F.coalesce(a("candidate_id", "id"), F.format_string("row_%06d", F.col("_ord.row"))).alias("candidate_id"),
-        a("formula", "composition").alias("composition"), to_int(a("spacegroup", "space_group", "seq_g")).alias("space_group"),
+        F.coalesce(a("candidate_id", "sample_id", "id", "name"), F.format_string("row_%06d", number)).alias("candidate_id"),
+        a("composition", "formula", "target_formula").alias("composition"), to_int(a("space_group", "spacegroup", "sg", "seq_g")).alias("space_group"),
         F.struct(*(a("seq_" + c).alias(c) for c in SEQUENCE)).alias("raw_sequence_fields"),
-        matrix.alias("lattice_matrix"), a("structure_ref", "cif_path").alias("structure_ref"), a("cif", "cif_text").alias("cif_text"),
-        a("source_checkpoint").alias("source_checkpoint"), a("temperature").try_cast("double").alias("temperature"), to_int(a("top_k")).alias("top_k"),
-        F.lit(source_format).alias("source_format"),
+        F.col("_matrix").alias("lattice_matrix"), a("structure_ref", "cif_path").alias("structure_ref"), a("cif", "cif_text").alias("cif_text"),
+        a("species", "atom_types", "elements", "seq_A").alias("species_text"), a("frac_coords", "fractional_coords", "coords", "seq_X").alias("coords_text"), a("wyckoff_letters", "wyckoff", "seq_W").alias("wyckoff_text"),
+        to_int(a("num_sites", "num_atoms", "natoms")).alias("num_sites"), a("prototype").alias("prototype"),
+        a("formula_condition").alias("formula_condition"), to_int(a("spacegroup_condition")).alias("spacegroup_condition"), F.coalesce(a("mode"), F.lit("csp")).alias("mode"),
+        a("source_checkpoint").alias("source_checkpoint"), a("temperature").try_cast("double").alias("temperature"), to_int(a("top_k")).alias("top_k"), a("k").alias("K"),
+        F.map_filter(F.create_map(*scores), lambda k, v: v.isNotNull()).alias("scores"), F.lit(source_format).alias("source_format"),
     )
 
 
