@@ -27,3 +27,17 @@ def numbered(df: DataFrame, *orders: Column | str, name: str = "row_number", sta
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
     place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + F.col("_before") + start
     return dealt.join(F.broadcast(sizes), "_range").withColumn(name, place).drop("_at", "_range", "_before")
+
+
+def running_total(df: DataFrame, weight: str, *orders: Column | str, name: str = "running_total") -> DataFrame:
+    """Add ``name``: the sum of ``weight`` of all rows before this one in order of ``orders``.
+
+    As ``numbered``: totals within a range, and of the ranges before it.
+    """
+    dealt = df.repartitionByRange(*orders).sortWithinPartitions(*orders)
+    dealt = checkpointed(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", PLACE_BITS)))
+    earlier = lambda total, window: F.coalesce(F.sum(total).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("_range").agg(F.sum(weight).alias("_n"))
+    sizes = sizes.select("_range", earlier("_n", Window.orderBy("_range")).alias("_before"))
+    within = earlier(weight, Window.partitionBy("_range").orderBy("_at"))
+    return dealt.withColumn("_own", within).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_at", "_range", "_own", "_before")

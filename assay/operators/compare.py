@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..functions.quantiles import summary
 
 
 def quantiles(x: Column | str, *qs: float) -> list[Column]:
@@ -15,9 +16,8 @@ def quantiles(x: Column | str, *qs: float) -> list[Column]:
 
 def metric_summary(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """count, min, quantiles and max of the finite values, by ``keys``."""
-    x = finite(column)
-    rows = df.withColumn("_x", x)
-    return (rows.groupBy(*keys) if keys else rows.groupBy()).agg(F.count("_x").alias("n"), F.min("_x").alias("min"), *quantiles("_x", 0.1, 0.5, 0.9, 0.95, 0.99), F.max("_x").alias("max"))
+    qs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    return summary(df, list(keys), finite(column), qs).select(*keys, "n", "min", *qs, "max")
 
 
 #: The overlapping subsets of validated candidates.
@@ -35,15 +35,23 @@ def subset_tags() -> Column:
 
 def force_stats(rows: DataFrame, *keys: str, value: str = "force_max") -> DataFrame:
     """Force distribution of each subset, by ``keys``: one pass, tags exploded."""
-    tagged = rows.select(*keys, finite(value).alias("_x"), F.explode(subset_tags()).alias("subset")).where("_x is not null")
-    return tagged.groupBy(*keys, "subset").agg(F.count("*").alias("n"), *quantiles("_x", 0.5, 0.9, 0.95), F.max("_x").alias("max"))
+    tagged = rows.select(*keys, finite(value).alias("_v"), F.explode(subset_tags()).alias("subset")).where("_v is not null")
+    qs = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    # Means: the sum of distinct values times their counts would round differently.
+    mean = tagged.groupBy(*keys, "subset").agg(F.avg("_v").alias("mean"))
+    out = summary(tagged, [*keys, "subset"], "_v", qs)
+    same = F.lit(True)
+    for k in (*keys, "subset"):
+        same &= out[k].eqNullSafe(mean[k])
+    return out.join(mean, same).select(*(out[k] for k in keys), out["subset"], "n", mean["mean"], *qs, "max")
 
 
 def mean_force_stats(rows: DataFrame) -> DataFrame:
     """(subset, n, p50, p90, max) of mean_force; disagreement is agreement = false."""
     label = F.when(~F.col("agreement"), "disagreement").when(F.col("consensus_is_stable"), "consensus_stable").otherwise("consensus_unstable")
     tagged = rows.where("mean_force is not null").select("mean_force", F.explode(F.array(F.lit("all"), label)).alias("subset"))
-    return tagged.groupBy("subset").agg(F.count("*").alias("n"), *quantiles("mean_force", 0.5, 0.9), F.max("mean_force").alias("max"))
+    qs = {"p50": 0.5, "p90": 0.9}
+    return summary(tagged, ["subset"], "mean_force", qs).select("subset", "n", *qs, "max")
 
 
 def formula_table(rows: DataFrame, key: str = "formula", high: float = 0.5) -> DataFrame:

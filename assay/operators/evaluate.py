@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import mean_present, pass_label, sorted_set
+from ..functions.columns import mean_present, pass_label, python_round, sorted_set
 from ..functions.numbering import numbered
 from .validate import last_wins, novelty_passed, result_succeeded
 
@@ -128,9 +128,9 @@ def audit_rows(df: DataFrame, stability_known: bool = False, score: str = "failu
     reasons = F.concat("hard_failures", F.array(F.when(F.col("parse_status").isin("unparsed_cif", "parse_error", "partial_structure"), F.col("parse_status"))))
     df = df.withColumns({
         "f1_label": pass_label("f1_geometry"), "f2_label": pass_label("f2_chemistry"), "f3_label": pass_label("f3_stability"),
-        score: F.round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6), "failure_reasons": sorted_set(reasons),
+        score: python_round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6), "failure_reasons": sorted_set(reasons),
     })
-    return df.withColumn("ranking_score", F.round(1.0 - F.col(score), 6))
+    return df.withColumn("ranking_score", python_round(1.0 - F.col(score), 6))
 
 
 def duplicate_extra(df: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bool_c3, col, double_lenient, mean_present, nullable, to_int
+from ..functions.columns import bool_c3, col, double_lenient, mean_present, nullable, python_round, to_int
 
 #: Spellings of a validation status that stand for another; all others stay.
 STATUS = {"complete": "completed", "ok": "success", "done": "completed", "error": "failed", "failure": "failed", "not_converged": "failed"}
@@ -219,14 +219,14 @@ def check_index(rows: DataFrame, index: DataFrame) -> DataFrame:
     return out.withColumn("issue", issue).drop("own_formula", "found")
 
 
-def is_stable_record(stable: Column | str = "is_stable", hull: Column | str = "e_above_hull") -> Column:
+def is_stable_record(stable: Column | str = "is_stable", hull: Column | str = "e_above_hull", limit: float = STABLE_HULL) -> Column:
     """The stated stability; where none is stated, the hull energy decides."""
-    return F.coalesce(col(stable), col(hull) <= STABLE_HULL, F.lit(False))
+    return F.coalesce(col(stable), col(hull) <= limit, F.lit(False))
 
 
-def stability_score(stable: Column | str = "is_stable", hull: Column | str = "e_above_hull") -> Column:
+def stability_score(stable: Column | str = "is_stable", hull: Column | str = "e_above_hull", limit: float = STABLE_HULL) -> Column:
     h = col(hull)
-    return F.when(is_stable_record(stable, hull), 0.0).when(h.isNotNull(), F.greatest(F.lit(0.3), F.least(F.lit(1.0), h))).otherwise(1.0)
+    return F.when(is_stable_record(stable, hull, limit), 0.0).when(h.isNotNull(), F.greatest(F.lit(0.3), F.least(F.lit(1.0), h))).otherwise(1.0)
 
 
 def import_status(audit: DataFrame, validation: DataFrame, order: str = "_ord", same_generation: bool = True) -> DataFrame:
@@ -257,7 +257,7 @@ def import_status(audit: DataFrame, validation: DataFrame, order: str = "_ord",
     return rows.withColumn("import_status", status).drop("_first", "found", "a_formula", "a_spacegroup", "a_generation")
 
 
-def import_validation(audit: DataFrame, validation: DataFrame, order: str = "_ord", same_generation: bool = True) -> DataFrame:
+def import_validation(audit: DataFrame, validation: DataFrame, order: str = "_ord", same_generation: bool = True, stable_hull: float = STABLE_HULL) -> DataFrame:
     """Audit rows with the offline validation of their candidate applied.
 
     Sets validation_status (validated_success, validation_error, not_provided),
@@ -266,7 +266,7 @@ def import_validation(audit: DataFrame, validation: DataFrame, order: str = "_or
     validation was skipped keeps what it had.
     """
     status = import_status(audit, validation, order, same_generation).where(F.col("import_status").isin("validated_success", "validation_error"))
-    right = status.select("candidate_id", "import_status", stability_score().alias("_score"))
+    right = status.select("candidate_id", "import_status", stability_score(limit=stable_hull).alias("_score"))
     out = audit.join(right, "candidate_id", "left")
     ok, bad = F.col("import_status") == "validated_success", F.col("import_status") == "validation_error"
     keep = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in audit.columns else F.lit(default)
@@ -281,8 +281,9 @@ def import_validation(audit: DataFrame, validation: DataFrame, order: str = "_or
         "f3_stability": F.when(ok, F.col("_score")).otherwise(F.col("f3_stability")),
     })
     if "f1_geometry" in audit.columns:
-        score = F.round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6)
-        out = out.withColumn("failure_score", F.when(ok, score)).withColumn("ranking_score", F.when(ok, F.round(1.0 - F.col("failure_score"), 6)))
+        had = lambda c: F.col(c) if c in audit.columns else F.lit(None).cast("double")
+        score = python_round(mean_present(["f1_geometry", "f2_chemistry", "f3_stability"]), 6)
+        out = out.withColumn("failure_score", F.when(ok, score).otherwise(had("failure_score"))).withColumn("ranking_score", F.when(ok, python_round(1.0 - F.col("failure_score"), 6)).otherwise(had("ranking_score")))
     return out.drop("_score", "import_status")
 
 

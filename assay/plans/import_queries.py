@@ -12,7 +12,7 @@ from .views import CAND_SQL, VAL_ORDER, VAL_SQL, cand, table, val
 
 AUDIT = [
     "p_partkey AS candidate_id", "p_partkey AS _ord", "concat('f', p_partkey % 17) AS formula", "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey % 7 END AS spacegroup", "CAST(p_partkey % 4 AS STRING) AS k",
-    "CAST((p_partkey * 37) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS f1_geometry", "CAST((p_partkey * 53) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS f2_chemistry", "CAST(NULL AS DOUBLE) AS f3_stability", "p_partkey % 3 <> 0 AS dpo_eligible",
+    "CAST((p_partkey * 37) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS f1_geometry", "CAST((p_partkey * 53) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS f2_chemistry", "CAST(NULL AS DOUBLE) AS f3_stability", "p_partkey % 3 <> 0 AS dpo_eligible", "CAST(p_partkey % 9 AS DOUBLE) / CAST(8 AS DOUBLE) AS failure_score",
 ]
 OFFLINE = [
     "l_partkey + CASE WHEN l_orderkey % 41 = 0 THEN 10000000 ELSE 0 END AS candidate_id", "CASE WHEN l_orderkey % 23 = 0 THEN NULL WHEN l_orderkey % 19 = 0 THEN 'other' ELSE concat('f', l_partkey % 17) END AS formula",
@@ -54,7 +54,7 @@ def val_import_status(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.candidate_id, coalesce(import_status, 'not_provided') AS validation_status, CASE import_status WHEN 'validated_success' THEN 'offline_validation' WHEN 'validation_error' THEN 'offline_validation_error' ELSE 'unavailable_without_offline_validation' END AS f3_source,
     coalesce(import_status = 'validated_success', false) AS f3_validation_available, CASE import_status WHEN 'validated_success' THEN CASE WHEN score < 0.1 THEN 'pass' ELSE 'fail' END WHEN 'validation_error' THEN 'unknown' END AS f3_label,
     CASE WHEN dpo_eligible THEN CASE import_status WHEN 'validated_success' THEN 'stability_aware_offline_validation' WHEN 'validation_error' THEN 'geometry_chemistry_only' END END AS preference_type,
-    CASE WHEN import_status = 'validated_success' THEN score END AS f3_stability, CASE WHEN import_status = 'validated_success' THEN round((f1_geometry + f2_chemistry + score) / 3, 5) END AS failure_score
+    CASE WHEN import_status = 'validated_success' THEN score END AS f3_stability, CASE WHEN import_status = 'validated_success' THEN round((f1_geometry + f2_chemistry + score) / 3, 5) ELSE round(a.failure_score, 5) END AS failure_score
   FROM audit a LEFT JOIN hit USING (candidate_id)""")
 def val_import_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = validate.import_validation(audit_rows(spark, sf_dir), offline_rows(spark, sf_dir))

@@ -282,7 +282,7 @@ def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CONSENSUS_SQL}, v AS (SELECT last.*, CASE WHEN agreement THEN stable_votes = 3 END AS c FROM last JOIN cons USING (candidate_id)), t AS (SELECT validator, force_max AS x, {SUBSET_SQL} AS subset FROM v)
-  SELECT validator, subset, count(*) AS n, round(quantile_cont(x, 0.5), 9) AS p50, round(quantile_cont(x, 0.9), 9) AS p90, round(quantile_cont(x, 0.95), 9) AS p95, max(x) AS max FROM t GROUP BY ALL""")
+  SELECT validator, subset, count(*) AS n, round(avg(x), 9) AS mean, round(quantile_cont(x, 0.5), 9) AS p50, round(quantile_cont(x, 0.9), 9) AS p90, round(quantile_cont(x, 0.95), 9) AS p95, max(x) AS max FROM t GROUP BY ALL""")
 def force_stats_by_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nine(compare.force_stats(voted(spark, sf_dir), "validator"))
 
