@@ -180,7 +180,8 @@ def train(learn: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     if not counts:
         return None
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in sorted(counts.items())))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+    # By id and text: rows without an id, or that share one, are drawn each on its own.
+    chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share * (1 << 30))
     sample = stored(vectors(chosen), "lang-sample")
 
     def mean(group: pa.Table) -> pa.Table:

@@ -6,18 +6,20 @@ Method, in DataFrame functions only:
    TF-IDF vectors of unit length;
 2. each template's anchors are its words less those most frequent in the files,
    as many of these as keep less than ``threshold`` of its length. A passage
-   without an anchor has a smaller cosine than that (Cauchy-Schwarz), so looking
-   at anchors only loses nothing;
+   without an anchor has a smaller cosine than that (Cauchy-Schwarz);
 3. whole texts are scanned for anchors; each occurrence lays the template over
-   the text so that the anchor's places agree. The passages so found, of the
-   template's number of words, are compared as TF-IDF vectors, every distinct
-   passage once, however many files have it;
+   the text so that the anchor's places agree. These are the passages: of the
+   template's number of words, with an anchor at its own place. (A header whose
+   words stand in another order has a passage only where an anchor has kept its
+   place.) They are compared as TF-IDF vectors, every distinct passage once,
+   however many files have it;
 4. passages of at least ``threshold`` that hold the template's decisive words
    name a licence; a file's own licence is the one with the most matched words
    (cosine times words). A licence file gives its licence to its directory
    (most matched words, then smallest id). A file without a licence of its own
    inherits from the nearest ancestor directory that has one, by a join of path
-   prefixes.
+   prefixes. A path without a slash lies in the relative root ".", which is the
+   topmost ancestor of all relative paths; that of absolute ones is "".
 
 Work is linear in the texts. Rows are known by a hash of id, path and text.
 Templates are a fixed list and therefore broadcast. Other small sides are
@@ -190,14 +192,16 @@ def own_licenses(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def parent(path: Column | str) -> Column:
-    """The directory of a path; null for a path without one."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", ""))
+    """The directory of a path: "." for one without a slash, "" for one below the absolute root only."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(F.col(path).isNotNull() if isinstance(path, str) else path.isNotNull(), "."))
 
 
 def nearest_given(dirs: DataFrame, given: DataFrame) -> DataFrame:
     """(dir, near): of each of ``dirs`` the nearest directory upwards in ``given``, itself included."""
-    depth = F.explode(F.sequence(F.lit(1), F.size(F.split("dir", "/")))).alias("depth")
-    above = dirs.select("dir", F.split("dir", "/").alias("steps"), depth).select("dir", "depth", F.array_join(F.slice("steps", 1, F.col("depth")), "/").alias("license_dir"))
+    depth = F.explode(F.sequence(F.lit(0), F.size(F.split("dir", "/")))).alias("depth")
+    relative = ~(F.startswith("dir", F.lit("/")) | (F.col("dir") == ""))
+    above = dirs.select("dir", F.split("dir", "/").alias("steps"), depth).where((F.col("depth") > 0) | relative)
+    above = above.select("dir", "depth", F.when(F.col("depth") > 0, F.array_join(F.slice("steps", 1, F.col("depth")), "/")).otherwise(".").alias("license_dir"))
     near = above.join(counted(given.withColumnRenamed("dir", "license_dir")), "license_dir")
     return near.groupBy("dir").agg(F.max_by(F.struct("license_dir", "dir_license"), "depth").alias("near"))
 

@@ -238,7 +238,8 @@ def perplexities(docs: DataFrame, model: Model, broadcast_grams: int) -> DataFra
         return docs.select("id", "lang", "row", "text").mapInArrow(run, schema)
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64("id"), F.lit(1 + size // BLOCK_BYTES)).cast("long")
+    # By id and text: rows without an id, or that share one, do not gather in one block.
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(1 + size // BLOCK_BYTES)).cast("long")
     dealt = docs.select("id", "lang", "row", "text", block.alias("block")).repartition("block")
     values = block_grams(dealt).join(chances, "gram").select(F.col("block").alias("b"), "key", F.ln("p").alias("log"))
 

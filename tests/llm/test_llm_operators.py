@@ -576,7 +576,7 @@ def brute_license_scan(rows, threshold, file_share):
                     hits.append((-round(score * len(passage), 6), -round(score, 9), name, range(start, start + len(passage))))
         best = min(hits, key=lambda h: h[:3]) if hits else None
         own.append((best[2], -best[1], -best[0], len({p for h in hits for p in h[3]}) / len(words)) if best else None)
-    parent = lambda p: p.rpartition("/")[0] if p and "/" in p else None
+    parent = lambda p: None if p in (None, ".", "") else p.rpartition("/")[0] if "/" in p else "."
     given = {}
     for (i, path, _), o in zip(rows, own, strict=True):
         named = re.search(r"(?i)(^|/)(LICEN[SC]E|COPYING|NOTICE)[^/]*$", path or "")
@@ -587,21 +587,30 @@ def brute_license_scan(rows, threshold, file_share):
         at = parent(path)
         while at is not None and at not in given:
             at = parent(at)
-        out.append((o[0], o[1], o[0], None) if o else (None, None, min(given[at])[2] if at else None, at))
+        out.append((o[0], o[1], o[0], None) if o else (None, None, None if at is None else min(given[at])[2], at))
     return out
 
 
+def test_license_at_the_root_is_inherited(spark):
+    text = "Licensed under the Apache License, Version 2.0"
+    for root, paths in ((".", ["LICENSE", "src/a.c", "b.c", "x/y/z"]), ("", ["/LICENSE", "/src/b.c", "/c"])):
+        rows = [(i, p, text if i == 0 else "plain words") for i, p in enumerate(paths)] + [(9, None, "no path"), (10, "/other" if root == "." else "other", "words")]
+        got = {r.id: (r.license, r.license_dir) for r in licenses.scan(spark.createDataFrame(rows, "id bigint, path string, text string")).collect()}
+        assert got[0] == ("Apache-2.0", None) and got[9] == got[10] == (None, None)
+        assert all(got[i] == ("Apache-2.0", root) for i in range(1, len(paths)))
+
+
 def test_license_scan_matches_brute_force(spark):
     r = random.Random(17)
     known = [t for _, _, t in licenses.all_templates()]
     rows = []
-    for i in range(60):
+    for i in range(80):
         words = r.choice(known).split()
         for _ in range(r.randint(0, 4)):  # words lost, changed and added
             k = r.randrange(len(words))
             words[k : k + 1] = r.choice([["a"], ["thing"], [words[k], "the"]] if len(words) < 4 else [[], ["thing"], [words[k], "the"]])
         around = lambda: r.choices(["the", "of", "license", "thing", "software", "any", "x1"], k=r.choice([0, 3, 40]))
-        path = r.choice([None, "top", "a/f", "a/b/g", "a/b/c/LICENSE", "a/b/c/d/h", "e/x", "a/NOTICE.txt"])
+        path = r.choice([None, "top", "LICENSE", "/", "/x/y", "a/f", "a/b/g", "a/b/c/LICENSE", "a/b/c/d/h", "e/x", "a/NOTICE.txt"])
         rows.append((i, path, " ".join(around() + words + around()) if i % 9 else None))
     rows += [rows[1], rows[2], rows[2]]
     got = licenses.scan(spark.createDataFrame([(*x, 0, "clash") for x in rows], "id bigint, path string, text string, score int, key string")).collect()
