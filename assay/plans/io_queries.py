@@ -315,10 +315,20 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as validation files, merged by a stream into the latest row of each key."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("candidate_id"), F.lit("f").alias("formula"), F.col("event_type").alias("validator"), F.when(F.col("value") > 50, "completed").otherwise("failed").alias("validation_status"), F.col("ts"))
     rows.repartition(3).write.json(source := folder(spark, "stream"))
-    target = folder(spark, "stream-out")
-    validation_stream.keep_latest(validation_stream.validation_files(spark, source, STREAM), target, f"{target}/checkpoint").awaitTermination()
-    latest = files.matching(spark, f"{target}/v*")
-    return spark.read.parquet(latest[0]).select("candidate_id", "validator", "validation_status")
+    target, stream = folder(spark, "stream-out"), spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).json(source)
+    validation_stream.keep_latest(stream, target, folder(spark, "stream-checkpoint"), buckets=4).awaitTermination()
+    return validation_stream.read_latest(spark, target, STREAM).select("candidate_id", "validator", "validation_status")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type AS validator, count(*) AS n, count(*) FILTER (value > 50) AS stable FROM events GROUP BY ALL""")
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable rates by validator and hour, from a stream into a table."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("validator"), (F.col("value") > 50).alias("is_stable"), F.col("ts"))
+    rows.coalesce(1).write.json(source := folder(spark, "rates"))
+    stream = validation_stream.rate_by_window(spark.readStream.schema("validator string, is_stable boolean, ts timestamp").json(source), "1 hour", "36500 days")
+    name = "rates_" + source.rpartition("-")[2]
+    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder(spark, "rates-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("window.start").alias("start"), "validator", "n", "stable")
 
 
 @query(f"""WITH {CAND_SQL}, {CONSENSUS_SQL}, v AS (SELECT last.* FROM last JOIN cons USING (candidate_id)), cc AS (SELECT count(*) AS n FROM cand), o AS (SELECT count(*) AS n, count(*) FILTER (agreement AND stable_votes = 3) AS s, count(*) FILTER (agreement AND unstable_votes = 3) AS u, count(*) FILTER (agreement) AS a FROM cons), w AS (SELECT count(*) FILTER (is_stable) AS s FROM v)

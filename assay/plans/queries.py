@@ -425,6 +425,15 @@ def condition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("preference_margin", F.round("preference_margin", 9))
 
 
+@query(f"""WITH {COND_SQL}, k AS (SELECT *, formula || '|' || spacegroup || '|' || generation AS condition FROM cr) SELECT condition, c.candidate_id AS chosen_id, r.candidate_id AS rejected_id, round(r.score - c.score, 9) AS preference_margin
+  FROM k c JOIN k r USING (condition) WHERE c.v = r.v AND (c.score < r.score OR (c.score = r.score AND c.candidate_id < r.candidate_id)) AND round(r.score - c.score, 12) >= 0.01 ORDER BY condition, c.score, c.candidate_id, r.score, r.candidate_id LIMIT 300""")
+def condition_pairs_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 300 pairs in order of condition, chosen and rejected row."""
+    rows = conditions(spark, sf_dir).withColumn("condition", F.concat_ws("|", "formula", F.col("spacegroup").cast("string"), F.col("generation").cast("string")))
+    out = dpo.condition_pairs(rows, max_pairs=300)
+    return out.select("condition", "chosen_id", "rejected_id", F.round("preference_margin", 9).alias("preference_margin"))
+
+
 @query(f"""WITH {COND_SQL}, p AS (SELECT CASE WHEN a.formula <> b.formula THEN 'different_formula_condition' WHEN a.spacegroup <> b.spacegroup THEN 'different_spacegroup_condition' ELSE 'different_generation_condition' END AS reason, a.n * b.n AS n
   FROM (SELECT formula, spacegroup, generation, count(*) AS n FROM cr GROUP BY ALL) a JOIN (SELECT formula, spacegroup, generation, count(*) AS n FROM cr GROUP BY ALL) b ON (a.formula, a.spacegroup, a.generation) < (b.formula, b.spacegroup, b.generation)) SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY reason""")
 def cross_condition_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
