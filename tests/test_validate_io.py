@@ -206,4 +206,4 @@ def test_streamed_validation_keeps_the_latest(spark, tmp_path):
     (source / "1.json").write_text('{"candidate_id": "a", "validator": "A", "is_stable": true, "ts": "2024-01-01T00:00:00Z"}\n{"candidate_id": "a", "validator": "A", "is_stable": false, "ts": "2024-01-02T00:00:00Z"}\n')
     query = vs.keep_latest(vs.validation_files(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(60)
-    assert values(spark.read.parquet(str(tmp_path / "out" / "v0")), "is_stable") == [False]
+    assert values(vs.read_latest(spark, str(tmp_path / "out")), "is_stable") == [False]
