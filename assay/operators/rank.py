@@ -68,49 +68,77 @@ def feedback_records(tasks: DataFrame) -> DataFrame:
     )
 
 
-def dominated(points: DataFrame, others: DataFrame) -> DataFrame:
-    """``points`` that some row of ``others`` dominates.
+#: Vectors that a round of the skyline settles and broadcasts (of seven numbers each).
+ROUND = 8192
 
-    Before the pairwise test both sides are cut to distinct objective vectors,
-    and a point only meets others with at least its success.
-    """
-    a, b = points.alias("a"), others.alias("b")
-    at_least = F.lit(True)
-    more = F.lit(False)
-    for k in MAXIMISED:
-        at_least &= F.col(f"b.{k}") >= F.col(f"a.{k}")
-        more |= F.col(f"b.{k}") > F.col(f"a.{k}")
-    at_least &= F.col("b.cost") <= F.col("a.cost")
-    more |= F.col("b.cost") < F.col("a.cost")
-    return a.join(b, at_least & more, "left_semi")
+
+def local_front(x):
+    """Which rows of a matrix (larger is better) no other row dominates."""
+    import numpy as np
+
+    keep = np.ones(len(x), bool)
+    for i in np.lexsort(x.T):
+        if keep[i]:
+            keep &= ~((x <= x[i]).all(axis=1) & (x < x[i]).any(axis=1))
+    return keep
 
 
 def pareto_front(vectors: DataFrame) -> DataFrame:
     """Rows that no row dominates.
 
-    Each partition is first reduced to its own front, which bounds what the
-    pairwise test sees; dominance is transitive, so nothing is lost.
+    Rows are settled in order of the sum of their objectives, the next ROUND of
+    them at a time: a row's dominators have no smaller sum (ties go by the
+    objectives in turn), so the front of these rows belongs to the whole front
+    once all before them have been compared. It is broadcast, and one pass
+    drops what it dominates. No two rows meet in a join; each partition is
+    reduced to its own front first, as dominance is transitive.
     """
     import numpy as np
     import pandas as pd
 
+    names = [*MAXIMISED, "cost"]
+
+    def objectives_of(frame: pd.DataFrame) -> np.ndarray:
+        x = frame[names].to_numpy(float).copy()
+        x[:, -1] *= -1
+        return x
+
     def local(frames):
         kept: pd.DataFrame | None = None
         for frame in frames:
             both = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
-            x = both[[*MAXIMISED, "cost"]].to_numpy(float).copy()
-            x[:, -1] *= -1
-            keep = np.ones(len(x), bool)
-            for i in np.lexsort(x.T):
-                if keep[i]:
-                    worse = (x <= x[i]).all(axis=1) & (x < x[i]).any(axis=1)
-                    keep &= ~worse
-            kept = both[keep]
+            kept = both[local_front(objectives_of(both))]
         if kept is not None:
             yield kept
 
-    small = vectors.mapInPandas(local, vectors.schema)
-    return small.join(dominated(small, small).select("vector"), "vector", "left_anti")
+    total = sum((F.col(c) for c in MAXIMISED[1:]), F.col(MAXIMISED[0])) - F.col("cost")
+    order = [F.desc("_sum"), *(F.desc(c) for c in MAXIMISED), "cost", "vector"]
+    left, fronts, spark = checkpointed(vectors.mapInPandas(local, vectors.schema).withColumn("_sum", total)), [], vectors.sparkSession
+    while True:
+        best = left.orderBy(*order).limit(ROUND).toPandas()
+        if best.empty:
+            break
+        front = best[local_front(objectives_of(best))]
+        fronts.append(checkpointed(spark.createDataFrame(front.drop(columns="_sum"), vectors.schema)))
+        shared = spark.sparkContext.broadcast((objectives_of(front), set(best["vector"])))
+
+        def rest(frames, shared=shared):
+            strong, settled = shared.value
+            for frame in frames:
+                frame = frame[~frame["vector"].isin(settled)]
+                x, open_ = objectives_of(frame), np.ones(len(frame), bool)
+                for row in strong:
+                    at = np.flatnonzero(open_)
+                    if not len(at):
+                        break
+                    open_[at] = ~((x[at] <= row).all(axis=1) & (x[at] < row).any(axis=1))
+                yield frame[open_]
+
+        left = checkpointed(left.mapInPandas(rest, left.schema))
+    out = fronts[0] if fronts else vectors.limit(0)
+    for part in fronts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def pareto_layers(df: DataFrame, weights: dict[str, float] | None = None, max_layers: int | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..sources.readers import whole_json
 from .loop import evidence, validation_feedback
 from .validate import breakdown, last_wins
@@ -79,27 +80,5 @@ def buffer_counters(events: DataFrame) -> DataFrame:
 
 
 def evaluated(rows: DataFrame, kernel: Callable, schema: str, error: str = "oracle_error") -> DataFrame:
-    """``kernel`` (pandas frame -> frame of ``schema``) over ``rows``, in batches.
-
-    A batch that raises is tried row by row; a row that raises has nulls and its
-    error in ``error``, so it never fails the job. ``kernel`` may call what Spark
-    lacks: a structure matcher, a model.
-    """
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        def one(frame):
-            try:
-                return kernel(frame).assign(**{error: None})
-            except Exception as e:  # noqa: BLE001 - whatever an external kernel raises
-                if len(frame) > 1:
-                    return pd.concat([one(frame.iloc[i : i + 1]) for i in range(len(frame))], ignore_index=True)
-                kept = {n: frame[n].tolist() if n in frame else [None] for n in names}
-                return pd.DataFrame(kept).assign(**{error: f"{type(e).__name__}: {e}"})
-
-        for frame in frames:
-            yield one(frame)[[*names, error]]
-
-    return rows.mapInPandas(run, f"{schema}, {error} string")
+    """``kernel`` (pandas frame -> frame of ``schema``) over ``rows``, in batches; rows that raise have nulls and their error."""
+    return kernels.evaluated(rows, kernel, [part.split()[0] for part in schema.split(",")], schema, error)
