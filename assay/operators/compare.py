@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..functions.quantiles import summary
+from ..functions.session import checkpointed
 
 
 def quantiles(x: Column | str, *qs: float) -> list[Column]:
@@ -169,8 +170,31 @@ def logprob_deltas(scores: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def logprob_groups(scores: DataFrame) -> DataFrame:
-    keys = ["checkpoint_label", "source_side", "consensus_label", "panel_reason"]
-    return scores.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("logp_total").alias("mean"), F.percentile("logp_total", 0.5).alias("median"))
+    """Count, mean and median of the scores of each checkpoint, label, side and reason."""
+    keys = ["checkpoint_label", "consensus_label", "source_side", "panel_reason"]
+    out = summary(scores, keys, "logp_total", {"median": 0.5})
+    mean = scores.groupBy(*keys).agg(F.avg("logp_total").alias("mean"))
+    same = F.lit(True)
+    for k in keys:
+        same &= out[k].eqNullSafe(mean[k])
+    return out.join(mean, same).select(*(out[k] for k in keys), "n", "mean", "median")
+
+
+def logprob_delta_groups(scores: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """(kind, label, n, mean, median) of the deltas by consensus label and by panel reason, and the stable less the unstable mean.
+
+    ``kind`` is consensus_label, panel_reason or stable_minus_unstable (one row,
+    if both labels occur). A candidate's last row, by ``_ord``, says its label
+    and reason.
+    """
+    of = lambda name: F.max_by("logp_total", F.when(F.col("checkpoint_label") == name, F.col("_ord")))
+    rows = scores.groupBy("candidate_id").agg(of(before).alias("b"), of(after).alias("a"), F.max_by(F.struct("consensus_label", "panel_reason"), "_ord").alias("m")).where("a is not null and b is not null")
+    tags = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"m.{k}"), F.lit("None")).alias("label")) for k in ("consensus_label", "panel_reason")))
+    tagged = checkpointed(rows.select((F.col("a") - F.col("b")).alias("delta"), F.explode(tags).alias("t")).select("t.*", "delta"))
+    groups = summary(tagged, ["kind", "label"], "delta", {"median": 0.5}).join(tagged.groupBy("kind", "label").agg(F.avg("delta").alias("mean")), ["kind", "label"]).select("kind", "label", "n", "mean", "median")
+    mean = lambda label: F.avg(F.when(F.col("label") == label, F.col("delta")))
+    gap = tagged.where("kind = 'consensus_label'").agg((mean("stable") - mean("unstable")).alias("mean")).where("mean is not null")
+    return groups.unionByName(gap.select(F.lit("stable_minus_unstable").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("n"), "mean", F.lit(None).cast("double").alias("median")))
 
 
 def compare_modes(reports: dict[str, DataFrame]) -> DataFrame:

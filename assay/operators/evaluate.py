@@ -82,9 +82,28 @@ def validation_metrics(validation: DataFrame, ranked: DataFrame, top_k: int | No
     return whole.crossJoin(part)  # one row each
 
 
-def report(labels: DataFrame, pairs: DataFrame, ranked: DataFrame, top_k: int | None = None, threshold: float = 0.1) -> DataFrame:
-    """The one-row evaluation report: one aggregation for each input."""
-    return label_metrics(labels, threshold).crossJoin(pair_metrics(pairs)).crossJoin(ranking_metrics(ranked, top_k))
+def counts_map(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """One row: how often each value of a column of few values occurs."""
+    counts = rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(name))
+
+
+def report(labels: DataFrame, pairs: DataFrame, ranked: DataFrame, top_k: int | None = None, threshold: float = 0.1, validation: DataFrame | None = None, order: str = "_ord") -> DataFrame:
+    """The one-row evaluation report: one aggregation for each input, and its distributions as maps.
+
+    Tiers (-1 where a label has none), axes and modes (axis_aligned where a pair
+    has none) are few by definition. Without ``validation`` its metrics are
+    unavailable: counts 0, rates null.
+    """
+    tiers = labels.select((F.coalesce("calibration_tier", F.lit(-1)) if "calibration_tier" in labels.columns else F.lit(-1)).alias("tier"))
+    modes = pairs.select("axis", (F.coalesce("mode", F.lit("axis_aligned")) if "mode" in pairs.columns else F.lit("axis_aligned")).alias("mode"))
+    out = label_metrics(labels, threshold).crossJoin(pair_metrics(pairs)).crossJoin(ranking_metrics(ranked, top_k))  # one row each, as are all below
+    out = out.crossJoin(counts_map(tiers, "tier", "calibration_tier_distribution")).crossJoin(counts_map(modes, "axis", "pairs_by_axis")).crossJoin(counts_map(modes, "mode", "pairs_by_mode"))
+    if validation is None:
+        zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
+        names = {"validation_count": zero, "validation_success_rate": none, "validated_stable_count": zero, "validated_stable_rate": none, "average_validated_e_above_hull": none, "validated_novel_count": zero, "validated_novel_rate": none, "validation_failure_count": zero, "top_k_validated_stable_rate": none, "top_k_validation_coverage": none}
+        return out.withColumns(names).withColumn("validation_metrics_available", F.lit(False))
+    return out.crossJoin(validation_metrics(validation, ranked, top_k, order)).withColumn("validation_metrics_available", F.lit(True))
 
 
 # --- Audit -------------------------------------------------------------------

@@ -15,6 +15,7 @@ from ..functions import literals
 from ..functions.columns import first_present, nullable, to_int
 from ..functions.literals import strict_json
 from ..functions.numbering import numbered
+from .files import read_text
 
 #: Names of the artifacts of a run.
 ARTIFACTS = ("bulk_plan.json", "bulk_summary.json", "audit_summary.json", "candidates.jsonl", "audit_candidates.jsonl", "failure_vectors.jsonl", "preference_pairs.jsonl", "preference_summary.json")
@@ -234,12 +235,11 @@ def prepare_references(rows: DataFrame, prefix: str = "ref") -> DataFrame:
     )
 
 
-def formula_bank(path: str) -> list[str]:
-    """Formulas of a small JSON file on the driver: a list or {"formulas": [...]}."""
+def formula_bank(spark: SparkSession, path: str) -> list[str]:
+    """Formulas of a small JSON file: a list or {"formulas": [...]}."""
     import json
 
-    with open(path, encoding="utf-8") as file:
-        data = json.load(file)
+    data = json.loads(read_text(spark, path))
     formulas = data["formulas"] if isinstance(data, dict) else data
     if not formulas:
         raise ValueError(f"{path}: no formulas")
@@ -248,6 +248,16 @@ def formula_bank(path: str) -> list[str]:
     return list(formulas)
 
 
+def read_config(spark: SparkSession, path: str, *overrides: dict) -> dict:
+    """A JSON configuration, on whatever file system, with nested overrides."""
+    import json
+
+    held = json.loads(read_text(spark, path))
+    if not isinstance(held, dict):
+        raise ValueError(f"{path}: a configuration must be a JSON object")
+    return merged_config(held, *overrides)
+
+
 def merged_config(defaults: dict, *overrides: dict) -> dict:
     """Nested dicts merged from left to right."""
     out = dict(defaults)

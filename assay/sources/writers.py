@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import write_text
+
 
 def sorted_json(df: DataFrame) -> DataFrame:
     """(value): each row as a JSON object with sorted keys."""
@@ -29,12 +31,11 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard_id") -> None:
 
 
 def write_json_row(df: DataFrame, path: str) -> None:
-    """A one-row report as an indented JSON file, on the driver."""
+    """A one-row report as an indented JSON file, on whatever file system."""
     import json
 
     row = json.loads(sorted_json(df).first().value)
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(row, file, indent=2, sort_keys=True)
+    write_text(df.sparkSession, path, json.dumps(row, indent=2, sort_keys=True) + "\n")
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
