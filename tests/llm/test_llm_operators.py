@@ -622,6 +622,17 @@ def test_license_scan_matches_brute_force(spark):
     )
 
 
+def test_language_sample_is_bounded_where_rows_have_no_id(spark, monkeypatch):
+    r, seen, stored = random.Random(8), {}, lang_id.stored
+    monkeypatch.setattr(lang_id, "stored", lambda df, label: seen.setdefault(label, stored(df, label)))
+    word = {"aa": "abcde", "bb": "vwxyz"}
+    rows = [(None if i % 3 else 7, " ".join("".join(r.choice(word[k]) for _ in range(5)) for _ in range(6)), k) for i in range(600) for k in word]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.identify(docs, folds=3, held=5, per_lang=40).collect()
+    assert 40 < seen["lang-sample"].count() < 130
+    assert sorted(x.lang_pred for x in got) == sorted(k for _, _, k in rows)
+
+
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
