@@ -296,11 +296,11 @@ def split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(rejected.select("row_index", F.col("candidate_id").alias("rejected_id")), "row_index")
 
 
-@query("SELECT p_partkey AS candidate_id, p_name, s_name AS index_supplier FROM part LEFT JOIN supplier ON s_suppkey = p_partkey WHERE p_size < 10 AND p_partkey IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey AS candidate_id, p_name, s_name AS index_supplier FROM part LEFT JOIN supplier ON s_suppkey = p_partkey WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 def hydrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triage rows with their full record and index row."""
     full = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate_id"), "p_name", F.col("p_partkey").alias("_ord"))
-    compact = table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("candidate_id"), F.col("p_partkey").alias("_ord"))
+    compact = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate_id"), F.col("p_partkey").alias("_ord"))
     compact = compact.join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("candidate_id")).distinct(), "candidate_id", "left_semi")
     index = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate_id"), F.col("s_name").alias("supplier"), F.col("s_suppkey").alias("_ord"))
     return select.hydrate(compact, full, index)[0].select("candidate_id", "p_name", "index_supplier")

@@ -334,19 +334,19 @@ def per_formula_topn_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("candidate_id", "rank_in_key", "overflow_reason", "selected")
 
 
-@query(f"""WITH {VAL_SQL}, {LAST_SQL} SELECT candidate_id, force_max, stress_max, round(severity, 9) AS severity FROM (SELECT *, greatest(force_max / 0.05, stress_max / 0.05) AS severity FROM last WHERE validator = 'A')
-  ORDER BY severity DESC, candidate_id LIMIT 25""")
+@query(f"""WITH {VAL_SQL}, {LAST_SQL} SELECT candidate_id, validator, force_max, stress_max, round(severity, 9) AS severity FROM (SELECT *, greatest(force_max / 0.05, stress_max / 0.05) AS severity FROM last)
+  ORDER BY severity DESC, validator, candidate_id LIMIT 25""")
 def outliers_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = latest(spark, sf_dir, "force_max", "stress_max").where("validator = 'A'")
-    return nine(select.outliers(rows, 25, key="validator").select("candidate_id", "force_max", "stress_max", "severity"))
+    rows = latest(spark, sf_dir, "force_max", "stress_max")
+    return nine(select.outliers(rows, 25, key="validator").select("candidate_id", "validator", "force_max", "stress_max", "severity"))
 
 
-@query(f"""WITH {VAL_SQL}, {LAST_SQL}, v AS (SELECT last.*, p_type AS formula FROM last JOIN part ON candidate_id = p_partkey WHERE validator = 'B' AND validation_status = 'completed' AND force_max <= 5 AND (stress_max IS NULL OR stress_max <= 0.2)),
+@query(f"""WITH {VAL_SQL}, {LAST_SQL}, v AS (SELECT last.*, p_type || '|' || validator AS formula FROM last JOIN part ON candidate_id = p_partkey WHERE validation_status = 'completed' AND force_max <= 5 AND (stress_max IS NULL OR stress_max <= 0.2)),
   r AS (SELECT candidate_id, formula, row_number() OVER (PARTITION BY formula ORDER BY CASE WHEN force_max IS NULL OR force_max = 0 THEN 1e300 ELSE force_max END, CASE WHEN stress_max IS NULL OR stress_max = 0 THEN 1e300 ELSE stress_max END,
     CASE WHEN energy IS NULL OR energy = 0 THEN 1e300 ELSE energy END, candidate_id) AS k FROM v) SELECT candidate_id, formula, CAST(k AS INTEGER) AS rank_within_formula FROM r WHERE k <= 10""")
 def relaxation_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     formulas = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("formula"))
-    rows = latest(spark, sf_dir, "force_max", "stress_max", "energy", "validation_status").where("validator = 'B'").join(formulas, "candidate_id")
+    rows = latest(spark, sf_dir, "force_max", "stress_max", "energy", "validation_status").join(formulas, "candidate_id").withColumn("formula", F.concat_ws("|", "formula", "validator"))
     return select.triage(rows, 10).select("candidate_id", "formula", "rank_within_formula")
 
 
