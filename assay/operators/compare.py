@@ -47,6 +47,33 @@ def force_stats(rows: DataFrame, *keys: str, value: str = "force_max") -> DataFr
     return out.join(mean, same).select(*(out[k] for k in keys), out["subset"], "n", mean["mean"], *qs, "max")
 
 
+#: The subsets and statistics of a formula's forces, before and after.
+FORMULA_SUBSETS, FORMULA_STATS = ("all_validated", "model_stable", "consensus_stable", "disagreement"), ("count", "mean", "median", "p90")
+
+
+def force_by_formula(before: DataFrame, after: DataFrame, validators: list[str]) -> DataFrame:
+    """Forces of each formula and validator on both sides: before_, after_ and delta_ of each subset's statistics.
+
+    Sides: formula, validator, force_max, is_stable, consensus_is_stable. A
+    formula occurs if either side has a finite force of it, then with every
+    validator; a side without values counts 0 and has no other statistic.
+    Disagreement is a null consensus; rows without a formula are left out.
+    """
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "formula", "validator", finite("force_max").alias("_v"), "is_stable", "consensus_is_stable")
+    rows = side(before, "before").unionByName(side(after, "after")).where(F.col("_v").isNotNull() & (F.col("formula") != "") & F.col("validator").isin(validators))
+    c = F.col("consensus_is_stable")
+    tags = F.array_compact(F.array(F.lit(FORMULA_SUBSETS[0]), F.when(F.col("is_stable"), F.lit(FORMULA_SUBSETS[1])), F.when(c, F.lit(FORMULA_SUBSETS[2])), F.when(c.isNull(), F.lit(FORMULA_SUBSETS[3]))))
+    keys = ["formula", "validator", "side", "subset"]
+    tagged = rows.select("formula", "validator", "side", "_v", F.explode(tags).alias("subset"))
+    stats = summary(tagged, keys, "_v", {"median": 0.5, "p90": 0.9}).withColumnRenamed("n", "count").join(tagged.groupBy(*keys).agg(F.avg("_v").alias("mean")), keys)
+    stats = checkpointed(stats)  # one row for each formula, validator, side and subset
+    of = lambda s, name, stat: F.max(F.when((F.col("side") == s) & (F.col("subset") == name), F.col(stat)))
+    wide = stats.groupBy("formula", "validator").agg(*(of(s, n, x).alias(f"{s}_{n}_{x}") for n in FORMULA_SUBSETS for x in FORMULA_STATS for s in ("before", "after")))
+    every = stats.select("formula").distinct().select("formula", F.explode(F.array(*(F.lit(v) for v in validators))).alias("validator"))
+    out = every.join(wide, ["formula", "validator"], "left").fillna(0, [f"{s}_{n}_count" for s in ("before", "after") for n in FORMULA_SUBSETS])
+    return out.withColumns({f"delta_{n}_{x}": F.col(f"after_{n}_{x}") - F.col(f"before_{n}_{x}") for n in FORMULA_SUBSETS for x in FORMULA_STATS})
+
+
 def mean_force_stats(rows: DataFrame) -> DataFrame:
     """(subset, n, p50, p90, max) of mean_force; disagreement is agreement = false."""
     label = F.when(~F.col("agreement"), "disagreement").when(F.col("consensus_is_stable"), "consensus_stable").otherwise("consensus_unstable")

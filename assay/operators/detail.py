@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.columns import col
-from .validate import duplicates
+from ..functions.columns import col, finite, present, reasons
+from ..sources import files
+from .validate import duplicates, last_wins
 
 #: Largest force of the tiers A and B.
 TIER_A, TIER_B = 0.03, 0.04
@@ -31,6 +33,37 @@ def high_confidence(votes: DataFrame, validators: list[str], max_force: float =
     return rows.select("candidate_id", "max_force", confidence_tier("max_force").alias("tier"))
 
 
+def high_confidence_candidates(votes: DataFrame, consensus: DataFrame, selected: DataFrame, validators: list[str], max_force: float = 0.05) -> DataFrame:
+    """Candidates whose every validator converged, is stable and has a force within the limit, with what the selection says.
+
+    ``votes``: one row for each (candidate_id, validator) with force_max,
+    stress_max, energy, relaxation_converged and is_stable. ``consensus``:
+    candidate_id, formula, spacegroup, consensus_is_stable, available_votes, stable_votes,
+    vote_pattern. ``selected``: candidate_id, spacegroup, num_sites; of several
+    rows of an id the last, by ``_ord``. A candidate that was not selected stays, without its fields.
+    """
+    of = votes.where(F.col("validator").isin(validators))
+    x = lambda c: finite(c)
+    good = F.coalesce(F.col("relaxation_converged") & F.col("is_stable"), F.lit(False))
+    n = len(validators)
+    stats = of.groupBy("candidate_id").agg(
+        F.count(x("force_max")).alias("_n"), F.min(good).alias("_good"), F.max(x("force_max")).alias("max_force"), F.avg(x("force_max")).alias("mean_force"), F.median(x("force_max")).alias("median_force"),
+        (F.max(x("force_max")) - F.min(x("force_max"))).alias("force_spread"), F.max(x("stress_max")).alias("max_stress"), F.avg(x("stress_max")).alias("mean_stress"),
+        (F.max(x("energy")) - F.min(x("energy"))).alias("energy_range"), F.avg(x("energy")).alias("mean_energy"),
+    ).where((F.col("_n") == n) & F.col("_good") & (F.col("max_force") <= max_force)).drop("_n", "_good")
+    agreed = consensus.where(F.col("consensus_is_stable") & (F.col("available_votes") == n)).drop("consensus_is_stable", "available_votes")
+    chosen = last_wins(selected, "candidate_id", "_ord").select("candidate_id", F.col("spacegroup").alias("_group"), "num_sites")
+    rows = agreed.join(stats, "candidate_id").join(chosen, "candidate_id", "left")
+    group = F.when(present("spacegroup"), F.col("spacegroup")).otherwise(F.col("_group"))
+    return rows.withColumns({"confidence_tier": confidence_tier("max_force"), "spacegroup": group}).drop("_group")
+
+
+def top_per_formula(rows: DataFrame, k: int) -> DataFrame:
+    """Add rank_within_formula and keep the first k: by tier, largest and mean force, spread, id; what is missing comes last."""
+    order = [F.coalesce("confidence_tier", F.lit("Z")), *(F.col(c).asc_nulls_last() for c in ("max_force", "mean_force", "force_spread")), F.col("candidate_id").cast("string")]
+    return rows.withColumn("rank_within_formula", F.row_number().over(Window.partitionBy("formula").orderBy(*order))).where(F.col("rank_within_formula") <= k)
+
+
 def formula_metrics(comparison: DataFrame, selected: DataFrame, generated: int) -> DataFrame:
     """Rates of each formula from comparison rows and the selected candidates.
 
@@ -83,3 +116,64 @@ def audit_readiness(tasks: DataFrame, results: DataFrame, expected: int, schema_
         n = results.agg(F.count("*").alias("n")).where(F.col("n") != expected)
         out = out.union(n.select(F.lit("results").alias("part"), wrong("result").alias("issue")))
     return out
+
+
+#: Schema of a reference pool's manifest.
+POOL_SCHEMA = "f4-reference-pool-manifest-v1"
+
+
+def shard_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, exists, n_rows, n_bad) of the shards a plan names, lines of all present ones counted in one scan."""
+    schema = "path string, exists boolean"
+    there = {p: files.exists(spark, p) for p in dict.fromkeys(paths)}
+    named = spark.createDataFrame(list(there.items()), schema)
+    found = [p for p, e in there.items() if e]
+    if not found:
+        return named.select("*", F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_bad"))
+    lines = None
+    for i in range(0, len(found), 1000):
+        some = spark.read.text(found[i : i + 1000]).select("value", F.col("_metadata.file_path").alias("_file")).where("trim(value) != ''")
+        lines = some if lines is None else lines.unionByName(some)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][\w+.-]*:/*", "/"), "/+$", "")  # noqa: E731 - file:/x, file:///x and /x are one path
+    good = F.coalesce(F.startswith(F.trim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull(), F.lit(False))
+    counts = lines.groupBy(bare(F.col("_file")).alias("_file")).agg(F.count("*").alias("n_rows"), F.count_if(~good).alias("n_bad"))
+    # A shard is a file, or a folder of part files.
+    by_shard = counts.select(F.explode(F.array("_file", F.regexp_replace("_file", "/[^/]+$", ""))).alias("_path"), "n_rows", "n_bad").groupBy("_path").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
+    out = named.join(by_shard, bare(F.col("path")) == F.col("_path"), "left").drop("_path")
+    return out.fillna(0, ["n_rows", "n_bad"])
+
+
+def shard_issues(shards: DataFrame, expected: int | None) -> DataFrame:
+    """(part, issue) of ``shard_counts``: none named, missing, unreadable, or another total than planned."""
+    of = lambda rows, name: rows.select(F.lit("shards").alias("part"), F.concat(F.lit(f"{name}:"), "path").alias("issue"))
+    total = shards.agg(F.count("*").alias("shards"), F.coalesce(F.sum(F.when(F.col("n_bad") == 0, F.col("n_rows"))), F.lit(0)).alias("n"))
+    differs = (F.col("n") != expected) if expected is not None else F.lit(False)
+    text = F.when(F.col("shards") == 0, "missing_shard_paths").when(differs, F.concat(F.lit(f"shard_task_count_mismatch:expected_{expected}:actual_"), F.col("n").cast("string")))
+    whole = total.select(F.lit("shards").alias("part"), text.alias("issue")).where("issue is not null")
+    return of(shards.where("not exists"), "missing_shard").union(of(shards.where("exists and n_bad > 0"), "invalid_shard_jsonl")).union(whole)
+
+
+def pool_issues(manifest: DataFrame, sources: DataFrame, pool_id: str | None = None) -> DataFrame:
+    """(part, issue) of a reference pool.
+
+    ``manifest``: one row of schema_version, example_manifest, reference_pool_id,
+    total_reference_count; no row: it is missing. ``sources``: name, reference_count, exists.
+    """
+    n = manifest.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, F.lit("missing_reference_manifest")).alias("issue")).where("issue is not null")
+    empty = sources.agg(F.count("*").alias("_n"))  # one row
+    row = manifest.crossJoin(empty)
+    other = (~F.col("reference_pool_id").eqNullSafe(F.lit(pool_id))) if pool_id else F.lit(False)
+    found = reasons(
+        ("reference_manifest_schema_mismatch", ~F.col("schema_version").eqNullSafe(F.lit(POOL_SCHEMA))), ("reference_manifest_is_example", F.col("example_manifest")), ("reference_pool_id_mismatch", other),
+        ("reference_sources_empty", F.col("_n") == 0), ("reference_pool_empty", F.coalesce("total_reference_count", F.lit(0)) < 1),
+    )
+    why = F.when(F.coalesce("reference_count", F.lit(0)) < 1, "reference_source_empty").when(~F.coalesce("exists", F.lit(False)), "reference_source_missing")
+    each = sources.select(F.concat_ws(":", why, F.coalesce("name", F.lit("None"))).alias("issue"), why.alias("_why")).where("_why is not null").select("issue")
+    issues = n.union(row.select(F.explode(found).alias("issue"))).union(each if manifest.limit(1).count() else each.limit(0))
+    return issues.select(F.lit("reference_pool").alias("part"), "issue")
+
+
+def readiness(issues: DataFrame) -> DataFrame:
+    """One row: issue_count, ready, and the issues of each part counted."""
+    parts = ("tasks", "shards", "reference_pool", "results")
+    return issues.agg(F.count("*").alias("issue_count"), (F.count("*") == 0).alias("ready"), *(F.count_if(F.col("part") == p).alias(f"{p}_issues") for p in parts))
