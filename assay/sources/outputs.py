@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import write_text
-from .writers import markdown_table, sorted_json, write_jsonl
+from .files import matching, remove, rename, write_text
+from .writers import markdown_table, sorted_json, sorted_json_value, write_jsonl
 
 
 def union_csv(df: DataFrame, path: str, *more: DataFrame) -> None:
@@ -19,17 +20,32 @@ def union_csv(df: DataFrame, path: str, *more: DataFrame) -> None:
 
 
 def write_shards(df: DataFrame, folder: str, shards: int, shard: str = "shard_id", prefix: str = "tasks.shard_") -> list[str]:
-    """JSON lines of each shard below its own name, those without a row too; the paths."""
-    spark = df.sparkSession
-    paths = [f"{folder.rstrip('/')}/{prefix}{k:03d}.jsonl" for k in range(shards)]
-    filled = {r[0] for r in df.select(shard).distinct().collect()}
-    if not filled <= set(range(shards)):
-        raise ValueError(f"shards outside 0..{shards - 1}: {sorted(filled - set(range(shards)))}")
-    for k, path in enumerate(paths):
-        if k in filled:
-            write_jsonl(df.where(F.col(shard) == k), path)
-        else:
-            write_text(spark, f"{path}/part-00000.txt", "")
+    """JSON lines of each shard below its own name, those without a row too; the paths.
+
+    All shards are written in one pass, by ranges of (shard, ``_ord``), so a
+    large one is spread over tasks and its files are in order; their folders
+    are then named. Without ``_ord`` rows keep the order they are read in.
+    A shard outside 0..``shards`` - 1, or null, raises.
+    """
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    paths = [f"{folder}/{prefix}{k:03d}.jsonl" for k in range(shards)]
+    staging = f"{folder}/_shards-{uuid.uuid4().hex}"
+    order = F.col("_ord") if "_ord" in df.columns else F.monotonically_increasing_id()
+    rows = df.withColumns({"_shard": F.col(shard), "_place": order}).drop("_ord")
+    lines = rows.select("_shard", "_place", sorted_json_value([c for c in rows.columns if c not in ("_shard", "_place")]).alias("value"))
+    lines.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place").drop("_place").write.partitionBy("_shard").text(staging)
+    try:
+        found = {p.rsplit("=", 1)[1]: p for p in matching(spark, f"{staging}/_shard=*")}
+        if wrong := sorted(set(found) - {str(k) for k in range(shards)}):
+            raise ValueError(f"shards outside 0..{shards - 1}: {wrong}")
+        for k, path in enumerate(paths):
+            if str(k) in found:
+                rename(spark, found[str(k)], path)
+            else:
+                remove(spark, path)
+                write_text(spark, f"{path}/part-00000.txt", "")
+    finally:
+        remove(spark, staging)
     return paths
 
 

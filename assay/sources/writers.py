@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .files import write_text
 
 
+def sorted_json_value(columns: list[str]) -> Column:
+    """A row's columns as a JSON object with sorted keys."""
+    return F.to_json(F.parse_json(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
+
+
 def sorted_json(df: DataFrame) -> DataFrame:
     """(value): each row as a JSON object with sorted keys."""
-    return df.select(F.to_json(F.parse_json(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))).alias("value"))
+    return df.select(sorted_json_value(df.columns).alias("value"))
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = "_ord", single: bool = False) -> None:

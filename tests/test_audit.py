@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import audit, detail
@@ -124,3 +125,20 @@ def test_reference_pool_and_readiness(spark):
     assert of(odd, sources.limit(0), "p") == ["reference_manifest_is_example", "reference_manifest_schema_mismatch", "reference_pool_empty", "reference_pool_id_mismatch", "reference_sources_empty"]
     assert detail.readiness(detail.pool_issues(manifest, sources)).first().asDict() == {"issue_count": 3, "ready": False, "tasks_issues": 0, "shards_issues": 0, "reference_pool_issues": 3, "results_issues": 0}
     assert detail.readiness(detail.pool_issues(manifest, sources.where("name = 'a'"))).first().ready
+
+
+def test_shards_are_written_in_one_pass_in_order(spark, tmp_path):
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).cast("int")
+    rows = spark.range(0, 4000, 1, 6).select(F.col("id").alias("n"), hot.alias("shard_id"), F.when(F.col("id") % 2 == 0, "x").alias("t"), (-F.col("id")).alias("_ord"))
+    for _ in range(2):  # writing again replaces
+        paths = outputs.write_shards(rows, f"file://{tmp_path}/w", 6)
+    assert sorted(p.name for p in (tmp_path / "w").iterdir()) == [f"tasks.shard_{k:03d}.jsonl" for k in range(6)]
+    for k, path in enumerate(paths):
+        parts = sorted((tmp_path / "w" / path.rsplit("/", 1)[1]).glob("part-*"))
+        lines = [json.loads(line) for p in parts for line in p.read_text().splitlines()]
+        want = sorted((i for i in range(4000) if (0 if i % 3 == 0 else i % 5) == k), reverse=True)
+        assert [x["n"] for x in lines] == want and all(list(x) == ["n", "shard_id", "t"] for x in lines)
+    for bad in (rows.withColumn("shard_id", F.lit(6)), rows.withColumn("shard_id", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError, match="shards outside"):
+            outputs.write_shards(bad, f"file://{tmp_path}/bad", 6)
+    assert outputs.write_shards(rows.limit(0), f"file://{tmp_path}/none", 2) and len(list((tmp_path / "none").iterdir())) == 2
