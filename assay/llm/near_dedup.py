@@ -231,8 +231,10 @@ def mixed_buckets(heads: DataFrame, members: DataFrame, labels: DataFrame) -> Da
 
     ``lefts`` and ``rights`` say into how many blocks the bucket is cut.
     """
-    inside = members.where("size > 2").select("key", "id")
+    # An id meets its label once, with all its buckets (at most one for each band).
+    inside = members.where("size > 2").groupBy("id").agg(F.collect_list("key").alias("keys"))
     inside = inside.join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    inside = inside.select(F.explode("keys").alias("key"), "id", "comp")
     anchors = heads.where("size > 2").join(labels.select(F.col("id").alias("head"), F.col("label").alias("anchor")), "head", "left")
     inside = join_hot(inside, stored(anchors.select("key", "size", F.coalesce("anchor", "head").alias("anchor")), "near-anchors"), "key", "size")
     inside = stored(inside.select("key", "id", "comp", (F.col("comp") != F.col("anchor")).alias("outside")), "near-inside")
