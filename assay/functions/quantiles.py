@@ -17,17 +17,17 @@ from .numbering import running_total
 from .session import checkpointed
 
 
-def summary(df: DataFrame, keys: list[str], value: Column | str, qs: dict[str, float]) -> DataFrame:
-    """(keys, n, min, max and a column for each of ``qs``) of the values that are not null.
+def summary(df: DataFrame, keys: list[str], value: Column | str, qs: dict[str, float], mean: bool = False) -> DataFrame:
+    """(keys, n, min, max, with ``mean`` the mean, and a column for each of ``qs``) of the values that are not null.
 
     ``qs`` are names and shares; quantiles are interpolated linearly between the
     two nearest ranks. Null is a key like any other; a group without values has
     n = 0 and nulls.
     """
     key = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    counts = checkpointed(df.select(*keys, key.alias("_key"), col(value).cast("double").alias("_x")).groupBy(*keys, "_key", "_x").agg(F.count("*").alias("_m")))
+    counts = checkpointed(df.select(*keys, key.alias("_key"), col(value).cast("double").alias("_x")).groupBy(*keys, "_key", "_x").agg(F.count("*").alias("_m"), *([F.sum("_x").alias("_s")] if mean else [])))
     counts = counts.withColumn("_m", F.when(F.col("_x").isNotNull(), F.col("_m")).otherwise(F.lit(0)))
-    totals = counts.groupBy("_key").agg(F.sum("_m").alias("n"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    totals = counts.groupBy("_key").agg(F.sum("_m").alias("n"), F.min("_x").alias("min"), F.max("_x").alias("max"), *([(F.sum("_s") / F.nullif(F.sum("_m"), F.lit(0))).alias("mean")] if mean else []))
     placed = running_total(counts, "_m", "_key", "_x", name="_total")
     first = placed.groupBy("_key").agg(F.min("_total").alias("_start"))
     rows = join_keyed(placed, totals.join(first, "_key"), ["_key"]).withColumn("_low", F.col("_total") - F.col("_start"))
@@ -42,5 +42,5 @@ def summary(df: DataFrame, keys: list[str], value: Column | str, qs: dict[str, f
         share = F.max(place - low)
         return F.when(share == 0, at(low)).otherwise(at(low) * (1 - share) + at(high) * share)
 
-    out = rows.groupBy(*keys, "_key").agg(F.first("n").alias("n"), F.first("min").alias("min"), F.first("max").alias("max"), *(quantile(q).alias(name) for name, q in qs.items()))
+    out = rows.groupBy(*keys, "_key").agg(F.first("n").alias("n"), F.first("min").alias("min"), F.first("max").alias("max"), *([F.first("mean").alias("mean")] if mean else []), *(quantile(q).alias(name) for name, q in qs.items()))
     return out.drop("_key")

@@ -38,13 +38,7 @@ def force_stats(rows: DataFrame, *keys: str, value: str = "force_max") -> DataFr
     """Force distribution of each subset, by ``keys``: one pass, tags exploded."""
     tagged = rows.select(*keys, finite(value).alias("_v"), F.explode(subset_tags()).alias("subset")).where("_v is not null")
     qs = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
-    # Means: the sum of distinct values times their counts would round differently.
-    mean = tagged.groupBy(*keys, "subset").agg(F.avg("_v").alias("mean"))
-    out = summary(tagged, [*keys, "subset"], "_v", qs)
-    same = F.lit(True)
-    for k in (*keys, "subset"):
-        same &= out[k].eqNullSafe(mean[k])
-    return out.join(mean, same).select(*(out[k] for k in keys), out["subset"], "n", mean["mean"], *qs, "max")
+    return summary(tagged, [*keys, "subset"], "_v", qs, mean=True).select(*keys, "subset", "n", "mean", *qs, "max")
 
 
 #: The subsets and statistics of a formula's forces, before and after.
@@ -65,7 +59,7 @@ def force_by_formula(before: DataFrame, after: DataFrame, validators: list[str])
     tags = F.array_compact(F.array(F.lit(FORMULA_SUBSETS[0]), F.when(F.col("is_stable"), F.lit(FORMULA_SUBSETS[1])), F.when(c, F.lit(FORMULA_SUBSETS[2])), F.when(c.isNull(), F.lit(FORMULA_SUBSETS[3]))))
     keys = ["formula", "validator", "side", "subset"]
     tagged = rows.select("formula", "validator", "side", "_v", F.explode(tags).alias("subset"))
-    stats = summary(tagged, keys, "_v", {"median": 0.5, "p90": 0.9}).withColumnRenamed("n", "count").join(tagged.groupBy(*keys).agg(F.avg("_v").alias("mean")), keys)
+    stats = summary(tagged, keys, "_v", {"median": 0.5, "p90": 0.9}, mean=True).withColumnRenamed("n", "count")
     stats = checkpointed(stats)  # one row for each formula, validator, side and subset
     of = lambda s, name, stat: F.max(F.when((F.col("side") == s) & (F.col("subset") == name), F.col(stat)))
     wide = stats.groupBy("formula", "validator").agg(*(of(s, n, x).alias(f"{s}_{n}_{x}") for n in FORMULA_SUBSETS for x in FORMULA_STATS for s in ("before", "after")))
@@ -199,12 +193,7 @@ def logprob_deltas(scores: DataFrame, before: str, after: str) -> DataFrame:
 def logprob_groups(scores: DataFrame) -> DataFrame:
     """Count, mean and median of the scores of each checkpoint, label, side and reason."""
     keys = ["checkpoint_label", "consensus_label", "source_side", "panel_reason"]
-    out = summary(scores, keys, "logp_total", {"median": 0.5})
-    mean = scores.groupBy(*keys).agg(F.avg("logp_total").alias("mean"))
-    same = F.lit(True)
-    for k in keys:
-        same &= out[k].eqNullSafe(mean[k])
-    return out.join(mean, same).select(*(out[k] for k in keys), "n", "mean", "median")
+    return summary(scores, keys, "logp_total", {"median": 0.5}, mean=True).select(*keys, "n", "mean", "median")
 
 
 def logprob_delta_groups(scores: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
@@ -218,7 +207,7 @@ def logprob_delta_groups(scores: DataFrame, before: str = "before", after: str =
     rows = scores.groupBy("candidate_id").agg(of(before).alias("b"), of(after).alias("a"), F.max_by(F.struct("consensus_label", "panel_reason"), "_ord").alias("m")).where("a is not null and b is not null")
     tags = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"m.{k}"), F.lit("None")).alias("label")) for k in ("consensus_label", "panel_reason")))
     tagged = checkpointed(rows.select((F.col("a") - F.col("b")).alias("delta"), F.explode(tags).alias("t")).select("t.*", "delta"))
-    groups = summary(tagged, ["kind", "label"], "delta", {"median": 0.5}).join(tagged.groupBy("kind", "label").agg(F.avg("delta").alias("mean")), ["kind", "label"]).select("kind", "label", "n", "mean", "median")
+    groups = summary(tagged, ["kind", "label"], "delta", {"median": 0.5}, mean=True).select("kind", "label", "n", "mean", "median")
     mean = lambda label: F.avg(F.when(F.col("label") == label, F.col("delta")))
     gap = tagged.where("kind = 'consensus_label'").agg((mean("stable") - mean("unstable")).alias("mean")).where("mean is not null")
     return groups.unionByName(gap.select(F.lit("stable_minus_unstable").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("n"), "mean", F.lit(None).cast("double").alias("median")))

@@ -244,3 +244,32 @@ def test_stream_rewrites_only_the_buckets_a_batch_touches(spark, tmp_path):
     before = sorted(map(repr, vs.read_latest(spark, target).collect()))
     assert len(vs.remove_superseded(spark, target)) == len(second)
     assert sorted(map(repr, vs.read_latest(spark, target).collect())) == before
+
+
+def test_last_votes_are_shuffled_once_with_their_consensus(spark):
+    from assay.operators import validate
+
+    made = [(k % 5, "abc"[k * 7 % 3 if k % 5 else k % 2], k * 13 % 41, (None, True, False)[k % 3], k / 10, k / 20, k % 4 > 0) for k in range(60)]
+    rows = spark.createDataFrame(made, "candidate_id long, validator string, _ord long, is_stable boolean, force_max double, stress_max double, relaxation_converged boolean")
+    out = validate.consensus_with_latest(rows, ["a", "b", "c"], ["_ord"])
+    last = {}
+    for r in sorted(made, key=lambda r: r[2]):
+        last.setdefault(r[0], {})[r[1]] = (r[3], r[4])
+    want = {c: {v: x for v, x in vs.items()} for c, vs in last.items() if len(vs) == 3}
+    assert {r.candidate_id: {x.validator: (x.is_stable, x.force_max) for x in r.latest} for r in out.collect()} == want and 0 < len(want) < 5
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1  # one shuffle
+
+
+def test_quantiles_come_with_their_mean_in_one_pass(spark):
+    from assay.functions.quantiles import summary
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", float(k % 7)) for k in range(50)] + [("b", None)], "key string, x double")
+    got = {r.key: (r.n, r.mean) for r in summary(rows.mapInArrow(count, rows.schema), ["key"], "x", {"p50": 0.5}, mean=True).collect()}
+    assert got == {"a": (50, sum(k % 7 for k in range(50)) / 50), "b": (0, None)} and seen.value == 51
