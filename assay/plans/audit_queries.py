@@ -83,11 +83,9 @@ def rounded(column: str) -> str:
   SELECT formula, validator, {', '.join(f"{f'coalesce({s}_{n}, 0)' if n.endswith('_count') else rounded(f'{s}_{n}')} AS {s}_{n}" for s in ('before', 'after') for n in STAT_NAMES)},
     {', '.join(f"{f'coalesce(after_{n}, 0) - coalesce(before_{n}, 0)' if n.endswith('_count') else f'round(after_{n} - before_{n}, 9) + 0'} AS delta_{n}" for n in STAT_NAMES)} FROM e LEFT JOIN w USING (formula, validator)""")
 def force_by_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = val(spark, sf_dir)
-    decided = validate.consensus(rows, VALIDATORS, VAL_ORDER).select("candidate_id", "consensus_is_stable")
-    latest = validate.last_wins(rows, ["candidate_id", "validator"], VAL_ORDER).select("candidate_id", "validator", "force_max", "is_stable")
+    decided = validate.consensus_with_latest(val(spark, sf_dir), VALIDATORS, VAL_ORDER).select("candidate_id", "consensus_is_stable", "latest")
     formulas = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate_id"), F.when(F.col("p_partkey") % 31 == 0, "").otherwise(F.col("p_type")).alias("formula"))
-    both = latest.join(decided, "candidate_id").join(formulas, "candidate_id")
+    both = decided.join(formulas, "candidate_id").select("candidate_id", "formula", "consensus_is_stable", F.explode("latest").alias("x")).select("candidate_id", "formula", "consensus_is_stable", "x.validator", "x.force_max", "x.is_stable")
     first = F.col("candidate_id") % 3 == 0
     out = nine(compare.force_by_formula(both.where(first), both.where(~first), VALIDATORS))
     return out.withColumns({c: F.col(c) + 0.0 for c, t in out.dtypes if c.startswith("delta_") and t == "double"})  # a zero has no sign
