@@ -166,7 +166,9 @@ def best_entries(sides: DataFrame, entries: DataFrame) -> DataFrame:
     options = preference_keys(of)
     keyed = F.array_compact(F.array(*(F.when(applies, F.struct(F.lit(i).alias("level"), *(k.alias(n) for k, n in zip(key, ("key_root", "key_formula"), strict=True)))) for i, (applies, key) in enumerate(options))))
     what = F.struct(*(c for c in entries.columns if c != "candidate_id"))
-    table = entries.select("candidate_id", F.explode(keyed).alias("k"), what.alias("entry")).select("candidate_id", "k.*", "entry").groupBy("candidate_id", "level", "key_root", "key_formula").agg(F.min_by("entry", "entry._ord").alias("entry"))
+    # Of entries alike in all that a preference fixes only the first can count, so no other comes under eight keys.
+    firsts = entries.groupBy("candidate_id", "root", "formula", "audited").agg(F.min_by(what, "_ord").alias("entry"))
+    table = firsts.select("candidate_id", F.explode(keyed).alias("k"), "entry").select("candidate_id", "k.*", "entry").groupBy("candidate_id", "level", "key_root", "key_formula").agg(F.min_by("entry", "entry._ord").alias("entry"))
     asked = sides.withColumn("audited", F.lit(True)).select("candidate_id", "root", "formula", F.explode(keyed).alias("k")).select("candidate_id", "root", "formula", "k.*")
     found = join_keyed(asked, table, ["candidate_id", "level", "key_root", "key_formula"])
     return found.groupBy("candidate_id", "root", "formula").agg(F.min_by("entry", "level").alias("entry"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import python_round
+from ..functions.joins import dealt
 from ..operators import pair_qa, reference_match
 from .queries import query
 from .views import percent, table
@@ -32,7 +33,7 @@ PAIR_ROWS = [
 
 
 def candidate_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr(*PLAIN_ROWS).unionByName(table(spark, sf_dir, "customer").selectExpr(*AUDIT_ROWS))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey")).selectExpr(*PLAIN_ROWS).unionByName(dealt(table(spark, sf_dir, "customer").select("c_custkey")).selectExpr(*AUDIT_ROWS))
     body = F.struct(
         F.col("id").alias("candidate_id"), F.struct("formula", F.when(F.col("k").isNotNull(), F.struct(F.col("k").alias("K"), F.lit("").alias("top_k"))).alias("generation"), F.col("sg").alias("spacegroup")).alias("condition"),
         F.col("label").alias("f3_label"), F.col("available").alias("f3_validation_available"), F.col("status").alias("validation_status"), F.when(F.col("stable").isNotNull(), F.struct(F.col("stable").alias("is_stable"))).alias("offline_validation"),
@@ -53,7 +54,8 @@ def pair_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("kind").alias("preference_type"), F.struct(c("documented").alias("raw_sequence_equivalent"), c("rule").alias("f3_pair_rule"), forces(F.lit(0.3)).alias("chosen_mlip_force_evidence"), forces(c("matgl")).alias("rejected_mlip_force_evidence"), c("k").alias("K")).alias("metadata"),
         vector.alias("chosen_failure_vector"), vector.alias("rejected_failure_vector"), "chosen_formula", "rejected_formula", F.when(c("chosen_k").isNotNull(), F.struct(F.struct(c("chosen_k").alias("K")).alias("generation"))).alias("chosen_generation"), c("chosen_sg").alias("chosen_spacegroup"),
     )
-    return table(spark, sf_dir, "orders").selectExpr(*PAIR_ROWS).select(F.concat_ws("/", "root", F.lit("preference_pairs.jsonl")).alias("path"), "root", F.parse_json(F.to_json(body)).alias("row"))
+    keys = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))  # a row of two numbers becomes a large object
+    return keys.selectExpr(*PAIR_ROWS).select(F.concat_ws("/", "root", F.lit("preference_pairs.jsonl")).alias("path"), "root", F.parse_json(F.to_json(body)).alias("row"))
 
 
 ENTRIES_SQL = f"""raw AS (SELECT {', '.join(PLAIN_ROWS)} FROM part UNION ALL SELECT {', '.join(AUDIT_ROWS)} FROM customer),

@@ -273,3 +273,15 @@ def test_quantiles_come_with_their_mean_in_one_pass(spark):
     rows = spark.createDataFrame([("a", float(k % 7)) for k in range(50)] + [("b", None)], "key string, x double")
     got = {r.key: (r.n, r.mean) for r in summary(rows.mapInArrow(count, rows.schema), ["key"], "x", {"p50": 0.5}, mean=True).collect()}
     assert got == {"a": (50, sum(k % 7 for k in range(50)) / 50), "b": (0, None)} and seen.value == 51
+
+
+def test_repeated_entries_do_not_come_under_eight_keys(spark):
+    from assay.operators import pair_qa
+
+    made = [("c", "r1", "f1", False, k, f"g{k}") for k in range(500)] + [("c", "r2", "f1", True, 1000, "x"), ("c", "r1", None, False, -1, "y")]
+    entries = spark.createDataFrame(made, "candidate_id string, root string, formula string, audited boolean, _ord long, generation string")
+    sides = spark.createDataFrame([("c", "r1", "f1"), ("c", "r1", "f9"), ("c", "r3", "f1"), ("d", "r1", "f1")], "candidate_id string, root string, formula string")
+    out = pair_qa.best_entries(sides, entries)
+    assert {(r.candidate_id, r.root, r.formula): r.entry._ord for r in out.collect()} == {("c", "r1", "f1"): 0, ("c", "r1", "f9"): -1, ("c", "r3", "f1"): 1000}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [candidate_id" in plan[plan.index("Generate"):]
