@@ -3,7 +3,8 @@
 Every artifact row says some facts (this id is a candidate, this formula failed,
 this reason blocks so many times). Facts are counted by (formula, kind, key)
 with map-side combining, so a formula that owns a third of all rows is spread
-over its ids, and only then put together by formula.
+over its ids, and only then put together by formula. Rows of JSON lines, which
+are many, have their fields taken out once, before the facts are laid out.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..functions.session import checkpointed
 #: Statuses that settle a formula, and the groups of skip reasons of a preference summary.
 FAILED, COMPLETED = ("failed", "generation_failed"), ("succeeded", "smoke_from_existing", "completed", "validated_ready")
 SKIPS = ("skip_reasons", "candidate_skip_reasons", "pair_skip_reasons")
+#: The kind of a reason that counts for its formula and over all formulas.
+SHARED = "shared"
 #: Reasons shown for each formula.
 TOP = 10
 FACT = "array<struct<formula:string,kind:string,key:string,n:bigint,value:double>>"
@@ -46,9 +49,10 @@ def formula(row: Column, otherwise: Column) -> Column:
     return F.coalesce(text(row, "condition.formula"), text(row, "formula"), text(row, "composition"), text(row, "metadata.formula_condition"), otherwise)
 
 
-def fact(of: Column, kind: str, key: Column | None = None, n: Column | int = 1, value: Column | None = None) -> Column:
+def fact(of: Column | None, kind: Column | str, key: Column | None = None, n: Column | int = 1, value: Column | None = None) -> Column:
+    """One fact of a formula, or of none: that counts over all formulas."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.struct(of.alias("formula"), F.lit(kind).alias("kind"), (F.lit(None) if key is None else key).cast("string").alias("key"), n.cast("long").alias("n"), (F.lit(None) if value is None else value).cast("double").alias("value"))
+    return F.struct((F.lit(None).cast("string") if of is None else of).alias("formula"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (F.lit(None) if key is None else key).cast("string").alias("key"), n.cast("long").alias("n"), (F.lit(None) if value is None else value).cast("double").alias("value"))
 
 
 def counted(row: Column, path: str) -> Column:
@@ -57,20 +61,51 @@ def counted(row: Column, path: str) -> Column:
     return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"].try_cast("double").cast("long"), F.lit(0)).alias("n")))
 
 
-def facts(rows: DataFrame) -> DataFrame:
-    """(formula, kind, key, n, value, _ord) of artifact rows (root, path, artifact, path_formula, row, _ord)."""
+def flat(*parts: Column) -> Column:
+    return F.concat(*parts).cast(FACT)
+
+
+def only(condition: Column, *parts: Column) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), F.array(*parts).cast(FACT)).otherwise(F.array().cast(FACT))
+
+
+def seen(of: Column) -> Column:
+    return F.array(fact(of, "path", F.col("path")), fact(of, "root", F.col("root")))
+
+
+def line_facts(rows: DataFrame) -> DataFrame:
+    """(formula, kind, key, n, value) of the rows of JSON lines (root, path, artifact, path_formula, form, row)."""
+    row, here, named = F.col("row"), F.col("path_formula"), F.col("artifact")
+    listed, vectors, paired = named.isin("candidates.jsonl", "audit_candidates.jsonl"), named == "failure_vectors.jsonl", named == "preference_pairs.jsonl"
+    audited = named == "audit_candidates.jsonl"
+    # A key that is there counts, be its value null.
+    ident = F.when(F.try_variant_get(row, "$.candidate_id", "variant").isNotNull(), text(row, "candidate_id")).otherwise(text(row, "sample_id"))
+    condition = F.when(F.try_variant_get(row, "$.condition", "map<string,variant>").isNotNull(), F.to_json(F.try_variant_get(row, "$.condition", "variant"))).otherwise("{}")
+    said = lambda name: F.coalesce(F.try_variant_get(row, f"$.{name}", "string"), F.lit("None"))
+    pair = F.concat_ws("|", condition, F.coalesce(text(row, "pair_id"), F.concat_ws("|", said("chosen_candidate_id"), said("rejected_candidate_id"))))
+    fields = rows.where("form = 'lines'").select(
+        "root", "path", F.when(vectors, here).otherwise(formula(row, here)).alias("formula"), F.when(listed, ident).when(paired, pair).alias("id"),
+        F.when(listed, F.when(audited, "audited").otherwise("candidates")).when(paired, "pairs").alias("kind"),
+        F.when(audited, F.try_variant_get(row, "$.dpo_eligible", "boolean")).alias("eligible"), F.when(paired, text(row, "preference_type")).alias("type"),
+        F.when(audited, texts(row, "dpo_ineligible_reasons")).when(vectors, texts(row, "hard_failures")).otherwise(F.array().cast("array<string>")).alias("reasons"),
+    )
+    scoped = F.when(F.col("id").isNotNull(), F.concat_ws("|", "root", "id"))
+    # By place: path, root, id, id if eligible, type, and reasons from there on. A row without a formula says nothing.
+    keys = F.concat(F.array(F.col("path"), F.col("root"), scoped, F.when(F.col("eligible"), scoped), F.concat(F.lit("preference_type:"), "type")), "reasons")
+    # Outer: else Spark would filter by the size of the array, and take the fields out of the row once more for it.
+    placed = fields.select("formula", "kind", F.posexplode_outer(F.when(F.col("formula").isNotNull(), keys)).alias("at", "key"))
+    at = F.col("at")
+    kind = F.when(at == 0, "path").when(at == 1, "root").when(at == 2, F.col("kind")).when(at == 3, "eligible").when(at == 4, "reason").otherwise(SHARED)
+    kept = placed.where((at > 4) | F.col("key").isNotNull())
+    return kept.select(fact(F.when(at != 4, F.col("formula")), kind, F.col("key")).alias("fact")).select("fact.*")
+
+
+def file_facts(rows: DataFrame) -> DataFrame:
+    """(formula, kind, key, n, value, _ord) of the rows of whole files (root, path, artifact, path_formula, form, row, _ord)."""
     row, here = F.col("row"), F.col("path_formula")
     own = formula(row, here)
-    scoped = lambda key: F.concat_ws("|", F.col("root"), key)
-    ident = F.when(F.array_contains(F.map_keys(F.try_variant_get("row", "$", "map<string,variant>")), "candidate_id"), text(row, "candidate_id")).otherwise(text(row, "sample_id"))
-    flat = lambda *parts: F.concat(*parts).cast(FACT)
     none = F.array().cast(FACT)
-    only = lambda condition, part: F.when(F.coalesce(condition, F.lit(False)), F.array(part).cast(FACT)).otherwise(none)
-    seen = lambda of: F.array(fact(of, "path", F.col("path")), fact(of, "root", F.col("root")))
-    # A null formula counts over all formulas.
-    everywhere = F.lit(None).cast("string")
-    both = lambda of, keys: F.concat(F.transform(keys, lambda k: fact(of, "reason", k)), F.transform(keys, lambda k: fact(everywhere, "reason", k)))
-    numbers = lambda of, pairs: F.concat(F.transform(pairs, lambda p: fact(of, "reason", p["key"], p["n"])), F.transform(pairs, lambda p: fact(everywhere, "reason", p["key"], p["n"])))
+    numbers = lambda of, pairs: F.concat(F.transform(pairs, lambda p: fact(of, "reason", p["key"], p["n"])), F.transform(pairs, lambda p: fact(None, "reason", p["key"], p["n"])))
 
     def each(inner) -> Column:
         """Facts of the items that have a formula."""
@@ -81,13 +116,13 @@ def facts(rows: DataFrame) -> DataFrame:
     plan = each(lambda x, f: flat(seen(f), F.array(fact(f, "status", F.lit("planned")))))
     ready = F.when(F.coalesce(~text(row, "ready_for_generation").isin("false", "0"), F.lit(False)), "validated_ready").otherwise("in_progress")
     blocking = texts(row, "blocking_reasons")
-    validated = flat(F.transform(blocking, lambda k: fact(everywhere, "reason", k)), each(lambda x, f: flat(seen(f), F.array(fact(f, "status", ready)), F.transform(blocking, lambda k: fact(f, "reason", k)))))
+    validated = flat(F.transform(blocking, lambda k: fact(None, "reason", k)), each(lambda x, f: flat(seen(f), F.array(fact(f, "status", ready)), F.transform(blocking, lambda k: fact(f, "reason", k)))))
     bulk = each(
         lambda x, f: flat(
             seen(f), F.array(fact(f, "status", F.coalesce(F.try_variant_get(x, "$.status", "string"), F.lit("unknown")))),
-            only(text(x, "error").isNotNull(), fact(f, "reason", text(x, "error"))), only(text(x, "error").isNotNull(), fact(everywhere, "reason", text(x, "error"))),
+            only(text(x, "error").isNotNull(), fact(f, "reason", text(x, "error"))), only(text(x, "error").isNotNull(), fact(None, "reason", text(x, "error"))),
             F.array(fact(f, "candidates", value=smoke(x, "candidate_count")), fact(f, "eligible", value=smoke(x, "dpo_eligible_count")), fact(f, "pairs", value=smoke(x, "preference_pair_count"))),
-            F.transform(counted(x, "smoke_summary.preference_skip_reasons"), lambda p: fact(everywhere, "reason", p["key"], p["n"])), only(seconds(x).isNotNull(), fact(f, "seconds", value=seconds(x))),
+            F.transform(counted(x, "smoke_summary.preference_skip_reasons"), lambda p: fact(None, "reason", p["key"], p["n"])), only(seconds(x).isNotNull(), fact(f, "seconds", value=seconds(x))),
         )
     )
     failures = F.transform(F.filter(items(row, "top_failure_reasons"), lambda x: text(x, "reason").isNotNull()), lambda x: F.struct(text(x, "reason").alias("key"), F.when(F.try_variant_get(x, "$.count", "variant").isNull(), F.lit(1).cast("long")).otherwise(number(x, "count")).alias("n")))
@@ -95,24 +130,13 @@ def facts(rows: DataFrame) -> DataFrame:
         seen(own), F.array(fact(own, "status", F.lit("completed")), fact(own, "candidates", value=number(row, "total_candidates")), fact(own, "audited", value=number(row, "total_candidates")), fact(own, "eligible", value=number(row, "dpo_eligible_count"))), numbers(own, failures)
     )
     preferences = flat(seen(own), F.array(fact(own, "status", F.lit("completed")), fact(own, "pairs", value=number(row, "pair_count"))), *(numbers(own, counted(row, g)) for g in SKIPS))
-    candidate = flat(seen(own), only(ident.isNotNull(), fact(own, "candidates", scoped(ident))))
-    eligible = F.coalesce(F.try_variant_get("row", "$.dpo_eligible", "boolean"), F.lit(False))
-    audited = flat(seen(own), only(ident.isNotNull(), fact(own, "audited", scoped(ident))), only(ident.isNotNull() & eligible, fact(own, "eligible", scoped(ident))), both(own, texts(row, "dpo_ineligible_reasons")))
-    vectors = flat(seen(here), both(here, texts(row, "hard_failures")))
-    condition = F.when(F.try_variant_get("row", "$.condition", "map<string,variant>").isNotNull(), F.to_json(F.try_variant_get("row", "$.condition", "variant"))).otherwise("{}")
-    said = lambda name: F.coalesce(F.try_variant_get("row", f"$.{name}", "string"), F.lit("None"))
-    pair_key = F.when(text(row, "pair_id").isNotNull(), F.concat_ws("|", condition, text(row, "pair_id"))).otherwise(F.concat_ws("|", condition, said("chosen_candidate_id"), said("rejected_candidate_id")))
-    kind = text(row, "preference_type")
-    pair = flat(seen(own), F.array(fact(own, "pairs", scoped(pair_key))), only(kind.isNotNull(), fact(everywhere, "reason", F.concat(F.lit("preference_type:"), kind))))
     named = F.col("artifact")
     found = (
         F.when(named == "bulk_plan.json", plan).when(named == "bulk_validation_summary.json", validated).when(named == "bulk_summary.json", bulk)
         .when((named == "audit_summary.json") & own.isNotNull(), audit).when((named == "preference_summary.json") & own.isNotNull(), preferences)
-        .when((named == "candidates.jsonl") & own.isNotNull(), candidate).when((named == "audit_candidates.jsonl") & own.isNotNull(), audited)
-        .when((named == "failure_vectors.jsonl") & here.isNotNull(), vectors).when((named == "preference_pairs.jsonl") & own.isNotNull(), pair)
         .when(named.isin("report.md", "validate_report.md") & here.isNotNull(), seen(here).cast(FACT))
     )
-    return rows.select(F.explode(found).alias("fact"), "_ord").select("fact.*", "_ord")
+    return rows.where("form != 'lines'").select(F.explode(found).alias("fact"), "_ord").select("fact.*", "_ord")
 
 
 def top_reasons(reasons: DataFrame) -> DataFrame:
@@ -130,12 +154,15 @@ def collect(rows: DataFrame, errors: DataFrame, include_in_progress: bool = True
     with an error count nothing; their errors are reasons. Ids count once for
     each root; a summary's figure counts where it is larger than the ids found.
     """
-    said = facts(rows.where("ok"))
+    rows = rows.where("ok")
+    said = checkpointed(file_facts(rows))
     wrong = errors.where("formula is not null")
-    issue = wrong.select("formula", F.lit("reason").alias("kind"), F.col("issue").alias("key"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("double").alias("value"), F.lit(None).cast(said.schema["_ord"].dataType).alias("_ord"))
-    path = wrong.where("issue != 'missing_artifact'").select("formula", F.lit("path").alias("kind"), F.col("path").alias("key"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("double").alias("value"), F.lit(None).cast(said.schema["_ord"].dataType).alias("_ord"))
-    keyed = said.unionByName(issue).unionByName(path).groupBy("formula", "kind", "key").agg(F.sum("n").alias("n"), F.max("value").alias("most"), F.max_by("value", "_ord").alias("last"))
+    error = lambda kind, key: fact(F.col("formula"), kind, F.col(key))
+    issues = wrong.select(F.explode(F.concat(F.array(error("reason", "issue")), F.when(F.col("issue") != "missing_artifact", F.array(error("path", "path"))).otherwise(F.array().cast(FACT)))).alias("fact")).select("fact.*")
+    keyed = line_facts(rows).unionByName(said.drop("_ord")).unionByName(issues).groupBy("formula", "kind", "key").agg(F.sum("n").alias("n"), F.max("value").alias("most"))
     keyed = checkpointed(keyed)
+    # The last duration said, apart from the others: an order would sort all facts.
+    last = said.where("kind = 'seconds' and formula is not null").groupBy("formula").agg(F.max_by("value", "_ord").alias("total_duration_seconds"))
     own = keyed.where("formula is not null")
     ids = lambda kind: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull())
     size = lambda kind: F.greatest(ids(kind), F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("most"))), F.lit(0.0)).cast("long"))
@@ -144,12 +171,13 @@ def collect(rows: DataFrame, errors: DataFrame, include_in_progress: bool = True
     out = own.groupBy("formula").agg(
         F.when(has(FAILED), "failed").when(has(COMPLETED), "completed").otherwise("in_progress").alias("status"), names("root").alias("roots"), names("path").alias("artifact_paths"),
         size("candidates").alias("candidate_count"), size("audited").alias("audit_candidate_count"), size("eligible").alias("dpo_eligible_count"), size("pairs").alias("preference_pair_count"), names("status").alias("status_sources"),
-        F.max(F.when(F.col("kind") == "seconds", F.col("last"))).alias("total_duration_seconds"), (ids("candidates") + ids("audited") + ids("pairs") > 0).alias("_ids"),
+        (ids("candidates") + ids("audited") + ids("pairs") > 0).alias("_ids"),
     )
     if not include_in_progress:
         out = out.where("_ids or status != 'in_progress'")
-    reasons = keyed.where("kind = 'reason'")
-    out = out.drop("_ids").join(top_reasons(reasons.where("formula is not null")), "formula", "left")
+    whose = F.when(F.col("kind") == SHARED, F.array("formula", F.lit(None))).otherwise(F.array("formula"))
+    reasons = keyed.where(F.col("kind").isin("reason", SHARED)).select(F.explode(whose).alias("formula"), "key", "n").groupBy("formula", "key").agg(F.sum("n").alias("n"))
+    out = out.drop("_ids").join(last, "formula", "left").join(top_reasons(reasons.where("formula is not null")), "formula", "left")
     return out, reasons.where("formula is null").select(F.col("key").alias("reason"), F.col("n").alias("count"))
 
 

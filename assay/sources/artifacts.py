@@ -1,7 +1,9 @@
 """Artifact trees: all files of all kinds below some roots, with what is wrong with them.
 
 Lines know their number: a line's place in its block (a file split) and the
-lines of the blocks before it, of which there is one row each.
+lines of the blocks before it. A tree's lines are read once for what is wrong
+with them, which leaves one row for each stretch of lines and is written to the
+checkpoint folder, and once more where its rows are used.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.joins import join_keyed
 from ..functions.literals import strict_json
+from ..functions.session import checkpointed
 
 #: Names of the artifacts of a run, by the way they are read, and which of them belong together.
 JSON_FILES = ("bulk_plan.json", "bulk_summary.json", "bulk_validation_summary.json", "audit_summary.json", "preference_summary.json")
@@ -22,8 +25,10 @@ PREFERENCE_SET = ("preference_pairs.jsonl", "preference_summary.json", "report.m
 BULK_SET, BULK_SUMMARIES = ("bulk_plan.json", "bulk_summary.json", "bulk_validation_summary.json"), ("bulk_summary.json", "bulk_validation_summary.json")
 #: Folders whose name is no formula; folders below which the next name is one.
 NO_FORMULA, MARKERS = ("", ".", "outputs", "smoke", "formula_runs"), ("dpo_preferences",)
-#: Blocks of files that are broadcast at most.
+#: Blocks of files, stretches of lines and artifacts with an error that are broadcast at most.
 BROADCAST_BLOCKS = 200_000
+#: Bits of the place within a stretch of lines, whose broken ones are listed in one row.
+STRETCH_BITS = 16
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
@@ -40,13 +45,53 @@ def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
     blocks = lines.groupBy("file", "block").agg(F.min("at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("file", "block", (before - F.col("_first") + 1).alias("_shift"))
-    if blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
-        placed = rows.join(F.broadcast(blocks), ["file", "block"])
-    else:
-        placed = join_keyed(rows, blocks, ["file", "block"])
+    placed = with_few(rows, blocks, ["file", "block"])
     return placed.withColumn("line_no", F.col("at") + F.col("_shift")).drop("_shift")
 
 
+def parsed_lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """(file, block, at, blank, opens, row) of every line; ``row`` (VARIANT) is null where the line is no JSON, or no line of an artifact.
+
+    A row is an object if it is there and ``opens`` with a brace. A filter on
+    ``row`` may parse the line once more: none is laid on the lines themselves.
+    """
+    text = spark.read.options(**options).text(paths)
+    file = F.col("_metadata.file_path")
+    wanted = F.contains(file, F.lit(LINE_FILES[0]))
+    for name in LINE_FILES[1:]:
+        wanted = wanted | F.contains(file, F.lit(name))
+    opens = F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("{"))
+    return text.select(
+        file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        (F.trim("value") == "").alias("blank"), opens.alias("opens"), strict_json(F.when(wanted, F.col("value"))).alias("row"),
+    )
+
+
+def line_stretches(lines: DataFrame) -> DataFrame:
+    """(file, block, _stretch, _first, _n, _broken) of ``parsed_lines``: how many lines a stretch has, and its broken ones."""
+    broken = F.when(~F.col("blank") & ~(F.col("opens") & F.col("row").isNotNull()), F.struct("at", F.col("row").isNotNull().alias("json")))
+    return lines.groupBy("file", "block", F.shiftright("at", STRETCH_BITS).alias("_stretch")).agg(F.min("at").alias("_first"), F.count("*").alias("_n"), F.collect_list(broken).alias("_broken"))
+
+
+def line_errors(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, message, line_no) of the broken lines of ``line_stretches`` with ``keys``, of which the artifact's path is the first.
+
+    Lines are counted from 1 over all files of an artifact in order of their names, blank ones too.
+    """
+    at = ["file", "block", "_stretch"]
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(keys[0]).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = stretches.select(keys[0], *at, "_n", "_first").select(*at, (before - F.col("_first") + 1).alias("_shift"))
+    placed = with_few(stretches.where(F.size("_broken") > 0), shifts, at).select(*keys, "_shift", F.explode("_broken").alias("_line"))
+    message = F.when(F.col("_line.json"), "JSONL row must be an object").otherwise("invalid JSON")
+    return placed.select(*keys, message.alias("message"), (F.col("_line.at") + F.col("_shift")).alias("line_no"))
+
+
+def with_few(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row for each value of ``keys``), broadcast if it has been counted to be small."""
+    few = right.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    return left.join(F.broadcast(right), keys, how) if few else join_keyed(left, right, keys, how)
+
+
 def plain_path(uri: Column) -> Column:
     """A file's path from its URI: decoded, without scheme."""
     return F.regexp_replace(F.url_decode(F.regexp_replace(uri, r"\+", "%2B")), r"^[A-Za-z0-9]+:/+", "/")
@@ -71,14 +116,15 @@ def artifact_tree(spark: SparkSession, roots: list[str], markers: tuple[str, ...
     """(rows, errors, files) of all artifacts below ``roots``.
 
     An artifact is a file of a known name, or a folder of that name with the
-    parts that Spark writes. ``rows``: root, path, artifact, path_formula, ok,
-    _ord and row (VARIANT), one for each JSON line, JSON file and text file;
-    ``ok`` is false for all rows of an artifact with an error. ``errors``:
-    empty_artifact, corrupt_json, malformed_jsonl with line_no, and
-    missing_artifact for what a folder with related artifacts lacks. Nothing
+    parts that Spark writes. ``rows``: root, path, artifact, path_formula, form
+    (lines, json, text), ok, _ord and row (VARIANT), one for each JSON line, JSON
+    file and text file; ``ok`` is false for all rows of an artifact with an error. ``errors``:
+    empty_artifact, corrupt_json, malformed_jsonl with line_no (over all parts of
+    an artifact), and missing_artifact for what a folder with related artifacts lacks. Nothing
     raises.
     """
-    rows, errors, files = [], [], []
+    rows, errors, files, lines = [], [], [], {}
+    keys = ["path", "root", "artifact", "path_formula"]
     glob = lambda names: {"recursiveFileLookup": "true", "pathGlobFilter": "{" + ",".join(names) + "}"}
     nowhere = F.lit(None).cast("long")
 
@@ -94,26 +140,30 @@ def artifact_tree(spark: SparkSession, roots: list[str], markers: tuple[str, ...
         listed = of(listed, root, JSON_FILES + LINE_FILES + TEXT_FILES).groupBy("root", "path", "artifact", "path_formula").agg(F.sum("length").alias("length"))
         plain = F.rtrim(plain_path(F.lit(root)), F.lit("/"))
         files.append(listed.withColumn("directory", F.regexp_replace("path", r"/[^/]+$", "")).withColumn("at_root", F.col("directory") == plain))
-        lines = numbered_lines(spark, root, **glob((*LINE_FILES, "part-*")))
-        parsed = of(lines.where("trim(value) != ''"), root, LINE_FILES).withColumn("row", strict_json("value"))
-        object_ = F.coalesce(F.schema_of_variant("row").startswith("OBJECT"), F.lit(False))
-        message = F.when(F.col("row").isNull(), "invalid JSON").otherwise("JSONL row must be an object")
-        bad = with_line_numbers(parsed.where(~object_), lines)
-        errors.append(bad.select("root", "path", "artifact", F.lit("malformed_jsonl").alias("issue"), message.alias("message"), F.col("path_formula").alias("formula"), "line_no"))
-        rows.append(parsed.where(object_).select("root", "path", "artifact", "path_formula", F.struct("file", "block", "at").alias("_ord"), "row"))
+        lines[root] = parsed_lines(spark, root, **glob((*LINE_FILES, "part-*")))
         whole = spark.read.options(**glob(JSON_FILES)).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
         whole = of(whole, root, JSON_FILES).withColumn("row", strict_json("value"))
         one = lambda c: F.struct(F.col(c).alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("at")).alias("_ord")
-        rows.append(whole.where("row is not null").select("root", "path", "artifact", "path_formula", one("file"), "row"))
+        rows.append(whole.where("row is not null").select("root", "path", "artifact", "path_formula", F.lit("json").alias("form"), one("file"), "row"))
         errors.append(whole.where("row is null and value != ''").select("root", "path", "artifact", F.lit("corrupt_json").alias("issue"), F.lit("invalid JSON").alias("message"), F.col("path_formula").alias("formula"), nowhere.alias("line_no")))
-        rows.append(listed.where(F.col("artifact").isin(*TEXT_FILES)).select("root", "path", "artifact", "path_formula", one("path"), F.lit(None).cast("variant").alias("row")))
+        rows.append(listed.where(F.col("artifact").isin(*TEXT_FILES)).select("root", "path", "artifact", "path_formula", F.lit("text").alias("form"), one("path"), F.lit(None).cast("variant").alias("row")))
     union = lambda parts: parts[0] if len(parts) == 1 else union(parts[: len(parts) // 2]).unionByName(union(parts[len(parts) // 2 :]))
-    rows, files = union(rows), union(files)
+    files = union(files)
     empty = files.where("length = 0").select("root", "path", "artifact", F.lit("empty_artifact").alias("issue"), F.lit("artifact file is empty").alias("message"), F.col("path_formula").alias("formula"), nowhere.alias("line_no"))
-    broken = union(errors).unionByName(empty)
+    stretches = checkpointed(union([line_stretches(x).withColumn("_root", F.lit(root)) for root, x in lines.items()]))
+    # What a file's path says is taken out of it once for each file, not for each line, and written, lest Spark infer a filter of lines from it.
+    known = checkpointed(union([of(stretches.where(F.col("_root") == root).select("file").distinct(), root, LINE_FILES) for root in lines]))
+    for root, some in lines.items():
+        placed = with_few(some.where("opens"), known.where(F.col("root") == root), ["file"])
+        rows.append(placed.select("root", "path", "artifact", "path_formula", F.lit("lines").alias("form"), F.struct("file", "block", "at").alias("_ord"), "row"))
+    stretches = union([of(stretches.where(F.col("_root") == root), root, LINE_FILES) for root in lines])
+    bad = line_errors(stretches, keys).select("root", "path", "artifact", F.lit("malformed_jsonl").alias("issue"), "message", F.col("path_formula").alias("formula"), "line_no")
+    broken = checkpointed(bad.unionByName(union(errors)).unionByName(empty))
     # Artifacts with an error: one row each, however many errors.
     bad_files = broken.select("path").distinct().withColumn("_bad", F.lit(True))
-    rows = join_keyed(rows, bad_files, ["path"], "left").withColumn("ok", F.col("_bad").isNull()).drop("_bad")
+    rows = with_few(union(rows), bad_files, ["path"], "left").withColumn("ok", F.col("_bad").isNull()).drop("_bad")
+    # Where no line is broken, all that open with a brace are objects.
+    rows = rows.where("ok or row is not null or form = 'text'")
     return rows, broken.unionByName(missing_artifacts(files, markers)), files
 
 
